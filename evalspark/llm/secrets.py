@@ -1,0 +1,138 @@
+"""Secret scan with DataFrame functions only: fixed patterns plus sliding-window entropy.
+
+Spans are (kind, start, end) in code points, end exclusive. Positions come from cutting the text at the matches: the
+lengths of what lies between and of the matches add up to every start. Candidate strings that hold a digit are judged
+by the Shannon entropy of every window of ``WINDOW`` characters; the sum of c*log2(c) is carried from window to window
+and changed by the character that enters and the one that leaves. Allow-listed shapes are never reported.
+
+Defined cases: a null text counts as empty and has no spans; every row is judged by itself, whatever its doc_id.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# fixed values: patterns of the base kinds, in the order in which kinds are listed
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+ASSIGN_LEAST = 6
+
+WINDOW = 20
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Character class -> least entropy in bits of its best window.
+ENTROPY = (("^[0-9a-fA-F]+$", 2.9), ("^[A-Z0-9]+$", 3.3), ("", 3.6))
+#: Shapes that look random and are no secrets: plain numbers, UUIDs, documentation samples, dated paths.
+ALLOW = (r"^[0-9]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|sample|placeholder|xxxx", r"^[a-z/_-]+[0-9]{1,4}$", r"(^|/)[0-9]{4}/[0-9]{2}/[0-9]{2}(/|$)")
+
+_SPAN = "array<struct<start:int,ord:int,end:int,kind:string>>"
+
+
+def located(text: Column, pattern: str, kind: str, order: int) -> Column:
+    """All non-overlapping matches of ``pattern`` in ``text``, leftmost first, as an array of spans."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    start = F.aggregate(
+        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), F.transform(found, lambda m: F.length(m)).alias("len")),
+        F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
+        lambda st, x: F.struct((st["pos"] + x["gap"] + x["len"]).alias("pos"), F.concat(st["out"], F.array(F.struct((st["pos"] + x["gap"]).alias("start"), (st["pos"] + x["gap"] + x["len"]).alias("end")))).alias("out")),
+        lambda st: st["out"],
+    )
+    return F.transform(start, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def _when(cheap: Column, spans: Column) -> Column:
+    return F.when(cheap, spans).otherwise(F.array().cast(_SPAN))
+
+
+def base_spans(text: Column) -> tuple[Column, Column, Column]:
+    """Spans of kinds assign, access and hex; the cheap tests in front keep the patterns off most texts."""
+    long_enough = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_LEAST)
+    assign = F.transform(
+        F.filter(F.arrays_zip(located(text, ASSIGN, "assign", 0).alias("span"), long_enough.alias("keep")), lambda x: x["keep"]), lambda x: x["span"]
+    )
+    sign = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+    return (
+        _when(sign & text.rlike(ASSIGN), assign),
+        _when(F.contains(text, F.lit("AKIA")), located(text, ACCESS, "access", 1)),
+        _when(text.rlike(HEX), located(text, HEX, "hex", 2)),
+    )
+
+
+def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
+    """Largest Shannon entropy, in bits, of any ``window`` characters in a row; 0 for shorter strings."""
+    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    codes = F.transform(F.regexp_extract_all(candidate, F.lit("(?s)."), F.lit(0)), lambda ch: F.instr(F.lit(ALPHABET), ch))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.size(codes)),
+        F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best")),
+        lambda st, i: _step(st, i, table, window),
+        lambda st: st["best"],
+    )
+
+
+def _step(st: Column, i: Column, table: Column, window: int) -> Column:
+    enters = F.get(st["codes"], i - 1)
+    leaves = F.when(i > window, F.get(st["codes"], i - 1 - window)).otherwise(F.lit(-1))
+    gone = F.when(i > window, F.get(st["counts"], leaves)).otherwise(F.lit(0))
+    had = F.get(st["counts"], enters) - F.when(leaves == enters, 1).otherwise(0)
+    s = st["s"] - F.when(i > window, F.get(table, gone) - F.get(table, gone - 1)).otherwise(0.0) + F.get(table, had + 1) - F.get(table, had)
+    counts = F.transform(st["counts"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
+    best = F.when(i >= window, F.greatest(st["best"], F.lit(math.log2(window)) - s / F.lit(float(window)))).otherwise(st["best"])
+    return F.struct(st["codes"].alias("codes"), counts.alias("counts"), s.alias("s"), best.alias("best"))
+
+
+def suspicious(candidate: Column) -> Column:
+    """Whether a candidate is outside the allow-list and random enough for its character class."""
+    allowed = F.lit(False)
+    for shape in ALLOW:
+        allowed = allowed | candidate.rlike(shape)
+    least = F.lit(ENTROPY[-1][1])
+    for shape, bits in reversed(ENTROPY[:-1]):
+        least = F.when(candidate.rlike(shape), F.lit(bits)).otherwise(least)
+    return F.when(allowed, F.lit(False)).otherwise(window_entropy(candidate) >= least)
+
+
+def entropy_spans(text: Column) -> Column:
+    marks = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), suspicious)
+    spans = F.filter(F.arrays_zip(located(text, CANDIDATE, "entropy", 3).alias("span"), marks.alias("keep")), lambda x: x["keep"])
+    return _when(text.rlike(CANDIDATE), F.transform(spans, lambda x: x["span"]))
+
+
+def _digest(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def scan_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with base_spans, spans (arrays of start, ord, end, kind), n_assign, n_access, n_hex added."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    a, c, h = base_spans(text)
+    df = docs.withColumns({"_assign": a, "_access": c, "_hex": h, "_entropy": entropy_spans(text)})
+    df = df.withColumn("base_spans", F.array_sort(F.concat("_assign", "_access", "_hex")))
+    extra = F.filter("_entropy", lambda e: ~F.exists("base_spans", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    df = df.withColumn("spans", F.array_sort(F.concat("base_spans", extra)))
+    df = df.withColumns({f"n_{k}": F.size(f"_{k}").cast("long") for k in ("assign", "access", "hex")})
+    return df.drop("_assign", "_access", "_hex", "_entropy")
+
+
+def secret_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined)."""
+    s = scan_secrets(docs.select("doc_id", "text"))
+    return s.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_digest(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
+
+
+def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
+    """``text`` with every span replaced by ``mask``; overlapping spans give one mask."""
+    st = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
+        lambda st, s: F.struct(
+            F.greatest(st["pos"], s["end"]).alias("pos"),
+            F.when(s["start"] < st["pos"], st["out"]).otherwise(F.concat(st["out"], F.substring(text, st["pos"] + 1, s["start"] - st["pos"]), F.lit(mask))).alias("out"),
+        ),
+    )
+    return F.concat(st["out"], F.substring(text, st["pos"] + 1, F.length(text)))
