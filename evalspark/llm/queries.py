@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, secrets, sharding
+from . import hamming, itq, minhash, mixing, packing, pii, quality, secretscan, sharding, tokenfile
 from .common import read
+from .tokens import public_vocabulary
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,14 +20,47 @@ def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op4_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"))
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.scratch_path(spark, "tokens")
+    tokenfile.write_token_files(read(spark, sf_dir, "documents"), path, public_vocabulary("byte_bpe_50k.json"))
+    return tokenfile.read_token_files(spark, path)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_digest(read(spark, sf_dir, "documents"))
+    return secretscan.secret_digest(read(spark, sf_dir, "documents"))
+
+
+def op9_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    dim = itq.common_length(vectors)
+    good = vectors.where(itq.usable_numbers(F.col("embedding"), dim) & F.col("vec_id").isNotNull())
+    return hamming.top_k(hamming.sign_codes(good, dim), F.col("vec_id") % 20 == 0)
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mix_sources": op1_mix_sources,
-    "op2_shard_documents": op2_shard_documents,
-    "op8_secret_scan": op8_secret_scan,
+    f.__name__: f
+    for f in (op1_mix_sources, op2_shard_documents, op3_quality, op4_embedding_neighbours, op5_pack_documents, op6_pseudonyms, op7_token_files, op8_secret_scan, op9_hamming_top_k, op10_near_duplicates)
 }
 
 ORACLES: dict[str, str] = {}
