@@ -3,35 +3,18 @@
 from __future__ import annotations
 
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package  # noqa: F401
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of text that one Arrow batch may carry; documents of 100 kB then stay under 50 MB a batch.
 TEXT_BATCH_ROWS = 400
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Hand the package to the executors' Python, once an application, for when they have no copy installed."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp(prefix="evalspark-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(str(name))
-    _shipped.add(sc.applicationId)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
