@@ -1,0 +1,178 @@
+"""Small literal and configuration tables: published results, prices, panels, Markdown reports."""
+
+from __future__ import annotations
+
+import json
+import re
+import time
+from datetime import UTC, datetime
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import domain
+from . import schemas
+
+NAME = re.compile(r"[A-Za-z0-9._-]+")
+
+
+def published_metrics(spark: SparkSession) -> DataFrame:
+    """(ref_model, split, grp, name, published): pooled metrics and bias scores by category."""
+    rows = [(m, s, domain.ALL, k, v) for (m, s), x in domain.PUBLISHED_POOLED.items() for k, v in zip(domain.HEADLINE_METRICS, x, strict=True)]
+    rows += [(m, s, c, "bias_score", v) for (m, s), x in domain.PUBLISHED_BY_CATEGORY.items() for c, v in zip(domain.PUBLISHED_CATEGORY_ORDER, x, strict=True)]
+    return spark.createDataFrame(rows, "ref_model string, split string, grp string, name string, published double")
+
+
+def parse_prices(payload: DataFrame) -> DataFrame:
+    """One JSON text column ``value`` {"data": [{"id", "pricing": {"prompt", "completion"}}]} -> prices; unusable entries go, the last of equal ids stays."""
+    data = F.from_json("value", "struct<data:array<struct<id:string,pricing:struct<prompt:string,completion:string>>>>")["data"]
+    rows = payload.select(F.posexplode(data).alias("place", "e"))
+    rows = rows.select("place", F.col("e.id").alias("price_model"), F.col("e.pricing.prompt").try_cast("double").alias("price_in"), F.col("e.pricing.completion").try_cast("double").alias("price_out"))
+    rows = rows.where("price_model <> '' and price_in is not null and price_out is not null")
+    return rows.groupBy("price_model").agg(F.max_by("price_in", "place").alias("price_in"), F.max_by("price_out", "place").alias("price_out"))
+
+
+def age_seconds(stamp: str, now: float | None = None) -> float:
+    """Age of an ISO stamp (naive: UTC); an unreadable one is infinitely old."""
+    try:
+        t = datetime.fromisoformat(stamp)
+    except (TypeError, ValueError):
+        return float("inf")
+    return (now if now is not None else time.time()) - (t if t.tzinfo else t.replace(tzinfo=UTC)).timestamp()
+
+
+def load_prices(spark: SparkSession, cache: str, fetch=None, offline: bool = False, refresh: bool = False, max_age: float = domain.PRICES_MAX_AGE) -> DataFrame:
+    """Prices from a cache file that is young enough, else from ``fetch()`` (a JSON text); a stale cache serves if that fails."""
+    stored = None
+    try:
+        raw = json.loads(Path(cache).read_text())
+        stored = ([(k, float(v[0]), float(v[1])) for k, v in raw["prices"].items()], age_seconds(raw["fetched_at"]))
+    except (OSError, ValueError, KeyError, TypeError, IndexError):
+        pass
+    if stored and not refresh and (offline or stored[1] <= max_age):
+        return spark.createDataFrame(stored[0], schemas.PRICES)
+    if fetch is not None and not offline:
+        try:
+            rows = [tuple(r) for r in parse_prices(spark.createDataFrame([(fetch(),)], "value string")).collect()]
+            if not rows:
+                raise ValueError("no usable price")
+            Path(cache).write_text(json.dumps({"fetched_at": datetime.now(UTC).isoformat(timespec="seconds"), "prices": {k: [a, b] for k, a, b in sorted(rows)}}, sort_keys=True))
+            return spark.createDataFrame(rows, schemas.PRICES)
+        except (OSError, ValueError):
+            if not stored:
+                raise
+    if not stored:
+        raise FileNotFoundError(f"no price list: {cache} is missing and nothing could be fetched")
+    return spark.createDataFrame(stored[0], schemas.PRICES)
+
+
+def load_panel(spark: SparkSession, entries: list[dict], defaults: dict | None = None) -> DataFrame:
+    """Validated panel entries as a table; an error names the entry and its field. A null max_tokens is kept as null."""
+    known = {"name", "model", "group", "reasoning", "prompt_styles", "model_args", "generate", "temperature", "max_tokens", "max_connections", "timeout", "attempt_timeout", "price_model", "note"}
+    d = {"temperature": 0.75, "max_tokens": 512, "max_connections": 16, "timeout": 600, "prompt_styles": ["clean"]} | (defaults or {})
+    rows, seen = [], set()
+    for e in entries:
+        where = f"panel entry {e.get('name')!r}"
+        if extra := set(e) - known:
+            raise ValueError(f"{where}: unknown fields {sorted(extra)}")
+        if not isinstance(e.get("name"), str) or not NAME.fullmatch(e["name"]):
+            raise ValueError(f"{where}: name must match {NAME.pattern}")
+        if e["name"] in seen:
+            raise ValueError(f"{where}: the name occurs twice")
+        seen.add(e["name"])
+        for field, allowed in (("group", domain.GROUPS), ("reasoning", domain.REASONINGS)):
+            if e.get(field) not in allowed:
+                raise ValueError(f"{where}: {field} must be one of {allowed}")
+        gen = e.get("generate") or {}
+        pick = lambda k: e[k] if k in e else gen.get(k, d.get(k))
+        temperature, max_tokens = pick("temperature"), pick("max_tokens")
+        if not 0 <= float(temperature) <= 2:
+            raise ValueError(f"{where}: temperature must lie in [0, 2]")
+        for k, v in (("max_tokens", max_tokens), ("max_connections", pick("max_connections")), ("timeout", pick("timeout"))):
+            if (v is not None or k != "max_tokens") and (isinstance(v, bool) or not isinstance(v, int) or v < 1):
+                raise ValueError(f"{where}: {k} must be a positive whole number")
+        styles = e.get("prompt_styles", d["prompt_styles"])
+        if not styles or any(s not in domain.STYLES for s in styles):
+            raise ValueError(f"{where}: prompt_styles must be some of {domain.STYLES}")
+        price = e.get("price_model") or re.sub("^openrouter/", "", e["model"])
+        rows.append((e["name"], e["model"], e["group"], e["reasoning"], [s for s in domain.STYLES if s in styles], price, float(temperature), max_tokens, pick("max_connections"), pick("timeout"), e.get("note")))
+    return spark.createDataFrame(rows, schemas.PANEL)
+
+
+def select_panel(panel: DataFrame, names: str | list[str] | None = None, reasoning: str | None = None) -> DataFrame:
+    """Entries by name (list or comma-separated) and reasoning; a name that is not in the panel is an error."""
+    if names is not None:
+        wanted = [x.strip() for part in ([names] if isinstance(names, str) else names) for x in part.split(",") if x.strip()]
+        have = {r["name"] for r in panel.select("name").collect()}  # a panel is a hand-written list
+        if missing := [x for x in wanted if x not in have]:
+            raise ValueError(f"not in the panel: {missing}")
+        panel = panel.where(F.col("name").isin(wanted))
+    if reasoning is not None:
+        domain.check_domain("reasoning", reasoning, domain.REASONINGS)
+        panel = panel.where(F.col("reasoning") == reasoning)
+    return panel
+
+
+def panel_units(panel: DataFrame, stage: str) -> DataFrame:
+    """One row per config and prompt style: unit name, key, per-category limit, log folder (smoke has a panel/ level)."""
+    domain.check_domain("stage", stage, domain.RUN_STAGES)
+    units = panel.withColumn("style", F.explode("prompt_styles")).withColumn("stage", F.lit(stage))
+    unit = F.concat_ws("__", "name", "style")
+    folder = F.concat(F.lit(f"logs/{stage}/" + ("panel/" if stage == "smoke" else "")), unit)
+    return units.withColumns({"unit": unit, "key": F.concat_ws("/", "stage", unit), "limit_per_category": F.lit(domain.STAGE_LIMITS[stage]).cast("int"), "log_dir": folder})
+
+
+def markdown_tables(text: str) -> list[tuple[str, list[str], list[list[str]]]]:
+    """(heading, header, rows) of every table of a Markdown text."""
+    out, heading, block = [], "", []
+    for line in [*text.splitlines(), ""]:
+        if line.startswith("|"):
+            block.append([c.strip() for c in line.strip().strip("|").split("|")])
+            continue
+        if len(block) > 2:
+            out.append((heading, block[0], block[2:]))
+        block = []
+        if line.startswith("#"):
+            heading = line.lstrip("#").strip()
+    return out
+
+
+def parse_cell(cell: str) -> tuple[float, float, bool]:
+    """(value, standard error, marked) of "v ± se *"; a dash is NaN."""
+    marked = cell.endswith("*")
+    value, _, se = cell.rstrip("* ").partition("±")
+    number = lambda x: float("nan") if x.strip() in ("", "—") else float(x)
+    return number(value), number(se), marked
+
+
+class Inflight:
+    """The marker of a unit that is being run: a single JSON file; an unreadable one counts as absent."""
+
+    def __init__(self, path: str):
+        self.path = Path(path)
+
+    def write(self, **fields: object) -> None:
+        self.path.write_text(json.dumps(fields, sort_keys=True))
+
+    def read(self) -> dict | None:
+        try:
+            out = json.loads(self.path.read_text())
+            return out if isinstance(out, dict) else None
+        except (OSError, ValueError):
+            return None
+
+    def clear(self) -> None:
+        self.path.unlink(missing_ok=True)
+
+
+def settle_credits(read, before: float, threshold: float, tries: int = 20, wait=time.sleep, seconds: float = 3.0) -> float:
+    """Poll ``read()`` until the balance moved by ``threshold`` and two readings in a row agree; the last reading else."""
+    last = before
+    for _ in range(tries):
+        now = read()
+        if abs(before - now) >= threshold and now == last:
+            return now
+        last = now
+        wait(seconds)
+    return last
