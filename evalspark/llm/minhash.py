@@ -3,8 +3,9 @@
 Under each of ``PERMUTATIONS`` hash permutations both the minimum and the maximum of a document's shingles are kept, so
 64 signature values cost 32 hash evaluations. Documents with equal sets are one class from the start. Candidates come
 from bands in two steps: first every class is held against the smallest member of each of its bands, which settles
-large groups with one link a member; then the pairs of a band that are still in different components are compared.
-A pair passes to confirmation if its one-byte signatures agree often enough; links are decided on the full sets.
+large groups with one link a member; then the members of a band that are still in different components are compared in
+blocks, likeliest pairs first. A pair is confirmed if its one-byte signatures agree often enough; links are decided on
+the full sets. A block gives only links that join components, so no list of all pairs of a group ever exists.
 
 Defined cases: a text without words, or null, has the empty set, links with nothing and is kept; with one to four words
 the whole sequence is the one shingle; rows that repeat a doc_id are judged each by its own text; a null doc_id keeps a
@@ -29,7 +30,8 @@ BANDS, BAND_ROWS = 16, 4
 LINK_PERCENT = 85
 #: Agreeing signature bytes, of 64, that a pair needs for confirmation; 4.3 standard deviations below the mean at 0.85.
 LEAST_AGREE = 42
-BLOCK = 1500
+#: Members of a band, and bytes of their sets, that one block of comparisons holds; larger bands are cut into block pairs.
+BLOCK, BLOCK_BYTES = 1500, 24_000_000
 #: Ids that may be broadcast to pick candidate texts in the scan (16 MB); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 600_000
@@ -144,71 +146,126 @@ def shared_at_least(x: np.ndarray, y: np.ndarray, percent: int = LINK_PERCENT) -
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets share enough; sets are built for the documents that occur in pairs."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the documents whose id is in the distinct ``ids``: picked in the scan if the ids are few."""
     few = ids.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "shingles": [shingle_set(t).tobytes() for t in pdf["text"]]})
 
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return cut(texts.mapInPandas(sets, "doc_id long, shingles binary"))
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets share enough."""
+
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = [shared_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(pdf["xa"], pdf["xb"], strict=True)]
             yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    built = cut(texts.mapInPandas(sets, "doc_id long, shingles binary"))
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    built = shingle_sets(docs, ids)
     left = built.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa"))
     right = built.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb"))
     return pairs.join(left, "a").join(right, "b").mapInPandas(decide, "a long, b long").distinct()
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Likely pairs of one block of a band that lie in different components."""
+def _likely_across(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of likely pairs of one block of a band that lie in different components, and how often they agree."""
     i_chunk, j_chunk = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), -1)
-    rep, comp, chunk = (pdf[c].to_numpy() for c in ("rep", "component", "chunk"))
+    comp, chunk = pdf["component"].to_numpy(), pdf["chunk"].to_numpy()
     left = np.flatnonzero(chunk == i_chunk)
-    out_a, out_b = [], []
+    right = left if i_chunk == j_chunk else np.flatnonzero(chunk == j_chunk)
+    out = []
     for k, i in enumerate(left):
-        others = left[k + 1 :] if i_chunk == j_chunk else np.flatnonzero(chunk == j_chunk)
+        others = left[k + 1 :] if i_chunk == j_chunk else right
         others = others[comp[others] != comp[i]]
         if len(others):
-            near = others[(sig[others] == sig[i]).sum(axis=1) >= LEAST_AGREE]
-            out_a.append(np.minimum(rep[near], rep[i]))
-            out_b.append(np.maximum(rep[near], rep[i]))
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-    return pd.DataFrame({"a": cat(out_a), "b": cat(out_b)})
+            agree = (sig[others] == sig[i]).sum(axis=1)
+            near = agree >= LEAST_AGREE
+            if near.any():
+                out.append((np.full(int(near.sum()), i), others[near], agree[near]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 3
+
+
+def _open_members(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The members of a block that have a likely partner in another component."""
+    a, b, _ = _likely_across(pdf)
+    return pdf.iloc[np.unique(np.concatenate((a, b)))][["band", "rep", "component", "chunk", "i", "j"]]
+
+
+def _link_block(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links that join components, each pair in the first band that it shares; what is joined already is not compared."""
+        a, b, agree = _likely_across(pdf)
+        bands = np.stack(list(pdf["bands"]))
+        key, rep = int(pdf["band"].iloc[0]), pdf["rep"].to_numpy()
+        first = (bands[a] == bands[b]).argmax(axis=1)
+        mine = bands[a, first] == key
+        a, b, agree = a[mine], b[mine], agree[mine]
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        comp = pdf["component"].tolist()
+        parent = {c: c for c in comp}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for k in np.argsort(-agree, kind="stable").tolist():
+            i, j = int(a[k]), int(b[k])
+            x, y = root(comp[i]), root(comp[j])
+            if x != y and shared_at_least(sets[i], sets[j], percent):
+                parent[max(x, y)] = min(x, y)
+                links.append((int(rep[i]), int(rep[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = cut(signatures(docs))
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
-    reps = cut(classes.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    members = reps.select("rep", F.explode("bands").alias("band"))
-    full = cut(members.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1"))
+    reps = cut(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    members = reps.select("rep", "size", F.explode("bands").alias("band"))
+    full = cut(members.groupBy("band").agg(F.count("*").alias("n"), (F.sum("size") * 8).alias("weight"), F.min("rep").alias("first")).where("n > 1"))
     members = cut(members.join(full, "band"))
 
     stars = cut(_likely(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), reps))
     links = cut(confirm(stars, docs, percent))
     parts = connected_components(links)
 
-    placed = cut(members.join(parts, members["rep"] == parts["node"], "left").select("band", "n", "rep", F.coalesce("component", "rep").alias("component")))
+    placed = cut(members.join(parts, members["rep"] == parts["node"], "left").select("band", "n", "weight", "rep", F.coalesce("component", "rep").alias("component")))
     mixed = cut(placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band"))
-    open_rows = placed.join(mixed, "band").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    open_rows = open_rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    open_rows = open_rows.join(reps.select("rep", "sig"), "rep").select("band", "rep", "component", "chunk", "sig", F.least("chunk", "other").cast("int").alias("i"), F.greatest("chunk", "other").cast("int").alias("j"))
-    across = open_rows.groupBy("band", "i", "j").applyInPandas(_across, "a long, b long").distinct()
-    across = cut(across.join(stars, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        more = cut(confirm(across, docs, percent))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_BYTES)).cast("int")
+    rows_open = placed.join(mixed, "band").withColumn("chunks", blocks)
+    rows_open = rows_open.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    rows_open = rows_open.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows_open = rows_open.select("band", "rep", "component", "chunk", F.least("chunk", "other").cast("int").alias("i"), F.greatest("chunk", "other").cast("int").alias("j"))
+    near = rows_open.join(reps.select("rep", "sig"), "rep").groupBy("band", "i", "j").applyInPandas(_open_members, "band long, rep long, component long, chunk int, i int, j int")
+    near = cut(near)
+    if not near.isEmpty():
+        sets = shingle_sets(docs, cut(near.select(F.col("rep").alias("doc_id")).distinct()))
+        full = near.join(reps.select("rep", "sig", "bands"), "rep").join(sets, F.col("rep") == F.col("doc_id")).drop("doc_id")
+        more = cut(full.groupBy("band", "i", "j").applyInPandas(_link_block(percent), "a long, b long").distinct())
         if not more.isEmpty():
             parts = connected_components(links.unionByName(more))
     found = cut(reps.join(parts, reps["rep"] == parts["node"], "left").select("digest", F.coalesce("component", "rep").alias("component")))
     out = rows.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
+    """``docs`` without the near-duplicates of a smaller doc_id; all columns stay, rows of one kept doc_id all stay.
+
+    Only the ids that go are joined back: they are broadcast if they are few, else the join shuffles.
+    """
+    gone = cut(near_duplicates(docs.select("doc_id", "text"), percent).where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
