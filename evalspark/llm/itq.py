@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts_for
 from .components import connected_components
 
 COSINE = 0.9
@@ -30,6 +30,8 @@ RECALL = 0.97
 SAMPLE_ROWS = 4096
 ITERATIONS = 30
 BLOCK = 1500
+#: Rows of buckets that are handed to Python together; small buckets would cost more in calls than in comparisons.
+ROWS_A_CELL = 10_000
 
 
 def usable_numbers(v: Column, dim: int) -> Column:
@@ -105,33 +107,48 @@ def local_groups(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _bucket(dim: int, kind: str, cosine: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table, i_chunk, j_chunk = (int(pdf[c].iloc[0]) for c in ("table", "i", "j"))
-        pdf = pdf.sort_values("rep", kind="stable")
-        x = unit(np.frombuffer(b"".join(pdf["v"]), dtype=kind).reshape(-1, dim))
-        seg = np.frombuffer(b"".join(pdf["segs"]), dtype="<i4").reshape(len(pdf), -1)[:, : table + 1]
-        rep, copies, chunk = (pdf[c].to_numpy() for c in ("rep", "copies", "chunk"))
-        rows = np.flatnonzero(chunk == i_chunk)
-        cols = rows if i_chunk == j_chunk else np.flatnonzero(chunk == j_chunk)
-        a, b = [], []
-        for k in range(0, len(rows), 512):
-            part = rows[k : k + 512]
-            hit = x[part] @ x[cols].T >= cosine
-            if i_chunk == j_chunk:
-                hit &= cols[None, :] > part[:, None]
-            p, q = np.nonzero(hit)
+def _link_block(x: np.ndarray, seg: np.ndarray, rep: np.ndarray, copies: np.ndarray, chunk: np.ndarray, same: bool, cosine: float) -> pd.DataFrame | None:
+    """Links of one block of a bucket that no earlier table has: number of links and smallest local member of each row."""
+    rows = np.flatnonzero(chunk == chunk.min())
+    cols = rows if same else np.flatnonzero(chunk != chunk.min())
+    a, b = [], []
+    for k in range(0, len(rows), 512):
+        part = rows[k : k + 512]
+        hit = x[part] @ x[cols].T >= cosine
+        if same:
+            hit &= cols[None, :] > part[:, None]
+        p, q = np.nonzero(hit)
+        if len(p):
             p, q = part[p], cols[q]
-            new = np.ones(len(p), dtype=bool)
-            for t in range(table):
-                new &= seg[p, t] != seg[q, t]
+            new = ~(seg[p] == seg[q]).any(axis=1)
             a.append(p[new])
             b.append(q[new])
-        a, b = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (a, b))
-        links = np.bincount(a, weights=copies[b], minlength=len(rep)) + np.bincount(b, weights=copies[a], minlength=len(rep))
-        root = rep[local_groups(a, b, len(rep))]
-        some = links > 0
-        return pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "root": root[some]})
+    if not a or not sum(map(len, a)):
+        return None
+    a, b = np.concatenate(a), np.concatenate(b)
+    links = np.bincount(a, weights=copies[b], minlength=len(rep)) + np.bincount(b, weights=copies[a], minlength=len(rep))
+    root = rep[local_groups(a, b, len(rep))]
+    some = links > 0
+    return pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "root": root[some]})
+
+
+def _cell(dim: int, kind: str, cosine: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Blocks of many buckets; each is compared within itself."""
+        pdf = pdf.sort_values(["table", "value", "i", "j", "rep"], kind="stable")
+        x = unit(np.frombuffer(b"".join(pdf["v"]), dtype=kind).reshape(-1, dim))
+        seg = np.frombuffer(b"".join(pdf["segs"]), dtype="<i4").reshape(len(pdf), -1)
+        key = pdf[["table", "value", "i", "j"]].to_numpy()
+        rep, copies, chunk = (pdf[c].to_numpy() for c in ("rep", "copies", "chunk"))
+        edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True])))
+        out = [pd.DataFrame({"rep": [], "links": [], "root": []}, dtype=np.int64)]
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                s = slice(lo, hi)
+                got = _link_block(x[s], seg[s, : key[lo, 0]], rep[s], copies[s], chunk[s], key[lo, 2] == key[lo, 3], cosine)
+                if got is not None:
+                    out.append(got)
+        return pd.concat(out, ignore_index=True)
 
     return run
 
@@ -172,8 +189,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     placed = placed.join(full, ["table", "value"]).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = placed.select("rep", "table", "value", "chunk", F.least("chunk", "other").cast("int").alias("i"), F.greatest("chunk", "other").cast("int").alias("j"))
-    members = placed.join(coded.drop("seg"), "rep")
-    found = cut(members.groupBy("table", "value", "i", "j").applyInPandas(_bucket(dim, kind, cosine), "rep long, links long, root long"))
+    cell = F.pmod(F.xxhash64("table", "value", "i", "j"), F.lit(parts_for(n * tables, ROWS_A_CELL))).cast("int")
+    members = placed.withColumn("cell", cell).join(coded.drop("seg"), "rep")
+    found = cut(members.groupBy("cell").applyInPandas(_cell(dim, kind, cosine), "rep long, links long, root long"))
 
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, parts_for
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -32,6 +32,8 @@ LINK_PERCENT = 85
 LEAST_AGREE = 42
 #: Members of a band, and bytes of their sets, that one block of comparisons holds; larger bands are cut into block pairs.
 BLOCK, BLOCK_BYTES = 1500, 24_000_000
+#: Band members that are handed to Python together.
+ROWS_A_CELL = 5000
 #: Ids that may be broadcast to pick candidate texts in the scan (16 MB); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 600_000
@@ -181,6 +183,8 @@ def _likely_across(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
     left = np.flatnonzero(chunk == i_chunk)
     right = left if i_chunk == j_chunk else np.flatnonzero(chunk == j_chunk)
     out = []
+    if (comp == comp[0]).all():
+        left = left[:0]
     for k, i in enumerate(left):
         others = left[k + 1 :] if i_chunk == j_chunk else right
         others = others[comp[others] != comp[i]]
@@ -195,7 +199,17 @@ def _likely_across(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _open_members(pdf: pd.DataFrame) -> pd.DataFrame:
     """The members of a block that have a likely partner in another component."""
     a, b, _ = _likely_across(pdf)
-    return pdf.iloc[np.unique(np.concatenate((a, b)))][["band", "rep", "component", "chunk", "i", "j"]]
+    return pdf.iloc[np.unique(np.concatenate((a, b)))]
+
+
+def _open_cells(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The same over many blocks at once."""
+    cols = ["band", "rep", "component", "chunk", "i", "j"]
+    pdf = pdf.sort_values(["band", "i", "j", "rep"], kind="stable")
+    key = pdf[["band", "i", "j"]].to_numpy()
+    edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True])))
+    parts = [_open_members(pdf.iloc[lo:hi]) for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if hi - lo > 1]
+    return pd.concat([pdf.iloc[:0], *parts])[cols]
 
 
 def _link_block(percent: int):
@@ -248,7 +262,8 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     rows_open = rows_open.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     rows_open = rows_open.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows_open = rows_open.select("band", "rep", "component", "chunk", F.least("chunk", "other").cast("int").alias("i"), F.greatest("chunk", "other").cast("int").alias("j"))
-    near = rows_open.join(reps.select("rep", "sig"), "rep").groupBy("band", "i", "j").applyInPandas(_open_members, "band long, rep long, component long, chunk int, i int, j int")
+    rows_open = rows_open.withColumn("cell", F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts_for(members.count(), ROWS_A_CELL))).cast("int"))
+    near = rows_open.join(reps.select("rep", "sig"), "rep").groupBy("cell").applyInPandas(_open_cells, "band long, rep long, component long, chunk int, i int, j int")
     near = cut(near)
     if not near.isEmpty():
         sets = shingle_sets(docs, cut(near.select(F.col("rep").alias("doc_id")).distinct()))
