@@ -81,6 +81,11 @@ def _steps(text: Column, strict: Column, letters: dict[str, Column], bare: Colum
     return out.otherwise(_none("no_match"))
 
 
+def _three(choices: str = "choices") -> Column:
+    """``choices``, or an error if there are not three."""
+    return F.when(F.size(choices) == 3, F.col(choices)).otherwise(F.raise_error(F.lit("exactly 3 choices are needed")).cast("array<string>"))
+
+
 def read_clean(df: DataFrame) -> DataFrame:
     """Adds ``parse`` (index 0..2 or null, stage, detail) for free answers in ``completion`` with three ``choices``.
 
@@ -88,7 +93,7 @@ def read_clean(df: DataFrame) -> DataFrame:
     """
     c = F.col
     df = df.withColumn("_t", plain(strip_reasoning(F.coalesce("completion", F.lit("")))))
-    df = df.withColumns({"_rows": F.filter(lines(c("_t")), lambda x: x != ""), "_fold": folded(c("_t")), "_names": F.transform("choices", folded)})
+    df = df.withColumns({"_rows": F.filter(lines(c("_t")), lambda x: x != ""), "_fold": folded(c("_t")), "_names": F.transform(_three(), folded)})
     inside = lambda i, j: (F.get("_names", i) != F.get("_names", j)) & F.contains(F.get("_names", j), F.get("_names", i))
     df = df.withColumns({
         "_strict": F.regexp_extract(F.coalesce(F.try_element_at("_rows", F.lit(-1)), F.lit("")), STRICT_LINE, 1),
@@ -107,14 +112,14 @@ def read_clean(df: DataFrame) -> DataFrame:
 
 def read_paper(df: DataFrame) -> DataFrame:
     """Adds ``parse`` for answers in the published form: for each option in turn an exact form, then containment; the first wins."""
-    df = df.withColumn("_t", strip_reasoning(F.coalesce("completion", F.lit(""))))
+    df = df.withColumns({"_t": strip_reasoning(F.coalesce("completion", F.lit(""))), "_three": _three()})
     text = F.col("_t")
     out = F.when(text == "", _none("no_match"))
     for i in range(3):
-        value = F.get("choices", F.lit(i))
+        value = F.get("_three", F.lit(i))
         exact = (text == F.concat(F.lit(f"Option {i}: "), value)) | (text == F.concat(F.lit(f"{i}: "), value)) | (text == str(i))
         out = out.when(exact, _result(F.lit(i), "strict", "exact_form")).when((value != "") & F.contains(text, value), _result(F.lit(i), "lenient", "option_text"))
-    return df.withColumn("parse", out.otherwise(_none("no_match"))).drop("_t")
+    return df.withColumn("parse", out.otherwise(_none("no_match"))).drop("_t", "_three")
 
 
 def outcome(index: Column, text: Column, stop_reason: Column) -> Column:
