@@ -47,6 +47,13 @@ def bound_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def free_prefix(df: DataFrame, stem: str) -> str:
+    """A prefix that no column of ``df`` begins with."""
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem += "_"
+    return stem
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null text counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

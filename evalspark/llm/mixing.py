@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, free_prefix, word_count
 
 KEY_BUCKETS = 4096
 MOST_EPOCHS = 3
@@ -96,14 +96,15 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: str = SEED) -> Dat
 
 def apply_mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of ``docs``, with all its columns, as often as the mix takes it."""
-    ref = "_mix_ref"
+    p = free_prefix(docs, "_mix_")
     text = F.col("text")
     # rows are told apart by what decides their fate: equal (doc_id, source, text) rows are taken alike
     key = F.xxhash64("doc_id", "source", "text")
-    planned = cut(docs.select(F.col("doc_id"), F.col("source"), word_count(text).alias("size"), exponential_key(F.col("doc_id"), text_quality(text), seed).alias("key"), key.alias(ref)).withColumn("bucket", key_bucket(F.col("key"))))
-    plan = plan_mix(planned).groupBy("doc_id", ref).agg(F.sum(F.col("epochs") + F.col("picked").cast("long")).alias("_times"), F.count("*").alias("_rows"))
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col(ref).alias("_mix_hash"), F.col("_times"), F.col("_rows")).where("_times > 0")
-    joined = docs.withColumn(ref, key).join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col(ref) == F.col("_mix_hash")))
+    rows = docs.select("doc_id", "source", word_count(text).alias("size"), exponential_key(F.col("doc_id"), text_quality(text), seed).alias("key"), key.alias("ref"))
+    taken = plan_mix(cut(rows.withColumn("bucket", key_bucket(F.col("key")))))
+    plan = taken.groupBy("doc_id", "ref").agg(F.sum(F.col("epochs") + F.col("picked").cast("long")).alias("times"), F.count("*").alias("rows"))
     # several wholly equal rows cannot be told apart: each repeats the rounded mean number of times of its group
-    times = F.round(F.col("_times") / F.col("_rows")).cast("int")
-    return joined.where(times > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = F.round(F.col("times") / F.col("rows")).cast("int")
+    plan = plan.select(F.col("doc_id").alias(f"{p}id"), F.col("ref").alias(f"{p}hash"), times.alias(f"{p}times")).where(F.col(f"{p}times") > 0)
+    joined = docs.withColumn(f"{p}ref", key).join(plan, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}ref") == F.col(f"{p}hash")))
+    return joined.withColumn(f"{p}copy", F.explode(F.array_repeat(F.lit(1), F.col(f"{p}times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, cut
 from .sharding import number_rows
-from .tokens import cut_at_white_space, encoder
+from .tokens import WordEncoder, encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -125,7 +125,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer_path, cut_at_white_space)
+        enc = encoder(tokenizer_path, WordEncoder)
         end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for pdf in batches:
             rows = []

@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_prefix
+
 # fixed values: patterns of the base kinds, in the order in which kinds are listed
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -107,16 +109,17 @@ def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with base_spans, spans (arrays of start, ord, end, kind), n_assign, n_access, n_hex added."""
+def scan_secrets(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """``docs`` with <prefix>base_spans, spans (arrays of start, ord, end, kind), n_assign, n_access, n_hex added."""
+    t, n = free_prefix(docs, "_scan_"), prefix
     text = F.coalesce(F.col("text"), F.lit(""))
     a, c, h = base_spans(text)
-    df = docs.withColumns({"_assign": a, "_access": c, "_hex": h, "_entropy": entropy_spans(text)})
-    df = df.withColumn("base_spans", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    extra = F.filter("_entropy", lambda e: ~F.exists("base_spans", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    df = df.withColumn("spans", F.array_sort(F.concat("base_spans", extra)))
-    df = df.withColumns({f"n_{k}": F.size(f"_{k}").cast("long") for k in ("assign", "access", "hex")})
-    return df.drop("_assign", "_access", "_hex", "_entropy")
+    df = docs.withColumns({f"{t}assign": a, f"{t}access": c, f"{t}hex": h, f"{t}entropy": entropy_spans(text)})
+    df = df.withColumn(f"{n}base_spans", F.array_sort(F.concat(f"{t}assign", f"{t}access", f"{t}hex")))
+    extra = F.filter(f"{t}entropy", lambda e: ~F.exists(f"{n}base_spans", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    df = df.withColumn(f"{n}spans", F.array_sort(F.concat(f"{n}base_spans", extra)))
+    df = df.withColumns({f"{n}n_{k}": F.size(f"{t}{k}").cast("long") for k in ("assign", "access", "hex")})
+    return df.drop(*[f"{t}{k}" for k in ("assign", "access", "hex", "entropy")])
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
@@ -125,6 +128,17 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     return s.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_digest(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
 
 
+def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span masked in ``text``; ``n_chars``, if there is one, follows. No row goes, no column is added."""
+    p = free_prefix(docs, "_found_")
+    df = scan_secrets(docs, p)
+    hit = F.size(f"{p}spans") > 0
+    df = df.withColumn("text", F.when(hit, redact(F.col("text"), F.col(f"{p}spans"), mask)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        df = df.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """``text`` with every span replaced by ``mask``; overlapping spans give one mask."""
     st = F.aggregate(

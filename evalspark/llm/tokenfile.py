@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, ensure_checkpoint_dir
-from .tokens import cut_before_spaces, encoder
+from .tokens import SpacedEncoder, encoder
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        enc, shard, block = encoder(tokenizer_path, cut_before_spaces), TaskContext.get().partitionId(), 0
+        enc, shard, block = encoder(tokenizer_path, SpacedEncoder), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         ids, names, held = [], [], 0
 

@@ -1,69 +1,106 @@
-"""Encoding with a tokenizers file, fast enough for corpora: each distinct chunk of text is encoded once a worker.
+"""Encoding with a tokenizers file, fast enough for corpora: each distinct word of a text is encoded once a worker.
 
-A text is cut only where the tokenizer itself always cuts, so the ids of the chunks in a row are the ids of the text.
-The cache of a worker holds a bounded number of chunks; what falls out is encoded again when it returns.
+A text is cut only where the tokenizer itself always cuts, so the ids of the pieces in a row are the ids of the text:
+at white space first, and a word that is new also between a letter and one of a few ASCII marks, so that "word" and
+"word," share the letters' ids. A worker's caches hold a bounded number of words; what falls out is encoded again when
+it returns. A text that may hold a special token is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks a worker keeps; some 150 bytes each.
-CACHE_CHUNKS = 700_000
-#: A space in front of a character that is no white space starts a new pre-token in byte-level BPE.
-_SPACE = re.compile(r" (?=\S)")
-#: White space is dropped by the word tokenizer and always ends a pre-token.
-_ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")
-
-
-def cut_before_spaces(text: str) -> list[str]:
-    """Chunks of a byte-level text; all but the first keep their leading space."""
-    first, *rest = _SPACE.split(text)
-    return ([first] if first else []) + [" " + x for x in rest]
-
-
-def cut_at_white_space(text: str) -> list[str]:
-    return [x for x in _ASCII_SPACE.split(text) if x]
+#: Words a worker keeps; some 200 bytes each.
+CACHE_WORDS = 600_000
+#: Between a letter and one of these marks there is always a cut; the apostrophe is not among them.
+_MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,!#$%&*|])")
+_SPACED = re.compile(r" (?=\S)")
+#: A space and any white space: where neither occurs, splitting at spaces is splitting before each word.
+_PAIRS = tuple(" " + chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cut: Callable[[str], list[str]], cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut, self.most, self.cache = cut, cache_chunks, {}
+        self.most = cache_words
+        self.words: dict = {}
+        self.parts: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list:
+        """The words of a text, as keys of the cache."""
+        raise NotImplementedError
+
+    def text_of(self, word) -> str:
+        """What a key stands for in the text."""
+        raise NotImplementedError
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list) -> None:
+        split = [_MARK.split(self.text_of(w)) for w in words]
+        new = list({p for s in split for p in s}.difference(self.parts))
+        for i in range(0, len(new), 20_000):
+            self.parts.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000]), strict=True))
+        get = self.parts.__getitem__
+        self.words.update((w, b"".join(map(get, s))) for w, s in zip(words, split, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
-        chunks = [self.cut(t) if t else [] for t in texts]
-        if len(self.cache) > self.most:
-            self.cache = {}
-        cache, new = self.cache, set()
-        for c in chunks:
-            new.update(c)
-        new = [x for x in new if x not in cache]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[x] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, c)) for c in chunks]
+        if len(self.words) > self.most:
+            self.words = {}
+        if len(self.parts) > self.most:
+            self.parts = {}
+        cut = [self.cut(t) if t and "<|" not in t else [] for t in texts]
+        seen: set = set()
+        for c in cut:
+            seen.update(c)
+        self._learn(list(seen.difference(self.words)))
+        get = self.words.__getitem__
+        return [self._encode([t])[0] if t and "<|" in t else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+
+
+class SpacedEncoder(Encoder):
+    """Byte-level BPE: a space in front of a character that is no white space begins a word and belongs to it."""
+
+    def cut(self, text: str) -> list[str]:
+        words = text.split(" ") if not text.endswith(" ") and not any(p in text for p in _PAIRS) else _SPACED.split(text)
+        if words[0]:
+            words[0] = "\n" + words[0]  # no other word begins with white space: this one has no space in front
+        else:
+            del words[0]
+        return words
+
+    def text_of(self, word: str) -> str:
+        return word[1:] if word[0] == "\n" else " " + word
+
+
+class WordEncoder(Encoder):
+    """BPE that lowers case and drops white space; keys are the lower-cased (ASCII) bytes of the words."""
+
+    def cut(self, text: str) -> list[bytes]:
+        return text.encode().lower().split()
+
+    def text_of(self, word: bytes) -> str:
+        return word.decode()
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, cut: Callable[[str], list[str]]) -> Encoder:
+def encoder(path: str, kind: type[Encoder]) -> Encoder:
     """One encoder a worker process and file."""
-    key = (path, cut.__name__)
+    key = (path, kind.__name__)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, cut)
+        _encoders[key] = kind(path)
     return _encoders[key]
 
 
