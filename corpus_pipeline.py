@@ -7,7 +7,6 @@ stage's ``docs``. All but the last return the columns of ``documents`` (and any
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from evalspark.llm import minhash, mixing, packing, quality, secretscan, tokenfile
 from evalspark.llm.common import read, ship_package
@@ -28,12 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text, and n_chars follows; no document goes."""
-    found = secretscan.scan_secrets(docs)
-    text = F.when(F.size("spans") > 0, secretscan.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    clean = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return secretscan.mask_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
