@@ -57,11 +57,15 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def learn(sample: np.ndarray, rotations: int, iterations: int = ITERATIONS, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Mean and ``rotations`` projections, each from another random start."""
+    """Origin and ``rotations`` projections, each from another random start.
+
+    Directions, not positions, are compared by cosine, so the components are taken about the origin: around its own
+    mean a tight group would be split by noise.
+    """
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
-    mean = sample.mean(axis=0)
-    x = sample - mean
+    origin = np.zeros(d)
+    x = sample
     _, vectors = np.linalg.eigh(x.T @ x / max(len(x), 1) + 1e-12 * np.eye(d))
     p = vectors[:, ::-1]
     y = x @ p
@@ -72,7 +76,7 @@ def learn(sample: np.ndarray, rotations: int, iterations: int = ITERATIONS, seed
             u, _, vt = np.linalg.svd(np.where(y @ r >= 0, 1.0, -1.0).T @ y)
             r = (u @ vt).T
         out.append(p @ r)
-    return mean, out
+    return origin, out
 
 
 def plan_tables(n: int, dim: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int, int]:
@@ -83,12 +87,12 @@ def plan_tables(n: int, dim: int, cosine: float = COSINE, recall: float = RECALL
     return bits, tables, -(-tables // (dim // bits))
 
 
-def segments(x: np.ndarray, mean: np.ndarray, projections: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
+def segments(x: np.ndarray, origin: np.ndarray, projections: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
     """Values of the first ``tables`` segments of each row's codes."""
     weights = 1 << np.arange(bits, dtype=np.int64)
     out = []
     for p in projections:
-        code = ((x - mean) @ p) >= 0
+        code = ((x - origin) @ p) >= 0
         out += [code[:, k : k + bits] @ weights for k in range(0, code.shape[1] - bits + 1, bits)]
     return np.stack(out[:tables], axis=1)
 
@@ -175,11 +179,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
 
     bits, tables, rotations = plan_tables(n, dim, cosine, recall)
     sample = reps.orderBy(F.xxhash64("digest")).limit(SAMPLE_ROWS).select("v").collect()  # bounded
-    mean, projections = learn(unit(np.frombuffer(b"".join(r["v"] for r in sample), dtype=kind).reshape(-1, dim)), rotations)
+    origin, projections = learn(unit(np.frombuffer(b"".join(r["v"] for r in sample), dtype=kind).reshape(-1, dim)), rotations)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            s = segments(unit(np.frombuffer(b"".join(pdf["v"]), dtype=kind).reshape(-1, dim)), mean, projections, bits, tables) if len(pdf) else np.zeros((0, tables), dtype=np.int64)
+            s = segments(unit(np.frombuffer(b"".join(pdf["v"]), dtype=kind).reshape(-1, dim)), origin, projections, bits, tables) if len(pdf) else np.zeros((0, tables), dtype=np.int64)
             s = s.astype("<i4")
             yield pdf.assign(segs=[r.tobytes() for r in s], seg=list(s))
 

@@ -83,12 +83,12 @@ def test_candidates_beyond_the_broadcast_bound_are_joined(spark, docs, monkeypat
 
 def test_min_max_estimates_resemblance():
     rng = np.random.default_rng(0)
-    pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
     agree = []
-    for k in range(30):
-        a, b = np.unique(pool[k : k + 1000]), np.unique(pool[k + 150 : k + 1150])
+    for _ in range(60):
+        pool = rng.integers(0, 2**63, 1150, dtype=np.uint64)
+        a, b = np.unique(pool[:1000]), np.unique(pool[150:])
         agree.append((minhash.min_max(a) == minhash.min_max(b)).mean())
-    assert abs(np.mean(agree) - 850 / 1150) < 0.05
+    assert abs(np.mean(agree) - 850 / 1150) < 0.03
     v = minhash.min_max(np.array([5], dtype=np.uint64))
     assert len(v) == 2 * minhash.PERMUTATIONS and np.array_equal(v[::2], v[1::2])
 
@@ -167,7 +167,7 @@ def test_itq_recall_at_the_threshold():
     same = (itq.segments(x, mean, p, bits, tables) == itq.segments(y, mean, p, bits, tables)).any(axis=1)
     assert same.mean() >= 0.9
     code = (x - mean) @ p[0] >= 0
-    assert np.all(np.abs(code.mean(axis=0) - 0.5) < 0.06)  # balanced bits
+    assert np.all(np.abs(code.mean(axis=0) - 0.5) < 0.1)  # balanced bits
 
 
 @pytest.mark.parametrize("n, words, k", [(400, 4, 10), (30, 2, 10), (5, 1, 10), (1, 4, 3)])
