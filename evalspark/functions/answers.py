@@ -44,12 +44,31 @@ REFUSALS = (
     "not appropriate",
 )
 REFUSAL = "(?iU)(?:" + "|".join(REFUSALS) + ")"
+#: A text must hold one of these, in lower case, for the patterns of a step to match: plain searches that spare most
+#: texts the regular expressions.
+HINTS = {
+    "answer": ("respuest", "answer"),
+    "phrase": ("respuesta", "opci", "alternativa", "answer", "option", "choice"),
+    "reference": ("elige", "selecciona", "elijo", "escojo", "elegir", "quedo", "choose", "select", "pick", "opci", "option", "alternativa"),
+    "refusal": ("no puedo", "no me es", "lo siento", "me niego", "no es apropiado", "no debo", "como ", "i can", "i cannot", "m sorry", "i am sorry", "m not able", "m unable", "as an ai", "i won", "not appropriate"),
+}
 
 RESULT = "struct<index:int,stage:string,detail:string>"
 
 
-def is_refusal(text: Column) -> Column:
-    return text.rlike(REFUSAL)
+def _low(text: Column) -> Column:
+    return F.translate(F.lower(text), "ſ", "s")
+
+
+def _hinted(low: Column, step: str) -> Column:
+    out = F.lit(False)
+    for hint in HINTS[step]:
+        out = out | F.contains(low, F.lit(hint))
+    return out
+
+
+def is_refusal(text: Column, low: Column | None = None) -> Column:
+    return _hinted(_low(text) if low is None else low, "refusal") & text.rlike(REFUSAL)
 
 
 def _result(index: Column, stage: str, detail: str) -> Column:
@@ -72,6 +91,10 @@ def _on_lines(rows: Column, pattern: str) -> Column:
     return F.filter(F.transform(rows, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
 
 
+def _when(step: str, letters: Column) -> Column:
+    return F.when(_hinted(F.col("_low"), step), letters).otherwise(F.array().cast("array<string>"))
+
+
 def _steps(text: Column, strict: Column, letters: dict[str, Column], bare: Column, refused: Column, options: Column) -> Column:
     out = F.when(text == "", _none("no_match")).when(strict != "", _result(_index(strict), "strict", "last_line"))
     for detail, found in letters.items():
@@ -93,21 +116,21 @@ def read_clean(df: DataFrame) -> DataFrame:
     """
     c = F.col
     df = df.withColumn("_t", plain(strip_reasoning(F.coalesce("completion", F.lit("")))))
-    df = df.withColumns({"_rows": F.filter(lines(c("_t")), lambda x: x != ""), "_fold": folded(c("_t")), "_names": F.transform(_three(), folded)})
+    df = df.withColumns({"_rows": F.filter(lines(c("_t")), lambda x: x != ""), "_fold": folded(c("_t")), "_low": _low(c("_t")), "_names": F.transform(_three(), folded)})
     inside = lambda i, j: (F.get("_names", i) != F.get("_names", j)) & F.contains(F.get("_names", j), F.get("_names", i))
     df = df.withColumns({
         "_strict": F.regexp_extract(F.coalesce(F.try_element_at("_rows", F.lit(-1)), F.lit("")), STRICT_LINE, 1),
-        "_answer": F.array_distinct(F.concat(F.transform(F.regexp_extract_all("_t", F.lit(ANSWER_LINE), F.lit(1)), lambda x: F.upper(x)), _on_lines(c("_rows"), NO_COLON_LINE))),
-        "_phrase": _found(c("_t"), PHRASES),
-        "_option": F.array_union(_found(c("_t"), REFERENCES), _on_lines(c("_rows"), REFERENCE_LINE)),
+        "_answer": _when("answer", F.array_distinct(F.concat(F.transform(F.regexp_extract_all("_t", F.lit(ANSWER_LINE), F.lit(1)), lambda x: F.upper(x)), _on_lines(c("_rows"), NO_COLON_LINE)))),
+        "_phrase": _when("phrase", _found(c("_t"), PHRASES)),
+        "_option": _when("reference", F.array_union(_found(c("_t"), REFERENCES), _on_lines(c("_rows"), REFERENCE_LINE))),
         "_bare": F.regexp_extract("_t", BARE_LETTER, 1),
-        "_refused": is_refusal(c("_t")),
+        "_refused": is_refusal(c("_t"), c("_low")),
         "_present": F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: (F.get("_names", i) != "") & F.contains(c("_fold"), F.get("_names", i))),
     })
     df = df.withColumn("_in", F.filter("_present", lambda i: ~F.exists("_present", lambda j: inside(i, j))))
     letters = {"answer_line": c("_answer"), "answer_phrase": c("_phrase"), "option_ref": c("_option")}
     df = df.withColumn("parse", _steps(c("_t"), c("_strict"), letters, c("_bare"), c("_refused"), c("_in")))
-    return df.drop("_t", "_rows", "_fold", "_names", "_strict", "_answer", "_phrase", "_option", "_bare", "_refused", "_present", "_in")
+    return df.drop("_t", "_rows", "_fold", "_low", "_names", "_strict", "_answer", "_phrase", "_option", "_bare", "_refused", "_present", "_in")
 
 
 def read_paper(df: DataFrame) -> DataFrame:

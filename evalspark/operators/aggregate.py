@@ -22,11 +22,15 @@ def group_counts(scored: DataFrame) -> DataFrame:
 
 
 def complete_grid(counts: DataFrame) -> DataFrame:
-    """Every split a run has, times 'all' and every category the run has in any split; absent groups count 0."""
-    splits = counts.select("run_key", "split").distinct()
-    groups = counts.select("run_key", "grp").distinct()
-    full = splits.join(groups, "run_key").join(counts, ["run_key", "split", "grp"], "left")
-    return full.fillna(0.0, subset=["n", *COUNTED])
+    """Every split a run has, times 'all' and every category the run has in any split; absent groups count 0.
+
+    The few counts of a run are gathered and laid out again, so the input is read once and nothing is joined.
+    """
+    cell = F.struct(F.struct("split", "grp").alias("key"), F.struct("n", *COUNTED).alias("value"))
+    runs = counts.groupBy("run_key").agg(F.collect_set("split").alias("splits"), F.collect_set("grp").alias("groups"), F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    full = runs.withColumn("split", F.explode("splits")).withColumn("grp", F.explode("groups"))
+    got = full.withColumn("c", F.try_element_at("cells", F.struct("split", "grp")))
+    return got.select("run_key", "split", "grp", *[F.coalesce(F.col("c")[k], F.lit(0.0)).alias(k) for k in ("n", *COUNTED)])
 
 
 def wide_metrics(counts: DataFrame, tie_sign: int = 1) -> DataFrame:
