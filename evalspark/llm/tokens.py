@@ -2,26 +2,59 @@
 
 A text is cut only where the tokenizer itself always cuts, so the ids of the pieces in a row are the ids of the text:
 at white space first, and a word that is new also between a letter and one of a few ASCII marks, so that "word" and
-"word," share the letters' ids. A worker's caches hold a bounded number of words; what falls out is encoded again when
-it returns. A text that may hold a special token is encoded whole.
+"word," share the letters' ids. Parts that are plain Latin letters are one pre-token and go straight to the file's
+merge model; all others run through the whole tokenizer. A worker's caches hold a bounded number of words in two
+generations; what falls out is encoded again when it returns. A text that may hold a special token is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
-import numpy as np
-
-#: Words a worker keeps; some 200 bytes each.
-CACHE_WORDS = 600_000
+#: Words (and parts of words) a worker keeps, in two generations; some 200 bytes each.
+CACHE_WORDS = 900_000
 #: Between a letter and one of these marks there is always a cut; the apostrophe is not among them.
-_MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,!#$%&*|])")
+_MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!#$%&*|])")
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SPACED = re.compile(r" (?=\S)")
 #: A space and any white space: where neither occurs, splitting at spaces is splitting before each word.
 _PAIRS = tuple(" " + chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
+def _byte_characters() -> dict[int, str]:
+    """How byte-level BPE writes bytes: printable ones as themselves, the others as characters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_characters()
+
+
+class Generations:
+    """A cache of two halves: when the young half is full it becomes the old one, and what is used again moves over."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = max(1, most // 2), {}, {}
+
+    def settle(self) -> None:
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that neither half has; those of the old half move to the young one."""
+        out, young, old = [], self.young, self.old
+        for k in keys.difference(young):
+            v = old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                young[k] = v
+        return out
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
@@ -30,9 +63,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = cache_words
-        self.words: dict = {}
-        self.parts: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words, self.parts = Generations(cache_words), Generations(cache_words)
 
     def cut(self, text: str) -> list:
         """The words of a text, as keys of the cache."""
@@ -42,30 +74,42 @@ class Encoder:
         """What a key stands for in the text."""
         raise NotImplementedError
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def normal(self, part: str) -> str:
+        """A plain part as the tokenizer's normalizer leaves it."""
+        raise NotImplementedError
+
+    def _encode(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, words: list) -> None:
         split = [_MARK.split(self.text_of(w)) for w in words]
-        new = list({p for s in split for p in s}.difference(self.parts))
-        for i in range(0, len(new), 20_000):
-            self.parts.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000]), strict=True))
-        get = self.parts.__getitem__
-        self.words.update((w, b"".join(map(get, s))) for w, s in zip(words, split, strict=True))
+        parts, tokenize, plain = self.parts.young, self.model.tokenize, _PLAIN.fullmatch
+        odd = []
+        for p in self.parts.missing({p for s in split for p in s}):
+            if plain(p):
+                ids = [t.id for t in tokenize(self.normal(p).encode().decode("latin-1").translate(_BYTES))]
+                parts[p] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                odd.append(p)
+        for i in range(0, len(odd), 20_000):
+            some = odd[i : i + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                parts[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        get = parts.__getitem__
+        self.words.young.update((w, get(s[0]) if len(s) == 1 else b"".join(map(get, s))) for w, s in zip(words, split, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
-        if len(self.words) > self.most:
-            self.words = {}
-        if len(self.parts) > self.most:
-            self.parts = {}
+        self.words.settle()
+        self.parts.settle()
         cut = [self.cut(t) if t and "<|" not in t else [] for t in texts]
         seen: set = set()
         for c in cut:
             seen.update(c)
-        self._learn(list(seen.difference(self.words)))
-        get = self.words.__getitem__
-        return [self._encode([t])[0] if t and "<|" in t else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        self._learn(self.words.missing(seen))
+        get = self.words.young.__getitem__
+        return [self._encode(t) if t and "<|" in t else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 class SpacedEncoder(Encoder):
@@ -82,6 +126,9 @@ class SpacedEncoder(Encoder):
     def text_of(self, word: str) -> str:
         return word[1:] if word[0] == "\n" else " " + word
 
+    def normal(self, part: str) -> str:
+        return part
+
 
 class WordEncoder(Encoder):
     """BPE that lowers case and drops white space; keys are the lower-cased (ASCII) bytes of the words."""
@@ -92,6 +139,9 @@ class WordEncoder(Encoder):
     def text_of(self, word: bytes) -> str:
         return word.decode()
 
+    def normal(self, part: str) -> str:
+        return part.lower()
+
 
 _encoders: dict[tuple, Encoder] = {}
 
