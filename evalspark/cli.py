@@ -37,7 +37,7 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     if args.command == "queries":
-        from .plans.queries import REGISTRY
+        from .plans import REGISTRY
 
         print("\n".join(REGISTRY))
         return 0

@@ -49,3 +49,15 @@ def fill(template: str, values: dict[str, Column]) -> Column:
 def path_part(path: Column, back: int) -> Column:
     """The ``back``-th segment of a path from its end, null if there are fewer."""
     return F.try_element_at(F.split(path, "/"), F.lit(-back))
+
+
+def config_and_style(unit: Column) -> tuple[Column, Column]:
+    """``config__style`` split at its last double underscore; without one the style is 'clean'."""
+    has = F.contains(unit, F.lit("__"))
+    config = F.when(has, F.regexp_extract(unit, r"\A(?s)(.*)__(.*)\z", 1)).otherwise(unit)
+    return config, F.when(has, F.regexp_extract(unit, r"\A(?s)(.*)__(.*)\z", 2)).otherwise("clean")
+
+
+def mentions(text: Column, word: str, chars: int = 2000) -> Column:
+    """Whether the first ``chars`` characters of an error text mention ``word`` in any case."""
+    return F.contains(F.lower(F.left(text, F.lit(chars))), F.lit(word.lower()))

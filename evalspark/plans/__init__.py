@@ -1 +1,6 @@
 """Registered queries over the test tables and their SQL twins."""
+
+from . import more  # noqa: F401
+from .queries import REGISTRY
+
+__all__ = ["REGISTRY"]

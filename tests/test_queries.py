@@ -3,7 +3,7 @@
 import pytest
 from compare import assert_equal, connect
 
-from evalspark.plans.queries import REGISTRY
+from evalspark.plans import REGISTRY
 
 
 @pytest.fixture(scope="module")
