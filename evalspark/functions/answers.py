@@ -56,19 +56,17 @@ HINTS = {
 RESULT = "struct<index:int,stage:string,detail:string>"
 
 
-def _low(text: Column) -> Column:
-    return F.translate(F.lower(text), "ſ", "s")
-
-
-def _hinted(low: Column, step: str) -> Column:
-    out = F.lit(False)
+def _hinted(text: Column, low: Column, step: str) -> Column:
+    """Whether ``low``, the lower-cased text, holds a hint; the long s folds to s in patterns but not in lower case."""
+    out = F.contains(text, F.lit("ſ"))
     for hint in HINTS[step]:
         out = out | F.contains(low, F.lit(hint))
     return out
 
 
 def is_refusal(text: Column, low: Column | None = None) -> Column:
-    return _hinted(_low(text) if low is None else low, "refusal") & text.rlike(REFUSAL)
+    """Whether a refusal pattern occurs; ``low``, if given, is the lower-cased text as a column of its own."""
+    return _hinted(text, F.lower(text) if low is None else low, "refusal") & text.rlike(REFUSAL)
 
 
 def _result(index: Column, stage: str, detail: str) -> Column:
@@ -92,7 +90,7 @@ def _on_lines(rows: Column, pattern: str) -> Column:
 
 
 def _when(step: str, letters: Column) -> Column:
-    return F.when(_hinted(F.col("_low"), step), letters).otherwise(F.array().cast("array<string>"))
+    return F.when(_hinted(F.col("_t"), F.col("_low"), step), letters).otherwise(F.array().cast("array<string>"))
 
 
 def _steps(text: Column, strict: Column, letters: dict[str, Column], bare: Column, refused: Column, options: Column) -> Column:
@@ -116,7 +114,7 @@ def read_clean(df: DataFrame) -> DataFrame:
     """
     c = F.col
     df = df.withColumn("_t", plain(strip_reasoning(F.coalesce("completion", F.lit("")))))
-    df = df.withColumns({"_rows": F.filter(lines(c("_t")), lambda x: x != ""), "_fold": folded(c("_t")), "_low": _low(c("_t")), "_names": F.transform(_three(), folded)})
+    df = df.withColumns({"_rows": F.filter(lines(c("_t")), lambda x: x != ""), "_fold": folded(c("_t")), "_low": F.lower(c("_t")), "_names": F.transform(_three(), folded)})
     inside = lambda i, j: (F.get("_names", i) != F.get("_names", j)) & F.contains(F.get("_names", j), F.get("_names", i))
     df = df.withColumns({
         "_strict": F.regexp_extract(F.coalesce(F.try_element_at("_rows", F.lit(-1)), F.lit("")), STRICT_LINE, 1),
@@ -145,9 +143,9 @@ def read_paper(df: DataFrame) -> DataFrame:
     return df.withColumn("parse", out.otherwise(_none("no_match"))).drop("_t", "_three")
 
 
-def outcome(index: Column, text: Column, stop_reason: Column) -> Column:
+def outcome(index: Column, text: Column, stop_reason: Column, low: Column | None = None) -> Column:
     """How a response counts: answered, no_response, refusal or invalid, tested in this order."""
     return (
         F.when(index.isNotNull(), "answered").when(text == "", "no_response")
-        .when((F.coalesce(stop_reason, F.lit("")) == "content_filter") | is_refusal(text), "refusal").otherwise("invalid_response_format")
+        .when((F.coalesce(stop_reason, F.lit("")) == "content_filter") | is_refusal(text, low), "refusal").otherwise("invalid_response_format")
     )

@@ -23,10 +23,16 @@ def lines(text: Column) -> Column:
     return F.split(text, LINE_BREAK, -1)
 
 
+def _tidy(line: Column) -> Column:
+    """A line stripped, without underscores at its edges; most lines show at their two end characters that they are."""
+    ends = F.concat(F.left(line, F.lit(1)), F.right(line, F.lit(1)))
+    return F.when(ends.rlike(r"(?U)[\s_\x1C-\x1F]"), strip(F.regexp_replace(strip(line), r"\A_+|_+\z", ""))).otherwise(line)
+
+
 def plain(text: Column) -> Column:
     """Without Markdown emphasis: * and ` anywhere, _ at the edges of a line; every line stripped."""
-    bare = F.translate(text, "*`", "")
-    return F.array_join(F.transform(lines(bare), lambda x: strip(F.regexp_replace(strip(x), r"\A_+|_+\z", ""))), "\n")
+    bare = F.replace(F.replace(text, F.lit("*"), F.lit("")), F.lit("`"), F.lit(""))
+    return F.array_join(F.transform(lines(bare), _tidy), "\n")
 
 
 def folded(text: Column) -> Column:

@@ -54,11 +54,11 @@ def score_completions(samples: DataFrame, style: str = "clean") -> DataFrame:
     check_domain("prompt_style", style, STYLES)
     parse = read_clean if style == "clean" else read_paper
     text = strip_reasoning(F.coalesce("completion", F.lit("")))
-    df = parse(samples).withColumn("_text", text)
+    df = parse(samples).withColumn("_text", text).withColumn("_low", F.lower("_text"))
     i = F.col("parse.index")
     name = F.get(F.array(*map(F.lit, LETTERS)), i) if style == "clean" else i.cast("string")
     df = df.withColumns({
-        "outcome": outcome(i, F.col("_text"), F.col("stop_reason")),
+        "outcome": outcome(i, F.col("_text"), F.col("stop_reason"), F.col("_low")),
         "chosen_role": F.get("roles", i),
         "parse_stage": F.col("parse.stage"),
         "parse_detail": F.col("parse.detail"),
@@ -68,7 +68,7 @@ def score_completions(samples: DataFrame, style: str = "clean") -> DataFrame:
     })
     df = df.withColumn("unscored_reason", F.when(F.col("outcome") != "answered", F.col("outcome")))
     df = df.withColumns({"parser_version": F.lit(PARSER_VERSION), "refusal_version": F.lit(REFUSAL_VERSION)})
-    return score_indicators(df.drop("parse", "_text"))
+    return score_indicators(df.drop("parse", "_text", "_low"))
 
 
 def oracle_role(label_role: Column, polarity: Column, wrong: bool) -> Column:

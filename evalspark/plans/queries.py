@@ -272,7 +272,8 @@ def parse_paper(spark, sf):
 
 @query(f"WITH {T.completions_sql()}, {Q.stripped_sql()} SELECT id, {Q.refusal('stripped')} AS refused FROM stripped")
 def refusal(spark, sf):
-    return T.completions(spark, sf).select("id", is_refusal(strip_reasoning(F.col("completion"))).alias("refused"))
+    df = T.completions(spark, sf).select("id", strip_reasoning(F.col("completion")).alias("t")).withColumn("low", F.lower("t"))
+    return df.select("id", is_refusal(F.col("t"), F.col("low")).alias("refused"))
 
 
 @query(f"WITH {T.completions_sql()}, {Q.clean_sql()}, {Q.routed_sql()} SELECT id, outcome, chosen_role, parse_stage, detail AS parse_detail, answer, CASE WHEN outcome <> 'answered' THEN outcome END AS unscored_reason, left(stripped, 2000) AS explanation FROM routed")
