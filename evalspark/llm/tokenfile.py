@@ -36,13 +36,14 @@ MAGIC = b"RPG1"
 
 def _frequent(x: np.ndarray, allowed: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Left and right symbols of the most frequent allowed pairs, most frequent first."""
-    key = (x[:-1].astype(np.uint64) << np.uint64(32) | x[1:])[allowed]
+    half, kind = (16, np.uint32) if int(x.max(initial=0)) < 1 << 16 else (32, np.uint64)  # two symbols in one number
+    key = (x[:-1].astype(kind) << kind(half) | x[1:].astype(kind))[allowed]
     key.sort()
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, dtype=np.int64)
     count = np.diff(edge)
     pair, count = key[edge[:-1]][count >= least], count[count >= least]
     pair = pair[np.lexsort((pair, -count))[:most]]
-    return (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
+    return (pair >> kind(half)).astype(np.uint32), (pair & kind((1 << half) - 1)).astype(np.uint32)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT, most: int = RULES_A_ROUND) -> bytes:
@@ -110,9 +111,28 @@ class Block:
         self.rules = take(2 * n_rules).reshape(-1, 2)
         self.rule_length = take(n_rules)
         self.starts, self.id_starts = take(self.n_docs), take(self.n_docs)
+        self.flat = self.offsets = None
         self.symbols = take(n_sym, "<u2" if self.base + n_rules <= 65536 else "<u4")
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of a run of symbols: the rules' own expansions are laid out once, then copied to their places."""
+        if self.flat is None:
+            self.flat = self._unfold(np.arange(self.base, self.base + len(self.rules)))
+            self.offsets = (np.cumsum(self.rule_length, dtype=np.int64) - self.rule_length).astype(np.int32)
+        new = np.flatnonzero(symbols >= self.base)
+        rule = symbols[new].astype(np.int32) - np.int32(self.base)
+        width = np.ones(len(symbols), dtype=np.int32)
+        width[new] = self.rule_length[rule]
+        start = np.cumsum(width, dtype=np.int64) - width
+        out = np.empty(int(start[-1] + width[-1]) if len(symbols) else 0, dtype="<u4")
+        out[start] = symbols
+        w = width[new]
+        inside = np.arange(int(w.sum()), dtype=np.int32) - np.repeat((np.cumsum(w, dtype=np.int64) - w).astype(np.int32), w)
+        out[np.repeat(start[new].astype(np.int32), w) + inside] = self.flat[np.repeat(self.offsets[rule], w) + inside]
+        return out
+
+    def _unfold(self, symbols: np.ndarray) -> np.ndarray:
+        """Replace symbols by their pairs, youngest rules first."""
         x = symbols.astype("<u4")
         for n in self.bases[::-1]:
             new = x >= n

@@ -9,6 +9,7 @@ generations; what falls out is encoded again when it returns. A text that may ho
 
 from __future__ import annotations
 
+import operator
 import os
 import re
 import struct
@@ -16,7 +17,8 @@ import struct
 #: Words (and parts of words) a worker keeps, in two generations; some 200 bytes each.
 CACHE_WORDS = 900_000
 #: Between a letter and one of these marks there is always a cut; the apostrophe is not among them.
-_MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!#$%&*|])")
+MARKS = ".,!#$%&*|"
+_MARK = re.compile(rf"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[{re.escape(MARKS)}])")
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SPACED = re.compile(r" (?=\S)")
 #: A space and any white space: where neither occurs, splitting at spaces is splitting before each word.
@@ -31,6 +33,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 _BYTES = _byte_characters()
+_ID = operator.attrgetter("id")
 
 
 class Generations:
@@ -78,20 +81,41 @@ class Encoder:
         """A plain part as the tokenizer's normalizer leaves it."""
         raise NotImplementedError
 
+    def _split(self, word) -> tuple | list:
+        """The parts of a word; the two common shapes, letters alone and letters with one mark, need no pattern."""
+        text = self.text_of(word)
+        body = text[1:] if text[0] == " " else text
+        if body.isalpha():
+            return (text,)
+        if body[:-1].isalpha() and body[-1] in MARKS:
+            return text[:-1], body[-1]
+        return _MARK.split(text)
+
+    def _model_ids(self, part: str) -> bytes | None:
+        """Ids of a plain part; None if it is not plain."""
+        body = part[1:] if part[0] == " " else part
+        if body.isascii() and body.isalpha():
+            shown = self.normal("Ġ" + body if part[0] == " " else body)
+        elif _PLAIN.fullmatch(part):
+            shown = self.normal(part).encode().decode("latin-1").translate(_BYTES)
+        else:
+            return None
+        ids = list(map(_ID, self.model.tokenize(shown)))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, words: list) -> None:
-        split = [_MARK.split(self.text_of(w)) for w in words]
-        parts, tokenize, plain = self.parts.young, self.model.tokenize, _PLAIN.fullmatch
-        odd = []
+        split = list(map(self._split, words))
+        parts, odd = self.parts.young, []
         for p in self.parts.missing({p for s in split for p in s}):
-            if plain(p):
-                ids = [t.id for t in tokenize(self.normal(p).encode().decode("latin-1").translate(_BYTES))]
-                parts[p] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
+            ids = self._model_ids(p)
+            if ids is None:
                 odd.append(p)
+            else:
+                parts[p] = ids
         for i in range(0, len(odd), 20_000):
             some = odd[i : i + 20_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
