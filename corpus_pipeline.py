@@ -13,6 +13,10 @@ from evalspark.llm.common import read, ship_package
 from evalspark.llm.tokens import public_vocabulary
 
 
+#: Stage 2 links documents whose five-word shingle sets are this alike or more; op10 alone links at its own 85.
+NEAR_PERCENT = 80
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     ship_package(spark)
@@ -22,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; documents without words all stay."""
     ship_package(spark)
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ null component_id and links with nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,10 +28,10 @@ from .components import connected_components
 
 SHINGLE_WORDS = 5
 PERMUTATIONS = 32
-BANDS, BAND_ROWS = 16, 4
+VALUES = 2 * PERMUTATIONS
 LINK_PERCENT = 85
-#: Agreeing signature bytes, of 64, that a pair needs for confirmation; 4.3 standard deviations below the mean at 0.85.
-LEAST_AGREE = 42
+#: Chance that no band holds a pair just at the threshold, at most; standard deviations that confirmation leaves below the mean.
+MISS, DEVIATIONS = 1e-5, 4.3
 #: Members of a band, and bytes of their sets, that one block of comparisons holds; larger bands are cut into block pairs.
 BLOCK, BLOCK_BYTES = 1500, 24_000_000
 #: Band members that are handed to Python together.
@@ -42,8 +44,19 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 _POWERS = _rng.integers(1, 2**63, SHINGLE_WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASK = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)[:, None]
 _ODD = (_rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-_FOLD = _rng.integers(1, 2**63, BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_SALT = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
+_FOLD = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_SALT = _rng.integers(1, 2**63, VALUES, dtype=np.uint64)
+
+
+@lru_cache
+def banding(percent: int) -> tuple[int, int, int]:
+    """Bands, values a band, and agreeing signature bytes that a pair needs for confirmation, for links at ``percent``.
+
+    Bands are as long as ``MISS`` allows, so that few pairs below the threshold meet: 16 of 4 at 85, 21 of 3 at 80.
+    """
+    p = percent / 100
+    rows = max((r for r in range(1, VALUES + 1) if (1 - p**r) ** (VALUES // r) <= MISS), default=1)
+    return VALUES // rows, rows, max(0, math.floor(VALUES * p - DEVIATIONS * math.sqrt(VALUES * p * (1 - p))))
 
 
 class _WordHashes(dict):
@@ -91,14 +104,15 @@ def min_max(shingles: np.ndarray) -> np.ndarray:
     return np.stack([low, high], axis=1).ravel()
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _mix((values.reshape(BANDS, BAND_ROWS) * _FOLD).sum(axis=1, dtype=np.uint64) ^ _BAND_SALT)
+        return _mix((values[: bands * rows].reshape(bands, rows) * _FOLD[:rows]).sum(axis=1, dtype=np.uint64) ^ _BAND_SALT[:bands])
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys, one-byte signature (the last three null for empty sets)."""
     bound_batches(docs.sparkSession)
+    n_bands, band_rows, _ = banding(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -109,7 +123,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 s = shingle_set(text)
                 if len(s):
                     v = min_max(s)
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(v).view(np.int64), (v >> np.uint64(17)).astype(np.uint8).tobytes()))
+                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(v, n_bands, band_rows).view(np.int64), (v >> np.uint64(17)).astype(np.uint8).tobytes()))
                 else:
                     rows.append((0, None, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sig"])
@@ -119,18 +133,18 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
-def _agree(a: pd.Series, b: pd.Series) -> np.ndarray:
+def _agree(a: pd.Series, b: pd.Series, least: int) -> np.ndarray:
     x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (a, b))
-    return (x == y).sum(axis=1) >= LEAST_AGREE
+    return (x == y).sum(axis=1) >= least
 
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.loc[_agree(pdf["sa"], pdf["sb"]), ["a", "b"]]
+                yield pdf.loc[_agree(pdf["sa"], pdf["sb"], least), ["a", "b"]]
 
     left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
     right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
@@ -175,7 +189,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = LINK_PERCENT) -> D
     return pairs.join(left, "a").join(right, "b").mapInPandas(decide, "a long, b long").distinct()
 
 
-def _likely_across(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _likely_across(pdf: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (i, j) of likely pairs of one block of a band that lie in different components, and how often they agree."""
     i_chunk, j_chunk = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), -1)
@@ -190,32 +204,37 @@ def _likely_across(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
         others = others[comp[others] != comp[i]]
         if len(others):
             agree = (sig[others] == sig[i]).sum(axis=1)
-            near = agree >= LEAST_AGREE
+            near = agree >= least
             if near.any():
                 out.append((np.full(int(near.sum()), i), others[near], agree[near]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 3
 
 
-def _open_members(pdf: pd.DataFrame) -> pd.DataFrame:
+def _open_members(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     """The members of a block that have a likely partner in another component."""
-    a, b, _ = _likely_across(pdf)
+    a, b, _ = _likely_across(pdf, least)
     return pdf.iloc[np.unique(np.concatenate((a, b)))]
 
 
-def _open_cells(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The same over many blocks at once."""
-    cols = ["band", "rep", "component", "chunk", "i", "j"]
-    pdf = pdf.sort_values(["band", "i", "j", "rep"], kind="stable")
-    key = pdf[["band", "i", "j"]].to_numpy()
-    edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True])))
-    parts = [_open_members(pdf.iloc[lo:hi]) for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if hi - lo > 1]
-    return pd.concat([pdf.iloc[:0], *parts])[cols]
+def _open_cells(least: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The same over many blocks at once."""
+        cols = ["band", "rep", "component", "chunk", "i", "j"]
+        pdf = pdf.sort_values(["band", "i", "j", "rep"], kind="stable")
+        key = pdf[["band", "i", "j"]].to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True])))
+        parts = [_open_members(pdf.iloc[lo:hi], least) for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if hi - lo > 1]
+        return pd.concat([pdf.iloc[:0], *parts])[cols]
+
+    return run
 
 
 def _link_block(percent: int):
+    least = banding(percent)[2]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links that join components, each pair in the first band that it shares; what is joined already is not compared."""
-        a, b, agree = _likely_across(pdf)
+        a, b, agree = _likely_across(pdf, least)
         bands = np.stack(list(pdf["bands"]))
         key, rep = int(pdf["band"].iloc[0]), pdf["rep"].to_numpy()
         first = (bands[a] == bands[b]).argmax(axis=1)
@@ -244,14 +263,15 @@ def _link_block(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    rows = cut(signatures(docs))
+    least = banding(percent)[2]
+    rows = cut(signatures(docs, percent))
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
     reps = cut(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     members = reps.select("rep", "size", F.explode("bands").alias("band"))
     full = cut(members.groupBy("band").agg(F.count("*").alias("n"), (F.sum("size") * 8).alias("weight"), F.min("rep").alias("first")).where("n > 1"))
     members = cut(members.join(full, "band"))
 
-    stars = cut(_likely(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), reps))
+    stars = cut(_likely(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), reps, least))
     links = cut(confirm(stars, docs, percent))
     parts = connected_components(links)
 
@@ -263,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     rows_open = rows_open.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows_open = rows_open.select("band", "rep", "component", "chunk", F.least("chunk", "other").cast("int").alias("i"), F.greatest("chunk", "other").cast("int").alias("j"))
     rows_open = rows_open.withColumn("cell", F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts_for(members.count(), ROWS_A_CELL))).cast("int"))
-    near = rows_open.join(reps.select("rep", "sig"), "rep").groupBy("cell").applyInPandas(_open_cells, "band long, rep long, component long, chunk int, i int, j int")
+    near = rows_open.join(reps.select("rep", "sig"), "rep").groupBy("cell").applyInPandas(_open_cells(least), "band long, rep long, component long, chunk int, i int, j int")
     near = cut(near)
     if not near.isEmpty():
         sets = shingle_sets(docs, cut(near.select(F.col("rep").alias("doc_id")).distinct()))

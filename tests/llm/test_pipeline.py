@@ -95,3 +95,39 @@ def test_sql_twin(spark, sf, name):
 def test_one_row_a_document(spark, sf, name):
     n = queries.QUERIES[name](spark, sf).select("doc_id").distinct().count()
     assert n == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_near_dedup_links_at_80(spark, sf):
+    """Planted pairs in [0.80, 0.85) lose their later document, pairs below 0.80 keep both."""
+    import random
+
+    from test_near import brute, brute_set
+
+    rng = random.Random(8)
+    texts, near = {}, 0
+    for i in range(0, 600, 2):
+        n = rng.choice((14, 29, 104, 204))  # 10, 25, 100, 200 shingles
+        a = [f"p{i}w{k}" for k in range(n)]
+        share = rng.uniform(0.76, 0.85)
+        b = a[: n - round((n - 4) * (1 - share) / (1 + share))]
+        b += [f"p{i}v{k}" for k in range(n - len(b))]
+        texts[i], texts[i + 1] = " ".join(a), " ".join(b)
+        x, y = brute_set(texts[i]), brute_set(texts[i + 1])
+        near += 80 * len(x | y) <= 100 * len(x & y) < 85 * len(x | y)
+    _, comp = brute(texts, 80)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    after = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, sf)
+    assert 100 < near < 250 and sorted(r["doc_id"] for r in after.collect()) == sorted(set(comp.values()))
+
+
+def test_banding_follows_the_percent():
+    """At every threshold the bands and the signature filter lose next to nothing of the pairs that lie on it."""
+    from math import comb
+
+    from evalspark.llm.minhash import VALUES, banding
+
+    assert banding(85) == (16, 4, 42)
+    for percent in (50, 70, 80, 85, 90, 95):
+        p, (bands, rows, least) = percent / 100, banding(percent)
+        assert bands * rows <= VALUES and (1 - p**rows) ** bands <= 1e-5
+        assert sum(comb(VALUES, k) * p**k * (1 - p) ** (VALUES - k) for k in range(least)) < 1e-4
