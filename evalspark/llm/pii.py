@@ -152,22 +152,28 @@ def _email(s: str, key: bytes, back: bool) -> str | None:
 
 def _iban(s: str, key: bytes, back: bool) -> str | None:
     number = lambda head, rest: int("".join(str(int(c, 36)) for c in rest + head))
-    if number(s[:4], s[4:]) % 97 != 1:
+    t = s.replace(" ", "")
+    if not 15 <= len(t) <= 34 or number(t[:4], t[4:]) % 97 != 1:
         return None
-    rest = permute_text(s[4:], key, b"iban:" + s[:2].encode(), back)
-    return s[:2] + f"{98 - number(s[:2] + '00', rest) % 97:02d}" + rest
+    rest = permute_text(t[4:], key, b"iban:" + t[:2].encode(), back)
+    it = iter(t[:2] + f"{98 - number(t[:2] + '00', rest) % 97:02d}" + rest)
+    return "".join(c if c == " " else next(it) for c in s)
 
 
 PATTERNS: dict[str, tuple[re.Pattern[str], Callable[[str, bytes, bool], str | None]]] = {
     "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), _email),
-    "iban": (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?!\w)"), _iban),
-    "card": (re.compile(r"(?<!\w)(?:[0-9][ -]?){12,18}[0-9](?!\w)"), _card),
+    "iban": (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?!\w)"), _iban),
+    "card": (re.compile(r"(?<!\w)[0-9](?:[ -]?[0-9]){12,}(?!\w)"), _card),
     "ip": (re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"), _ip),
     "date": (re.compile(r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![\w/-]|\.[0-9])"), _date),
     "ssn": (re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _ssn),
     "phone": (re.compile(r"(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?!\w|[.-][0-9])|(?<![\w.+])\+[0-9]{8,15}(?!\w)"), _phone),
 }
 _DIGIT = re.compile("[0-9]")
+_GROUP = re.compile("[0-9]+")
+#: Group lengths in which cards are printed, and how issued numbers begin.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), (4, 4, 4, 4, 3), (6, 13), *((n,) for n in range(13, 20))}
+_ISSUED = re.compile("[3-6]|2(?:2[2-9]|[3-6]|7[0-2])")
 
 
 @lru_cache(maxsize=100_000)
@@ -176,6 +182,49 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> st
     return PATTERNS[kind][1](value, key, back)
 
 
+def _cards(text: str, lo: int, hi: int, free: Callable[[int, int], bool], key: bytes, back: bool) -> list[tuple[int, int, str, str]]:
+    """Cards of a run of digit groups, which may hold other numbers too: every group may begin one and every group end one.
+
+    About a tenth of all digit strings pass Luhn's test, so of overlapping cards the one in printed groups and with an
+    issuer's first digits wins, then the one in printed groups, then the leftmost and longest.
+    """
+    groups = [m.span() for m in _GROUP.finditer(text, lo, hi)]
+    found = []
+    for i, (start, _) in enumerate(groups):
+        lengths: tuple[int, ...] = ()
+        for a, end in groups[i : i + 19]:
+            lengths += (end - a,)
+            n = sum(lengths)
+            if n > 19:
+                break
+            if n >= 13 and (new := pseudonym("card", text[start:end], key, back)) is not None and free(start, end):
+                printed = lengths in CARD_GROUPS and len(set(re.sub("[0-9]", "", text[start:end]))) < 2
+                found.append((0 if printed and _ISSUED.match(text, start) else 1 if printed else 2, start, -end, new))
+    found.sort()
+    taken: set[int] = set()
+    out = []
+    for _, start, end, new in found:
+        places = range(start, -end)
+        if taken.isdisjoint(places):
+            taken.update(places)
+            out.append((start, -end, "card", new))
+    return out
+
+
+def _ibans(text: str, pattern: re.Pattern[str], key: bytes, back: bool) -> Iterator[tuple[int, int, str, str]]:
+    """IBANs in one piece or in groups; what follows the last group, or goes before the first, may look like a group."""
+    m = pattern.search(text)
+    while m:
+        value = m[0]
+        new = pseudonym("iban", value, key, back)
+        while new is None and " " in value:
+            value = value.rpartition(" ")[0]
+            new = pseudonym("iban", value, key, back)
+        if new is not None:
+            yield m.start(), m.start() + len(value), "iban", new
+        m = pattern.search(text, m.start() + len(value))
+
+
 def rewrite(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of what was found, in code points of the original."""
     spans: list[tuple[int, int, str, str]] = []
@@ -184,16 +233,12 @@ def rewrite(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[
     for kind, (pattern, _) in PATTERNS.items():
         if kind == "email" and "@" not in text or kind != "email" and not digits:
             continue
-        own = []
-        for m in pattern.finditer(text):
-            value, end = m[0], m.end()
-            new = pseudonym(kind, value, key, back)
-            while new is None and kind == "card" and re.search(r"[ -][0-9]+$", value):  # a number may trail the card's
-                value = re.sub(r"[ -][0-9]+$", "", value)
-                end = m.start() + len(value)
-                new = pseudonym(kind, value, key, back)
-            if new is not None:
-                own.append((m.start(), end, kind, new))
+        if kind == "card":
+            own = [x for m in pattern.finditer(text) for x in _cards(text, *m.span(), free, key, back)]
+        elif kind == "iban":
+            own = list(_ibans(text, pattern, key, back))
+        else:
+            own = [(*m.span(), kind, new) for m in pattern.finditer(text) if (new := pseudonym(kind, m[0], key, back)) is not None]
         spans += [x for x in own if not spans or free(x[0], x[1])]
     spans.sort()
     out, at = [], 0

@@ -201,6 +201,43 @@ def test_dates_link_across_formats():
     assert dt.date.fromisoformat(a) == dt.datetime.strptime(b, "%d/%m/%Y").date()
 
 
+NUMBERS_BEFORE = ["ref 12 {}", "qty 2 {}", "no 7 {} x", "2024-01-05 {}", "05/01/2024 {}", "1234 {}", "2024 {}", "7-{}", "{} 12", "{} 2024-01-05", "12 {} 34 5"]
+
+
+@pytest.mark.parametrize("shape", NUMBERS_BEFORE)
+def test_cards_beside_other_numbers(shape):
+    """A card is found, and its pseudonym linked, whatever number goes before or follows."""
+    rng = random.Random(shape)
+    for k in range(200):
+        d = rng.choice(("4", "51", "6011", "2221")) + "".join(rng.choice("0123456789") for _ in range(15))
+        d = d[:15] + pii.luhn_digit(d[:15])
+        sep = ("", " ", "-")[k % 3]
+        card = sep.join((d[:4], d[4:8], d[8:12], d[12:]))
+        new, at = pii.pseudonym("card", card), shape.index("{")
+        text, spans = pii.rewrite(shape.format(card))
+        assert ("card", at, at + len(card)) in spans and text[at : at + len(card)] == new
+
+
+def test_dates_beside_cards_are_found_too():
+    _, spans = pii.rewrite("2024-01-05 4111 1111 1111 1111 5500-0000-0000-0004")
+    assert spans == [("date", 0, 10), ("card", 11, 30), ("card", 31, 50)]
+
+
+@pytest.mark.parametrize("start", range(1, 60, 7))
+def test_cards_in_other_groups_are_found(start):
+    assert [s[0] for s in pii.rewrite(f"x {start}0 41111111 11111111 y")[1]].count("card") == 1
+
+
+@pytest.mark.parametrize("value", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034"])
+def test_spaced_ibans(value):
+    new = pii.pseudonym("iban", value)
+    assert new.replace(" ", "") == pii.pseudonym("iban", value.replace(" ", "")) and pii.pseudonym("iban", new, back=True) == value
+    for before, after in (("see ", ", then"), ("ID12 ", " 2024 THE"), ("", " 4111 1111 1111 1111")):
+        text, spans = pii.rewrite(before + value + after)
+        assert text.startswith(before + new) and ("iban", len(before), len(before) + len(value)) in spans
+    assert [s[0] for s in spans] == ["iban", "card"]
+
+
 # --- secrets -------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
