@@ -3,7 +3,8 @@
 Spans are (kind, start, end) in code points, end exclusive. Positions come from cutting the text at the matches: the
 lengths of what lies between and of the matches add up to every start. Candidate strings that hold a digit are judged
 by the Shannon entropy of every window of ``WINDOW`` characters; the sum of c*log2(c) is carried from window to window
-and changed by the character that enters and the one that leaves. Allow-listed shapes are never reported.
+and changed by the character that enters and the one that leaves. Allow-listed shapes are never reported, and an entropy
+span that lies within a span of a fixed pattern is not listed again; one that reaches beyond it is.
 
 Defined cases: a null text counts as empty and has no spans; every row is judged by itself, whatever its doc_id.
 """
@@ -116,7 +117,7 @@ def scan_secrets(docs: DataFrame, prefix: str = "") -> DataFrame:
     a, c, h = base_spans(text)
     df = docs.withColumns({f"{t}assign": a, f"{t}access": c, f"{t}hex": h, f"{t}entropy": entropy_spans(text)})
     df = df.withColumn(f"{n}base_spans", F.array_sort(F.concat(f"{t}assign", f"{t}access", f"{t}hex")))
-    extra = F.filter(f"{t}entropy", lambda e: ~F.exists(f"{n}base_spans", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    extra = F.filter(f"{t}entropy", lambda e: ~F.exists(f"{n}base_spans", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
     df = df.withColumn(f"{n}spans", F.array_sort(F.concat(f"{n}base_spans", extra)))
     df = df.withColumns({f"{n}n_{k}": F.size(f"{t}{k}").cast("long") for k in ("assign", "access", "hex")})
     return df.drop(*[f"{t}{k}" for k in ("assign", "access", "hex", "entropy")])
