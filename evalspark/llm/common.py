@@ -11,8 +11,8 @@ from ..runtime import ship_package
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of text that one Arrow batch may carry; documents of 100 kB then stay under 50 MB a batch.
-TEXT_BATCH_ROWS = 400
+#: Bytes of text that one Arrow batch may carry; a larger text is a batch by itself.
+TEXT_BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,11 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bound_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small; Spark's default of 10,000 rows is meant for narrow rows."""
+def bound_batches(spark: SparkSession, most: int = TEXT_BATCH_BYTES) -> None:
+    """Keep Arrow batches of whole texts small. Plans read the setting when they run, so it stays for the session; narrow
+    rows still come 10,000 at a time."""
     ship_package(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
 
 
 def free_prefix(df: DataFrame, stem: str) -> str:

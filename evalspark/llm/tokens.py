@@ -1,10 +1,10 @@
-"""Encoding with a tokenizers file, fast enough for corpora: each distinct word of a text is encoded once a worker.
+"""Encoding with a tokenizers file, fast enough for corpora: each distinct pre-token is encoded once a worker.
 
-A text is cut only where the tokenizer itself always cuts, so the ids of the pieces in a row are the ids of the text:
-at white space first, and a word that is new also between a letter and one of a few ASCII marks, so that "word" and
-"word," share the letters' ids. Parts that are plain Latin letters are one pre-token and go straight to the file's
-merge model; all others run through the whole tokenizer. A worker's caches hold a bounded number of words in two
-generations; what falls out is encoded again when it returns. A text that may hold a special token is encoded whole.
+Texts of ASCII and Latin-1 letters are cut into pre-tokens for many documents at once, on an array of byte classes; the
+distinct pre-tokens go to the file's merge model, and their ids are copied to all places by gathers. Any other text is
+cut at its spaces only, where the tokenizer itself always cuts, and its distinct words run through the whole tokenizer.
+A worker's caches hold a bounded number of entries in two generations; what falls out is encoded again when it returns.
+A text that may hold a special token is encoded whole.
 """
 
 from __future__ import annotations
@@ -13,17 +13,26 @@ import operator
 import os
 import re
 import struct
+from collections.abc import Callable
+from itertools import chain
 
-#: Words (and parts of words) a worker keeps, in two generations; some 200 bytes each.
-CACHE_WORDS = 900_000
-#: Between a letter and one of these marks there is always a cut; the apostrophe is not among them.
-MARKS = ".,!#$%&*|"
-_MARK = re.compile(rf"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[{re.escape(MARKS)}])")
-_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+import numpy as np
+
+#: Pre-tokens a worker keeps, in two generations; some 200 bytes each.
+CACHE_ENTRIES = 400_000
+#: Bytes of text that are cut at once; a larger text is cut alone.
+GROUP_BYTES = 4 << 20
 _SPACED = re.compile(r" (?=\S)")
 #: A space and any white space: where neither occurs, splitting at spaces is splitting before each word.
 _PAIRS = tuple(" " + chr(c) for c in range(0x3001) if chr(c).isspace())
 
+SPACE, LETTER, DIGIT, MARK, LATIN_LEAD, TAIL, OTHER = range(7)
+_CLASS = np.full(256, OTHER, dtype=np.uint8)
+for _k, _bytes in ((MARK, range(33, 127)), (SPACE, (9, 10, 11, 12, 13, 32)), (DIGIT, range(48, 58)), (LETTER, (*range(65, 91), *range(97, 123))), (TAIL, range(0x80, 0xC0)), (LATIN_LEAD, (0xC3,))):
+    _CLASS[list(_bytes)] = _k
+#: The two signs among the Latin-1 letters, by their second byte.
+_TIMES, _DIVIDE = 0x97, 0xB7
+
 
 def _byte_characters() -> dict[int, str]:
     """How byte-level BPE writes bytes: printable ones as themselves, the others as characters from 256 on, in order."""
@@ -32,7 +41,7 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_BYTES = _byte_characters()
+_BYTES = _byte_characters() | {0: "\0"}
 _ID = operator.attrgetter("id")
 
 
@@ -42,103 +51,184 @@ class Generations:
     def __init__(self, most: int):
         self.half, self.young, self.old = max(1, most // 2), {}, {}
 
-    def settle(self) -> None:
-        if len(self.young) > self.half:
-            self.old, self.young = self.young, {}
-
-    def missing(self, keys: set) -> list:
-        """Keys that neither half has; those of the old half move to the young one."""
-        out, young, old = [], self.young, self.old
-        for k in keys.difference(young):
+    def get_all(self, keys: list, learn: Callable[[list], list[bytes]]) -> list[bytes]:
+        """Values of distinct ``keys``; ``learn`` gives those of the keys that neither half has."""
+        young, old = self.young, self.old
+        new = []
+        for k in [k for k in keys if k not in young]:
             v = old.get(k)
             if v is None:
-                out.append(k)
+                new.append(k)
             else:
                 young[k] = v
+        young.update(zip(new, learn(new), strict=True))
+        out = list(map(young.__getitem__, keys))
+        if len(young) > self.half:
+            self.old, self.young = young, {}
         return out
 
 
+def spread(flat: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """``flat[starts[i] : starts[i] + widths[i]]`` of all i in a row."""
+    ends = np.cumsum(widths)
+    at = np.repeat(starts - (ends - widths), widths)
+    at += np.arange(len(at), dtype=at.dtype)
+    return flat[at]
+
+
+def byte_classes(b: np.ndarray) -> np.ndarray:
+    """The class of every byte of UTF-8 text; bytes of Latin-1 letters are letters, what needs more thought is OTHER."""
+    kind = _CLASS[b]
+    lead = np.flatnonzero(kind == LATIN_LEAD)
+    if len(lead) or (kind == TAIL).any():
+        second = b[lead + 1]
+        good = (second != _TIMES) & (second != _DIVIDE)
+        kind[lead] = np.where(good, LETTER, OTHER)
+        kind[lead + 1] = np.where(good, LETTER, OTHER)
+        kind[kind == TAIL] = OTHER
+    return kind
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.parts = Generations(cache_words), Generations(cache_words)
+        self.tokens, self.words = Generations(cache_entries), Generations(cache_entries // 4)
 
     def cut(self, text: str) -> list:
-        """The words of a text, as keys of the cache."""
+        """The words of a text, as keys of the cache of words."""
         raise NotImplementedError
 
     def text_of(self, word) -> str:
         """What a key stands for in the text."""
         raise NotImplementedError
 
-    def normal(self, part: str) -> str:
-        """A plain part as the tokenizer's normalizer leaves it."""
+    def pre_tokens(self, b: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes that lie in pre-tokens, where each pre-token begins among them, and where each document (``first``) does."""
         raise NotImplementedError
 
-    def _split(self, word) -> tuple | list:
-        """The parts of a word; the two common shapes, letters alone and letters with one mark, need no pattern."""
-        text = self.text_of(word)
-        body = text[1:] if text[0] == " " else text
-        if body.isalpha():
-            return (text,)
-        if body[:-1].isalpha() and body[-1] in MARKS:
-            return text[:-1], body[-1]
-        return _MARK.split(text)
-
-    def _model_ids(self, part: str) -> bytes | None:
-        """Ids of a plain part; None if it is not plain."""
-        body = part[1:] if part[0] == " " else part
-        if body.isascii() and body.isalpha():
-            shown = self.normal("Ġ" + body if part[0] == " " else body)
-        elif _PLAIN.fullmatch(part):
-            shown = self.normal(part).encode().decode("latin-1").translate(_BYTES)
-        else:
-            return None
-        ids = list(map(_ID, self.model.tokenize(shown)))
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _learn_words(self, words: list) -> list[bytes]:
+        out = []
+        for i in range(0, len(words), 20_000):
+            got = self.tokenizer.encode_batch_fast(list(map(self.text_of, words[i : i + 20_000])), add_special_tokens=False)
+            out += [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in got]
+        return out
 
-    def _encode(self, text: str) -> bytes:
+    def _learn_tokens(self, tokens: list[bytes]) -> list[bytes]:
+        if not tokens:
+            return []
+        shown = b"\0".join(tokens).decode("latin-1").translate(_BYTES).split("\0")  # a plain text holds no zero byte
+        found = list(map(self.model.tokenize, shown))
+        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found))) * 4
+        ids = np.fromiter(map(_ID, chain.from_iterable(found)), dtype="<u4", count=int(ends[-1]) >> 2).tobytes()
+        ends = ends.tolist()
+        return list(map(ids.__getitem__, map(slice, [0, *ends], ends)))
+
+    def _encode_whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, words: list) -> None:
-        split = list(map(self._split, words))
-        parts, odd = self.parts.young, []
-        for p in self.parts.missing({p for s in split for p in s}):
-            ids = self._model_ids(p)
-            if ids is None:
-                odd.append(p)
-            else:
-                parts[p] = ids
-        for i in range(0, len(odd), 20_000):
-            some = odd[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                parts[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        get = parts.__getitem__
-        self.words.young.update((w, get(s[0]) if len(s) == 1 else b"".join(map(get, s))) for w, s in zip(words, split, strict=True))
+    def _encode_odd(self, text: str) -> bytes:
+        if "<|" in text:
+            return self._encode_whole(text)
+        words = self.cut(text)
+        keys = list(dict.fromkeys(words))
+        ids = dict(zip(keys, self.words.get_all(keys, self._learn_words), strict=True))
+        return b"".join(map(ids.__getitem__, words))
+
+    def _encode_group(self, texts: list[str], raw: list[bytes]) -> list[bytes]:
+        """Ids of texts that are not empty."""
+        import pyarrow as pa
+
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        first = np.cumsum(sizes) - sizes
+        b = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        kind = byte_classes(b)
+        odd = np.zeros(len(raw), dtype=bool)
+        odd[np.searchsorted(first, np.flatnonzero(kind == OTHER), side="right") - 1] = True
+        odd |= np.fromiter(("<|" in t for t in texts), dtype=bool, count=len(texts))
+        if odd.any():
+            plain = [i for i, o in enumerate(odd.tolist()) if not o]
+            rest = iter(self._encode_group([texts[i] for i in plain], [raw[i] for i in plain]) if plain else [])
+            return [self._encode_odd(t) if o else next(rest) for t, o in zip(texts, odd.tolist(), strict=True)]
+        b, begin, first = self.pre_tokens(b, kind, first)
+        if not len(begin):
+            return [b""] * len(raw)
+        offsets = np.append(begin, len(b)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(b)]).dictionary_encode()
+        ids = self.tokens.get_all(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn_tokens)
+        width = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) >> 2
+        start = np.cumsum(width, dtype=np.int32) - width
+        index = coded.indices.to_numpy()
+        width = width[index]
+        flat = spread(np.frombuffer(b"".join(ids), dtype="<u4"), start[index], width)
+        upto = np.append(0, np.cumsum(width, dtype=np.int64))
+        edge = upto[np.searchsorted(begin, np.append(first, len(b)))].tolist()
+        out = memoryview(flat.tobytes())
+        return [bytes(out[4 * s : 4 * e]) for s, e in zip(edge[:-1], edge[1:], strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
-        self.words.settle()
-        self.parts.settle()
-        cut = [self.cut(t) if t and "<|" not in t else [] for t in texts]
-        seen: set = set()
-        for c in cut:
-            seen.update(c)
-        self._learn(self.words.missing(seen))
-        get = self.words.young.__getitem__
-        return [self._encode(t) if t and "<|" in t else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        out: list[bytes] = [b""] * len(texts)
+        some: list[int] = []
+        raw: list[bytes] = []
+        held = 0
+        for i, t in enumerate(texts):
+            if t:
+                some.append(i)
+                raw.append(t.encode())
+                held += len(raw[-1])
+            if some and (held >= GROUP_BYTES or i + 1 == len(texts)):
+                for k, ids in zip(some, self._encode_group([texts[k] for k in some], raw), strict=True):
+                    out[k] = ids
+                some, raw, held = [], [], 0
+        return out
+
+
+def _contractions(b: np.ndarray, kind: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where an apostrophe at which a pre-token begins (``alone``) opens one of the fixed endings, and the ending's length."""
+    at = np.flatnonzero(alone)
+    padded = np.append(b, [0, 0])
+    one, two = padded[at + 1], padded[at + 2]
+    length = np.zeros(len(at), dtype=np.int64)
+    for end in (b"re", b"ve", b"ll"):
+        length[(one == end[0]) & (two == end[1])] = 3
+    length[np.isin(one, list(b"stmd"))] = 2
+    return at[length > 0], length[length > 0]
 
 
 class SpacedEncoder(Encoder):
     """Byte-level BPE: a space in front of a character that is no white space begins a word and belongs to it."""
 
+    def pre_tokens(self, b: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        begins = np.empty(len(b), dtype=bool)
+        begins[1:] = kind[1:] != kind[:-1]
+        begins[first] = True
+        # of white space before a word the last character is apart: a space goes to the word
+        blank = kind == SPACE
+        word = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+        starts = np.zeros(len(b), dtype=bool)
+        starts[first] = True
+        word = word[~starts[word]]
+        begins[word - 1] = True
+        begins[word[b[word - 1] == 32]] = False
+        alone = (b == 39) & begins
+        if alone.any():
+            at, length = _contractions(b, kind, alone)
+            end = at + length
+            last = np.append(first[1:], len(b))[np.searchsorted(first, at, side="right") - 1]
+            at, length, end = (x[end <= last] for x in (at, length, end))
+            begins[at + 1] = False
+            inner = end < len(b)
+            begins[end[inner]] |= kind[end[inner]] != SPACE
+            # white space after an ending keeps the cuts it has
+        return b, np.flatnonzero(begins), first
+
     def cut(self, text: str) -> list[str]:
         words = text.split(" ") if not text.endswith(" ") and not any(p in text for p in _PAIRS) else _SPACED.split(text)
         if words[0]:
@@ -150,22 +240,36 @@ class SpacedEncoder(Encoder):
     def text_of(self, word: str) -> str:
         return word[1:] if word[0] == "\n" else " " + word
 
-    def normal(self, part: str) -> str:
-        return part
-
 
 class WordEncoder(Encoder):
     """BPE that lowers case and drops white space; keys are the lower-cased (ASCII) bytes of the words."""
 
+    def pre_tokens(self, b: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        b = b.copy()
+        b[(b >= 65) & (b <= 90)] += 32
+        lead = np.flatnonzero(b == 0xC3)
+        b[lead[b[lead + 1] <= 0x9E] + 1] += 32
+        begins = np.empty(len(b), dtype=bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        begins[first] = True
+        alone = (b == 39) & begins
+        if alone.any():
+            at, length = _contractions(b, kind, alone)
+            last = np.append(first[1:], len(b))[np.searchsorted(first, at, side="right") - 1]
+            at, length = at[at + length <= last], length[at + length <= last]
+            begins[at + 1] = False
+            end = at + length
+            begins[end[end < len(b)]] = True
+        keep = kind != SPACE
+        before = np.append(0, np.cumsum(keep))
+        return b[keep], np.flatnonzero(begins[keep]), before[first]
+
     def cut(self, text: str) -> list[bytes]:
         return text.encode().lower().split()
 
     def text_of(self, word: bytes) -> str:
         return word.decode()
 
-    def normal(self, part: str) -> str:
-        return part.lower()
-
 
 _encoders: dict[tuple, Encoder] = {}
 

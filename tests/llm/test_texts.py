@@ -27,7 +27,7 @@ def test_encoder_equals_the_library(vocab, rows, name, kind):
     t = Tokenizer.from_file(vocab(name))
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
     assert kind(vocab(name)).encode(texts) == want
-    assert kind(vocab(name), cache_words=1).encode(texts) == want
+    assert kind(vocab(name), cache_entries=1).encode(texts) == want
     assert kind(vocab(name)).encode([None]) == [b""]
 
 
@@ -90,38 +90,75 @@ def test_pack_documents(docs, rows, vocab, no_docs):
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in ids)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(3, 9), max_size=60), min_size=1, max_size=12), st.integers(0, 5))
-def test_block_round_trip(texts, rounds):
+def repeats(shard):
+    """Non-overlapping occurrences of every pair of neighbouring symbols within documents."""
+    n = Counter()
+    for k in range(shard.n_docs):
+        q = shard.symbols[shard.starts[k] : shard.starts[k + 1] if k + 1 < shard.n_docs else None].tolist()
+        at = {}
+        for i, pair in enumerate(zip(q, q[1:], strict=False)):
+            if at.get(pair) != i - 1:
+                at[pair], n[pair] = i, n[pair] + 1
+    return n
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(3, 9), max_size=60), min_size=1, max_size=12), st.integers(2, 40))
+def test_shard_round_trip(texts, first):
     docs = [np.array([*t, 2], dtype="<u4") for t in texts]
     ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
-    b = tokenfile.Block(tokenfile.compress(ids, ends, rounds=rounds, least=2, most=8))
-    assert np.array_equal(b.all_ids(), ids)
+    s = tokenfile.Shard(tokenfile.compress(ids, ends, first, 2))
+    assert np.array_equal(s.all_ids(), ids)
     for k, d in enumerate(docs):
-        assert np.array_equal(b.document(k), d)
+        assert np.array_equal(s.document(k), d)
     for a, z in ((0, 1), (len(ids) // 3, len(ids) // 3 + 5), (len(ids) - 1, len(ids))):
-        assert np.array_equal(b.ids_between(a, min(z, len(ids))), ids[a:z])
+        assert np.array_equal(s.ids_between(a, min(z, len(ids))), ids[a:z])
+    assert max(repeats(s).values(), default=0) < 2  # no pair is left to replace
+
+
+@pytest.mark.parametrize("ids, symbols", [(np.full(1000, 7), 20), (np.append(np.tile(np.random.default_rng(0).integers(3, 50000, 64), 400), 2), 600), (np.tile([5, 6], 500), 20), (np.tile(np.random.default_rng(1).integers(3, 50000, 3000), 300), 20)])
+def test_repetitive_shards_collapse(ids, symbols):
+    raw = tokenfile.compress(ids.astype("<u4"), np.array([len(ids)]))
+    s = tokenfile.Shard(raw)
+    assert len(s.symbols) < symbols and np.array_equal(s.all_ids(), ids) and np.array_equal(s.ids_between(11, 700), ids[11:700])
 
 
-def test_block_compresses_and_counts_rules():
+def test_wide_symbols_and_places(monkeypatch):
+    """Pairs whose symbols and places do not fit into one number together are sorted another way."""
+    ids = np.tile(np.array([2**31, 5, 2**31 + 7], dtype="<u4"), 50)
+    s = tokenfile.Shard(tokenfile.compress(ids, np.array([len(ids)])))
+    assert np.array_equal(s.all_ids(), ids) and len(s.symbols) < 10
+
+
+def test_shard_compresses_and_counts_rules():
     rng = np.random.default_rng(0)
     phrases = [rng.integers(3, 50000, 8) for _ in range(20)]
     ids = np.concatenate([*[phrases[i] for i in rng.integers(0, 20, 4000)], [2]]).astype("<u4")
     raw = tokenfile.compress(ids, np.array([len(ids)]))
-    b = tokenfile.Block(raw)
-    assert len(b.symbols) < len(ids) / 7 and np.array_equal(b.all_ids(), ids)
+    s = tokenfile.Shard(raw)
+    assert len(s.symbols) < len(ids) / 7 and np.array_equal(s.all_ids(), ids)
     length = {}
-    for k, (x, y) in enumerate(b.rules.tolist()):
-        length[b.base + k] = length.get(x, 1) + length.get(y, 1)
-        assert b.rule_length[k] == length[b.base + k]
-    assert len(b.expand(np.array([b.base + len(b.rules) - 1]))) == b.rule_length[-1]
+    for k, (x, y) in enumerate(zip(s.left.tolist(), s.right.tolist(), strict=True)):
+        length[s.base + k] = length.get(x, 1) + length.get(y, 1)
+        assert s.rule_length[k] == length[s.base + k]
+    assert len(s.expand(np.array([s.base + len(s.left) - 1], dtype="<u4"))) == s.rule_length[-1]
     with pytest.raises(ValueError):
-        tokenfile.Block(b"no" + raw)
+        tokenfile.Shard(b"no" + raw)
+
+
+def test_equal_and_extreme_ids(spark, vocab, tmp_path):
+    """Rows of one id spread over ranges by text and place; every long is a sound id and null comes first."""
+    rows = [(7, f"text {i % 3}") for i in range(60)] + [(-(2**63), "least"), (2**63 - 1, "most"), (None, "null"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tokenfile.write_token_files(df, str(tmp_path / "t"), vocab("byte_bpe_50k.json"), parts=5)
+    got = tokenfile.read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, -(2**63), *[7] * 60, 2**63 - 1]
+    assert spark.read.parquet(str(tmp_path / "t")).where("array_contains(doc_ids, 7)").select("part").distinct().count() > 1
 
 
 def test_token_files(spark, docs, rows, vocab, no_docs, tmp_path, monkeypatch):
     path = vocab("byte_bpe_50k.json")
-    tokenfile.write_token_files(docs, str(tmp_path / "t"), path, shards=3)
+    tokenfile.write_token_files(docs, str(tmp_path / "t"), path, parts=3)
     got = tokenfile.read_token_files(spark, str(tmp_path / "t")).collect()
     assert len(got) == len(rows)
     t = Tokenizer.from_file(path)
