@@ -81,6 +81,37 @@ def test_candidates_beyond_the_broadcast_bound_are_joined(spark, docs, monkeypat
     assert sorted(map(tuple, minhash.near_duplicates(docs.where("doc_id is not null")).collect())) == want
 
 
+def test_rows_that_repeat_an_id_with_another_text(spark):
+    """Every row is judged by its own text: the copy of another document goes, the unrelated text of the same id stays."""
+    rng = random.Random(11)
+    t, u = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(80)) for _ in range(2))
+    near = t.replace(" ", "  ", 3) + " tail"
+    rows = [(1, t), (5, near), (5, u), (5, u), (9, u + " x"), (7, None), (7, t)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    n = {x: len(brute_set(x)) for x in (t, near, u, u + " x")}
+    assert got == {(1, n[t], 1, True), (5, n[near], 1, False), (5, n[u], 5, True), (9, n[u + " x"], 5, False), (7, 0, 7, True), (7, n[t], 1, False)}
+    assert sorted(map(str, minhash.drop_near_duplicates(df).collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[2], rows[3], rows[5]], "doc_id long, text string").collect()))
+
+
+def test_words_hash_alike_wherever_they_stand(monkeypatch):
+    """Windows, neighbours and long words change nothing: equal words have equal hashes, others others."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("ab") for _ in range(rng.choice((1, 2, 5, 30, 64, 65, 300)))).encode() for _ in range(3000)]
+    raw = b"".join(w + rng.choice((b" ", b"\n", b" \t ")) for w in words)
+    _, want = minhash.word_hashes(raw)
+    assert len(want) == len(words) and len(set(zip(words, want.tolist(), strict=True))) == len(set(words)) == len(set(want.tolist()))
+    minhash._rolling.cache_clear()
+    monkeypatch.setattr(minhash, "WINDOW", 100)
+    starts, got = minhash.word_hashes(raw)
+    assert np.array_equal(got, want) and [raw[s : s + 1] for s in starts] == [w[:1] for w in words]
+    minhash._rolling.cache_clear()
+    texts = ["A b  c\td e f", None, "", "one two", "x " * 5000, "Y"]
+    sets = list(minhash.shingle_sets_of(texts))
+    assert list(map(len, sets)) == [len(brute_set(t)) for t in texts]
+    minhash._rolling.cache_clear()
+
+
 def test_min_max_estimates_resemblance():
     rng = np.random.default_rng(0)
     agree = []
