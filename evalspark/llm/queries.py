@@ -80,7 +80,7 @@ tgt AS (SELECT source, source_size, least(cap, weight * (max(level) OVER ())) AS
 ep AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM tgt),
 row_plan AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest, (coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS ahead
     FROM keyed k JOIN ep ON k.source IS NOT DISTINCT FROM ep.source),
-picks AS (SELECT *, ahead + size / 2.0::DOUBLE <= rest AS picked FROM row_plan)
+picks AS (SELECT *, rest > 0 AND ahead + size / 2.0::DOUBLE <= rest AS picked FROM row_plan)
 SELECT doc_id, size, source_size, target, (size * (epochs + picked::INT))::BIGINT AS taken, source, epochs, picked FROM picks
 """
 

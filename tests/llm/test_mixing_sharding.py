@@ -73,9 +73,28 @@ def test_apply_mix(docs):
     out = mixing.apply_mix(docs)
     assert out.columns == docs.columns
     times = Counter(r["doc_id"] for r in out.collect())
-    for (doc_id, _), r in n.items():
-        if doc_id != 3:  # repeated rows share the mean
-            assert times[doc_id] == r["epochs"] + r["picked"]
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"]] += r["epochs"] + r["picked"]
+    assert n and times == +want
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_equal_rows_and_empty_texts_keep_the_budget(spark, parts):
+    """Of equal rows as many are drawn as the budget takes; an empty text of a capped source comes three times at most."""
+    rows = [(1, "a b", "x")] * 100 + [(2, "w " * 1001, "y"), (3, "", "z"), (3, "", "z"), (4, "one", "z"), (5, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+    plan = mixing.mix(df).collect()
+    taken, target = Counter(), {}
+    for r in plan:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    out = mixing.apply_mix(df).collect()
+    words = Counter()
+    for r in out:
+        words[r["source"]] += len((r["text"] or "").split())
+    assert words == +taken and abs(taken["x"] - target["x"]) <= 1
+    assert Counter(r["doc_id"] for r in out)[4] == 3 and Counter(r["doc_id"] for r in out)[3] == 6 and 5 not in {r["doc_id"] for r in out}
 
 
 def test_empty(no_docs):
