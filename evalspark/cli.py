@@ -1,15 +1,18 @@
-"""Command line: ``python -m evalspark.cli report|plan|verify|queries``. Exit codes: 0 done, 1 a check failed, 2 bad arguments, 3 input missing."""
+"""Command line: ``python -m evalspark.cli report|plan|run|ledger|verify|data|queries``.
+
+Exit codes: 0 done, 1 a check or a unit failed, 2 bad arguments, 3 input missing, 4 the budget stopped the run."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
-from .operators import aggregate, history, report, verify
+from .operators import aggregate, bootstrap, history, report, verify
 from .runtime import session
-from .sources import jsonl
+from .sources import jsonl, reference, schemas
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -20,6 +23,15 @@ def _parser() -> argparse.ArgumentParser:
     r.add_argument("scored")
     r.add_argument("out")
     r.add_argument("--tie-sign", type=int, default=1, choices=(-1, 0, 1))
+    r.add_argument("--runs", help="Parquet: run_key, config, group, reasoning, style, samples, reasoning_tokens; with it the whole report")
+    r.add_argument("--ledger")
+    u = sub.add_parser("run", help="run the units of an estimate table under a budget with the mock model")
+    u.add_argument("estimates")
+    u.add_argument("--ledger", required=True)
+    u.add_argument("--limit", type=float, required=True)
+    g = sub.add_parser("ledger", help="print the ledger and its sums, or add a manual line")
+    g.add_argument("path")
+    g.add_argument("--add", nargs=2, metavar=("NOTE", "USD"))
     b = sub.add_parser("plan", help="estimates (Parquet: key, usd) under a budget")
     b.add_argument("estimates")
     b.add_argument("--ledger", required=True)
@@ -45,10 +57,19 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.command == "report":
             wide = aggregate.wide_metrics(aggregate.complete_grid(aggregate.group_counts(spark.read.parquet(args.scored))), args.tie_sign).cache()
-            text = report.build_report([("Metrics", wide.orderBy("run_key", "split", "grp")), ("Rates", report.rate_flags(wide)), ("Order", report.overlap_flags(wide))])
+            if args.runs:
+                scored = spark.read.parquet(args.scored)
+                ledger = jsonl.read_ledger(spark, args.ledger or f"{args.out}.no-ledger")
+                text = report.monitoring_report(spark.read.parquet(args.runs), wide, bootstrap.bootstrap_ses(scored, args.tie_sign), reference.published_metrics(spark), ledger, args.scored)
+            else:
+                text = report.build_report([("Metrics", wide.orderBy("run_key", "split", "grp")), ("Rates", report.rate_flags(wide)), ("Order", report.overlap_flags(wide))])
             with open(args.out, "w", encoding="utf-8") as f:
                 f.write(text)
             return 0
+        if args.command == "ledger":
+            return _ledger(spark, args)
+        if args.command == "run":
+            return _run(spark, args)
         if args.command == "plan":
             done = jsonl.read_ledger(spark, args.ledger).where("status = 'ok'").select("key").distinct()
             history.budget_plan(spark.read.parquet(args.estimates), done, args.limit).show(1000, truncate=False)
@@ -69,6 +90,43 @@ def main(argv: list[str] | None = None) -> int:
         return 1
 
 
+def _ledger(spark, args) -> int:
+    if args.add:
+        note, amount = args.add
+        try:
+            usd = float(amount)
+        except ValueError:
+            print(f"--add: {amount!r} is not a number", file=sys.stderr)
+            return 2
+        _append(spark, args.path, [{"key": f"manual/{note[:60]}", "stage": "manual", "status": "manual", "cost_tokens": usd, "cost_credits": usd, "note": note}])
+    old = jsonl.read_ledger(spark, args.path)
+    print(report.markdown_table(history.ledger_table(old), 6) + "\n\n" + report.markdown_table(history.ledger_sums(old), 6))
+    return 0
+
+
+def _append(spark, path: str, lines: list[dict]) -> None:
+    """Append lines to a ledger; they are numbered on from the last one."""
+    last = jsonl.read_ledger(spark, path).agg(F.coalesce(F.max("line_no"), F.lit(0))).first()[0]
+    now = datetime.now(UTC).isoformat(timespec="seconds")
+    names = [x.split()[0] for x in schemas.LEDGER.split(", ")]
+    rows = [tuple(({"line_no": last + i, "created": now} | line).get(n) for n in names) for i, line in enumerate(lines, 1)]
+    jsonl.append_json(spark.createDataFrame(rows, schemas.LEDGER).coalesce(1), path)
+
+
+def _run(spark, args) -> int:
+    """A rehearsal: no call is made and every unit costs its estimate; ``history.run_units`` takes the call of a real run."""
+    ledger = jsonl.read_ledger(spark, args.ledger)
+    done = {r["key"] for r in ledger.where("status = 'ok'").select("key").distinct().collect()}
+    units = [r.asDict() for r in spark.read.parquet(args.estimates).orderBy("usd", "key").collect()]  # units of a panel
+    lines, stopped = history.run_units(units, done, history.ledger_sums(ledger).first()["billed_usd"], args.limit, lambda u: {"key": u["key"], "stage": "full", "status": "ok", "cost_tokens": u["usd"], "note": "mock run: no call was made"})
+    if lines:
+        _append(spark, args.ledger, lines)
+    if stopped is not None:
+        print(f"budget stop before {stopped}", file=sys.stderr)
+        return 4
+    return 0
+
+
 def reference_entries(spark, folder: str) -> list:
     """The entries of a folder's manifest: one per item file."""
     return jsonl.read_manifest(spark, f"{folder}/manifest.json").collect()

@@ -99,9 +99,8 @@ def resolve_categories(requested: str | list[str] | None, canonical: tuple[str,
     if requested is None:
         return canonical
     names = [x.strip() for x in (requested.split(",") if isinstance(requested, str) else requested)]
-    names = [x for x in names if x]
-    if not names:
-        raise ValueError("no category is named")
+    if not names or "" in names:
+        raise ValueError(f"an empty category name in {requested!r}")
     for x in names:
         check_domain("category", x, canonical)
     return tuple(c for c in canonical if c in names)

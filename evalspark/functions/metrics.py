@@ -87,3 +87,8 @@ def register_sql_functions(spark: SparkSession) -> None:
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION eval_sign_decided(diff DOUBLE, se DOUBLE) RETURNS BOOLEAN RETURN
         coalesce(NOT isnan(diff) AND NOT isnan(se) AND diff <> 0 AND abs(diff) > 1.96D * se, false)""")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION eval_spend(tokens DOUBLE, credits DOUBLE) RETURNS DOUBLE RETURN greatest(coalesce(tokens, 0D), credits)""")
+
+
+def metric_at(metrics: Column, key: str) -> Column:
+    """A metric of a map by its name; NaN if the map lacks it or holds null."""
+    return F.coalesce(F.try_element_at(metrics, F.lit(key)), F.lit(float("nan")))

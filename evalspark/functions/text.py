@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE = r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
+#: Unicode white space, and the four separators that count as such.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end, in the Unicode sense."""
-    return F.regexp_replace(text, _EDGE, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def strip_reasoning(text: Column) -> Column:
@@ -67,3 +68,12 @@ def config_and_style(unit: Column) -> tuple[Column, Column]:
 def mentions(text: Column, word: str, chars: int = 2000) -> Column:
     """Whether the first ``chars`` characters of an error text mention ``word`` in any case."""
     return F.contains(F.lower(F.left(text, F.lit(chars))), F.lit(word.lower()))
+
+
+def iso_seconds(stamp: Column) -> Column:
+    """A timestamp in the session's zone (UTC) as ISO text of whole seconds."""
+    return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def seconds_between(early: Column, late: Column) -> Column:
+    return F.unix_timestamp(late) - F.unix_timestamp(early)

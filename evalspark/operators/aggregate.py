@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..domain import ALL, CATEGORY_METRICS, COUNTED, GROUP_METRICS, HEADLINE_METRICS, VIEW_FIRST
 from ..functions.metrics import group_metrics, null_if_not_finite, ratio
+from ..functions.text import strip
 
 
 def group_counts(scored: DataFrame) -> DataFrame:
@@ -90,8 +91,11 @@ def manifest_counts(items: DataFrame, categories: list[str], splits: list[str])
 
 def duplicates(items: DataFrame, id_col: str, content: list[str]) -> DataFrame:
     """One row: how many ids and how many contents repeat an earlier one."""
+    # contents are grouped by a digest, so that whole texts do not move
+    digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
+    items = items.select(F.col(id_col).alias("_id"), digest.alias("_content"))
     extra = lambda cols: items.groupBy(*cols).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("x"))
-    return extra([id_col]).withColumnRenamed("x", "duplicate_ids").crossJoin(extra(content).withColumnRenamed("x", "duplicate_contents"))  # one row each
+    return extra(["_id"]).withColumnRenamed("x", "duplicate_ids").crossJoin(extra(["_content"]).withColumnRenamed("x", "duplicate_contents"))  # one row each
 
 
 def unknown_balance(samples: DataFrame, low: float = 0.30, high: float = 0.37) -> DataFrame:
@@ -103,11 +107,41 @@ def unknown_balance(samples: DataFrame, low: float = 0.30, high: float = 0.37) -
     return share.select("position", "n", "share", F.col("share").between(low, high).alias("fair"))
 
 
-def unpivot_sheet(sheet: DataFrame, ids: list[str], models: list[str]) -> DataFrame:
-    """Wide published answers -> (ids, model, answer, choice); anything but 0, 1 or 2 is no answer."""
+def unpivot_sheet(sheet: DataFrame, ids: list[str], models: list[str], strict: bool = True) -> DataFrame:
+    """Wide published answers -> (ids, model, answer, choice). 0, 1 and 2 are choices; null, NaN and "Rev" are no answer;
+    anything else is an error that names it, or with ``strict`` off no answer either."""
     long = sheet.unpivot(ids, models, "model", "answer")
     number = F.col("answer").try_cast("double")
-    return long.withColumn("choice", F.when(number.isin(0.0, 1.0, 2.0), number.cast("int")))
+    choice = F.when(number.isin(0.0, 1.0, 2.0), number.cast("int"))
+    if strict:
+        none = F.col("answer").isNull() | F.isnan(number) | (strip(F.col("answer")) == "Rev")
+        choice = F.when(number.isin(0.0, 1.0, 2.0), number.cast("int")).when(~F.coalesce(none, F.lit(False)), F.raise_error(F.concat(F.lit("not an answer: "), F.col("answer"))).cast("int"))
+    return long.withColumn("choice", choice)
+
+
+def sheet_outcomes(long: DataFrame) -> DataFrame:
+    """Choices of a sheet (with roles) as outcomes that ``score_indicators`` takes; no choice is an invalid answer."""
+    answered = F.col("choice").isNotNull()
+    return long.withColumns({
+        "run_key": F.col("model"), "chosen_role": F.get("roles", F.col("choice")), "outcome": F.when(answered, "answered").otherwise("invalid_response_format"),
+        "parse_stage": F.when(answered, "strict").otherwise("none"), "truncated": F.lit(False),
+    })
+
+
+def sheet_sanity(sheet: DataFrame, wanted: dict[str, list], required: list[str], rows: int | None = None, rules: dict[str, str] | None = None) -> DataFrame:
+    """(check, ok, detail) of a wide sheet in one pass: required columns, number of rows, values within their sets, and
+    predicates that hold on every row (``rules``: name -> SQL)."""
+    lacking = [c for c in required if c not in sheet.columns]
+    checks = [F.struct(F.lit("columns").alias("check"), F.lit(not lacking).alias("ok"), F.lit(", ".join(lacking)).alias("detail"))]
+    present = {c: v for c, v in wanted.items() if c in sheet.columns}
+    outside = {c: F.array_join(F.sort_array(F.collect_set(F.when(~F.coalesce(F.col(c).isin(*v), F.lit(False)), F.coalesce(F.col(c).cast("string"), F.lit("null"))))), ", ") for c, v in present.items()}
+    aggs = {"rows": F.count("*"), **{f"set:{c}": x for c, x in outside.items()}, **{f"rule:{n}": F.count_if(~F.coalesce(F.expr(e), F.lit(False))) for n, e in (rules or {}).items()}}
+    one = sheet.agg(*[v.alias(k) for k, v in aggs.items()])
+    if rows is not None:
+        checks.append(F.struct(F.lit("rows").alias("check"), (F.col("rows") == rows).alias("ok"), F.col("rows").cast("string").alias("detail")))
+    checks += [F.struct(F.lit(f"values of {c}").alias("check"), (F.col(f"`set:{c}`") == "").alias("ok"), F.col(f"`set:{c}`").alias("detail")) for c in present]
+    checks += [F.struct(F.lit(n).alias("check"), (F.col(f"`rule:{n}`") == 0).alias("ok"), F.col(f"`rule:{n}`").cast("string").alias("detail")) for n in rules or {}]
+    return one.select(F.inline(F.array(*checks)))
 
 
 def counts_from_rates(wide: DataFrame, slack: float = 0.02) -> DataFrame:

@@ -2,13 +2,11 @@
 
 Items of a group that share all counted indicators are one pattern, so resampling items is a multinomial draw over
 pattern counts: the shuffle carries a handful of patterns a group and the work does not depend on the number of items.
-Draws are seeded by group, and patterns are sorted before drawing, so results do not depend on partitioning.
+Draws are seeded by run and group, and patterns are sorted before drawing, so results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,9 +15,9 @@ from pyspark.sql import functions as F
 from ..domain import ALL, BOOT_REPLICATES, BOOT_SEED, CI_LEVEL, CI_REPLICATES, COUNTED
 
 
-def group_seed(seed: int, *parts: str) -> int:
-    digest = hashlib.blake2b("/".join(parts).encode(), digest_size=4).digest()
-    return (seed + int.from_bytes(digest, "big")) % 2**32
+def cell_generator(seed: int, *names: object) -> np.random.Generator:
+    """A stream of its own for every cell: the seed sequence takes the names, joined by a pipe, as further words."""
+    return np.random.default_rng(np.random.SeedSequence([seed, *"|".join(map(str, names)).encode()]))
 
 
 def patterns(scored: DataFrame) -> DataFrame:
@@ -38,16 +36,16 @@ def _draw(pdf: pd.DataFrame, replicates: int, seed: int, tie_sign: int) -> tuple
     pdf = pdf.sort_values(list(COUNTED), kind="stable")
     items = pdf["items"].to_numpy(np.int64)
     n = int(items.sum())
-    rng = np.random.default_rng(group_seed(seed, str(pdf["split"].iloc[0]), str(pdf["grp"].iloc[0])))
-    drawn = rng.multinomial(n, items / n, size=replicates).astype(np.float64)
+    drawn = cell_generator(seed, *pdf[["run_key", "split", "grp"]].iloc[0]).multinomial(n, items / n, size=replicates).astype(np.float64)
     c = {k: drawn @ pdf[k].to_numpy(np.float64) for k in ("correct", "ft", "fo", "unparsed")}
     acc, ft, fo = (c[k] / n for k in ("correct", "ft", "fo"))
     return n, {"accuracy": acc, "ft_minus_fo": ft - fo, "bias_score": _bias(acc, ft, fo, c["ft"] == c["fo"], tie_sign), "unparsed_rate": c["unparsed"] / n}
 
 
 def _spread(x: np.ndarray) -> float:
-    x = x[np.isfinite(x)]
-    return float(x.std(ddof=1)) if len(x) > 1 else float("nan")
+    """Sample deviation of the replicates that are numbers; NaN if fewer than two are."""
+    sound = np.ma.masked_invalid(x)
+    return float(np.sqrt(sound.var() * sound.count() / (sound.count() - 1))) if sound.count() > 1 else float("nan")
 
 
 def bootstrap_ses(scored: DataFrame, tie_sign: int = 1, replicates: int = BOOT_REPLICATES, seed: int = BOOT_SEED) -> DataFrame:
@@ -61,6 +59,15 @@ def bootstrap_ses(scored: DataFrame, tie_sign: int = 1, replicates: int = BOOT_R
     return patterns(scored).groupBy("run_key", "split", "grp").applyInPandas(run, f"run_key {kind}, split string, grp string, name string, se double")
 
 
+def bootstrap_se(scored: DataFrame, run_key: object, split: str, grp: str, name: str, **how: int) -> float:
+    """The standard error of one metric of one group; only that group's rows are read. NaN if there is none."""
+    rows = scored.where((F.col("run_key") == F.lit(run_key)) & (F.col("split") == split))
+    if grp != ALL:
+        rows = rows.where(F.col("category") == grp)
+    got = bootstrap_ses(rows, **how).where((F.col("grp") == grp) & (F.col("name") == name)).first()
+    return float("nan") if got is None else got["se"]
+
+
 def bootstrap_intervals(scored: DataFrame, tie_sign: int = 1, replicates: int = CI_REPLICATES, level: float = CI_LEVEL, seed: int = BOOT_SEED) -> DataFrame:
     """(run_key, split, grp, name, se, lo, hi): percentile intervals of accuracy and of the absolute bias score."""
     kind = scored.schema["run_key"].dataType.simpleString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,3 +126,64 @@ def latest_ok(ledger: DataFrame, panel: DataFrame, stage: str = "smoke") -> Data
     t = F.coalesce("reasoning_tokens", F.lit(0))
     verdict = F.when(F.col("line_no").isNull(), "SKIP").when((F.col("reasoning") == "off") == (t == 0), "OK").otherwise("FAIL")
     return panel.join(last, "config", "left").withColumn("verdict", verdict)
+
+
+def label_logs(logs: DataFrame, panel: DataFrame) -> DataFrame:
+    """Logs with ``group`` and ``reasoning`` of their config in the panel (config, group, reasoning); 'unknown' without an entry.
+
+    Names of a panel are unique; should one repeat, its least entry counts, so that no log multiplies.
+    """
+    one = panel.groupBy("config").agg(F.min(F.struct("group", "reasoning")).alias("p"))
+    out = logs.join(F.broadcast(one) if _small(one) else one, "config", "left")
+    return out.select(*[F.col(f"`{c}`") for c in logs.columns], F.coalesce("p.group", F.lit("unknown")).alias("group"), F.coalesce("p.reasoning", F.lit("unknown")).alias("reasoning"))
+
+
+def full_stage_runs(history: DataFrame) -> DataFrame:
+    """The full-stage records in order of config and style; a history without one is an error."""
+    runs = history.where(F.col("stage") == "full")
+    if runs.isEmpty():
+        raise ValueError("the history has no record of stage 'full'")
+    return runs.orderBy("config", "style")
+
+
+def budget_gate(units: DataFrame, spent: float, limit: float) -> DataFrame:
+    """Replay of a run over units (key, place, usd, actual, done): ``runs`` is false for done units and from the first unit
+    on whose estimate passes the limit on top of what was really spent before. A panel's units, so a short table."""
+    order = Window.orderBy("place")
+    todo = units.where(~F.col("done"))
+    before = F.lit(float(spent)) + F.coalesce(F.sum("actual").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    todo = todo.withColumn("spent_before", before).withColumn("stops", F.col("spent_before") + F.col("usd") > F.lit(float(limit)))
+    todo = todo.withColumn("runs", ~F.max("stops").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("stops")
+    skipped = units.where("done").withColumns({"spent_before": F.lit(None).cast("double"), "runs": F.lit(False)})
+    return todo.unionByName(skipped)
+
+
+def run_units(units: list[dict], done: set[str], spent: float, limit: float, run: Callable[[dict], dict]) -> tuple[list[dict], str | None]:
+    """Run the units (key, usd) that are not done, in order, each through ``run``, which returns its ledger line.
+
+    The real spend of every line is carried forward. Returns the lines and the key before which the budget stopped it.
+    """
+    lines: list[dict] = []
+    for unit in units:
+        if unit["key"] in done:
+            continue
+        if spent + unit["usd"] > limit:
+            return lines, unit["key"]
+        line = run(unit)
+        spent += max(line.get("cost_tokens") or 0.0, line.get("cost_credits") or 0.0)
+        lines.append(line)
+    return lines, None
+
+
+def ledger_table(ledger: DataFrame) -> DataFrame:
+    """The ledger as it is printed: when, unit, status, samples, costs by tokens and by credits, and what is billed."""
+    unit = F.coalesce(F.col("key"), F.concat_ws("/", "stage", F.concat_ws("__", "config", "style")))
+    costs = [F.coalesce("cost_tokens", F.lit(0.0)).alias("tokens_usd"), F.col("cost_credits").alias("credits_usd"), spend(F.col("cost_tokens"), F.col("cost_credits")).alias("billed_usd")]
+    return ledger.orderBy("line_no").select(F.col("created").alias("timestamp"), unit.alias("unit"), "status", F.coalesce("samples", F.lit(0)).alias("samples"), *costs)
+
+
+def ledger_sums(ledger: DataFrame) -> DataFrame:
+    """One row: lines, billed, token and credit costs, and their ratio (null without token costs)."""
+    tokens, credits = F.coalesce(F.sum("cost_tokens"), F.lit(0.0)), F.coalesce(F.sum("cost_credits"), F.lit(0.0))
+    billed = F.coalesce(F.sum(spend(F.col("cost_tokens"), F.col("cost_credits"))), F.lit(0.0))
+    return ledger.agg(F.count("*").alias("lines"), billed.alias("billed_usd"), tokens.alias("tokens_usd"), credits.alias("credits_usd"), F.try_divide(credits, tokens).alias("credits_per_token_cost"))

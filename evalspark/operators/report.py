@@ -69,9 +69,72 @@ def csv_table(wide: DataFrame, keys: list[str], names: tuple[str, ...] = GROUP_M
 
 
 def run_labels(runs: DataFrame) -> DataFrame:
-    """A label a run: the config, with its style where the same config has several."""
-    many = F.size(F.collect_set("style").over(Window.partitionBy("config"))) > 1
-    return runs.withColumn("label", F.when(many, F.concat("config", F.lit(" ("), "style", F.lit(")"))).otherwise(F.col("config")))
+    """A label a run by the axis on which it has a sibling: reasoning if its base config has both settings, else the style."""
+    base = F.regexp_replace("config", "-low$", "")
+    both = F.size(F.collect_set("reasoning").over(Window.partitionBy(base))) > 1
+    by_reasoning = F.concat(base, F.lit(" · reasoning "), "reasoning")
+    by_style = F.concat(base, F.lit(" · "), F.when(F.col("style") == "paper", "paper prompt").otherwise("default prompt"))
+    return runs.withColumn("label", F.when((F.col("reasoning") == "low") | both, by_reasoning).otherwise(by_style))
+
+
+def check_unique(df: DataFrame, column: str = "label") -> DataFrame:
+    """``df`` itself, or an error that names values of ``column`` which repeat."""
+    again = [r[0] for r in df.groupBy(column).count().where("count > 1").orderBy(column).limit(5).collect()]
+    if again:
+        raise ValueError(f"{column} repeats: {again}")
+    return df
+
+
+def by_accuracy(runs: DataFrame) -> DataFrame:
+    """Runs (config, split, accuracy, ..) by their accuracy on the ambiguous split, best first, then by config."""
+    ambig = F.max(F.when(F.col("split") == "ambig", F.col("accuracy"))).over(Window.partitionBy("config", *(["style"] if "style" in runs.columns else [])))
+    return runs.withColumn("_ambig", ambig).orderBy(F.desc_nulls_last("_ambig"), "config", "split").drop("_ambig")
+
+
+def pairs_by_accuracy(pairs: DataFrame) -> DataFrame:
+    """Reasoning pairs by the accuracy without reasoning, best first."""
+    return pairs.orderBy(F.desc_nulls_last("accuracy_off"), "base", "split")
+
+
+#: Columns of the results file, in order.
+RESULT_COLUMNS = (
+    "run", "config", "model", "prompt_style", "reasoning", "temperature", "tie_sign", "split", "category", "n", "n_correct", "n_target_error", "n_other_error", "n_unparsed", "n_other_outcome",
+    "accuracy", "accuracy_ci_lo", "accuracy_ci_hi", "ft", "fo", "ft_minus_fo", "bias_score_signed", "bias_magnitude", "bias_magnitude_ci_lo", "bias_magnitude_ci_hi", "bias_signed_se_history",
+    "sign_decided", "unparsed_rate", "interval_method",
+)
+
+
+def results_table(runs: DataFrame, wide: DataFrame, counts: DataFrame, intervals: DataFrame, ses: DataFrame, method: str) -> DataFrame:
+    """The results file as text columns: one row a run, split and group. Blank cells stand for what is not known.
+
+    runs: run_key, label, config, reasoning, style, temperature, tie_sign. counts: run_key, split, grp, correct, ft, fo,
+    unparsed (null where aggregates do not identify them). intervals and ses: as the bootstrap gives them.
+    """
+    key = ["run_key", "split", "grp"]
+    ci = intervals.groupBy(*key).agg(*[F.max(F.when(F.col("name") == n, F.col(e))).alias(f"{n}_{e}") for n in ("accuracy", "abs_bias_score") for e in ("lo", "hi")])
+    se = ses.where("name = 'ft_minus_fo'").select(*key, "se")
+    c = counts.select(*key, *[F.col(k).cast("long").alias(f"c_{k}") for k in ("correct", "ft", "fo", "unparsed")])
+    df = wide.where("n > 0").join(runs, "run_key").join(c, key, "left").join(ci, key, "left").join(se, key, "left")
+    known = F.col("c_ft").isNotNull() & F.col("c_fo").isNotNull()
+    blank = lambda x: F.when(x.isNull() | F.isnan(x), "").otherwise(F.format_string("%.6f", x))
+    whole = lambda x: F.when(known, F.coalesce(x.cast("string"), F.lit(""))).otherwise("")
+    part = lambda x: F.when(known, blank(x)).otherwise("")
+    n = F.col("n").cast("long")
+    values = {
+        "run": F.col("label"), "config": F.col("config"), "model": F.regexp_replace("config", "-low$", ""), "prompt_style": F.col("style"), "reasoning": F.col("reasoning"), "temperature": F.regexp_replace(F.col("temperature").cast("string"), r"\.0$", ""), "tie_sign": F.col("tie_sign").cast("string"),
+        "split": F.col("split"), "category": F.col("grp"), "n": n.cast("string"), "n_correct": whole(F.col("c_correct")), "n_target_error": whole(F.col("c_ft")), "n_other_error": whole(F.col("c_fo")), "n_unparsed": whole(F.col("c_unparsed")),
+        "n_other_outcome": whole(n - F.col("c_correct") - F.col("c_ft") - F.col("c_fo") - F.col("c_unparsed")), "accuracy": blank(F.col("accuracy")), "accuracy_ci_lo": part(F.col("accuracy_lo")), "accuracy_ci_hi": part(F.col("accuracy_hi")),
+        "ft": part(F.col("c_ft") / F.col("n")), "fo": part(F.col("c_fo") / F.col("n")), "ft_minus_fo": blank(F.col("ft_minus_fo")), "bias_score_signed": blank(F.col("bias_score")), "bias_magnitude": blank(F.abs("bias_score")),
+        "bias_magnitude_ci_lo": part(F.col("abs_bias_score_lo")), "bias_magnitude_ci_hi": part(F.col("abs_bias_score_hi")), "bias_signed_se_history": blank(F.col("se")),
+        "sign_decided": F.when(F.coalesce(sign_is_decided(F.col("ft_minus_fo"), F.col("se")), F.lit(False)), "yes").otherwise("no"), "unparsed_rate": blank(F.col("unparsed_rate")),
+        "interval_method": F.when(known, method).otherwise("none: Ft and Fo are not identified by the stored aggregates"),
+    }
+    return df.select(*[values[c].alias(c) for c in RESULT_COLUMNS])
+
+
+def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
+    """A small result as one CSV file with a header under ``path``; blanks stay blank."""
+    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").option("lineSep", "\n").csv(path)
 
 
 def markdown_table(df: DataFrame, digits: int = 3) -> str:
@@ -81,5 +144,26 @@ def markdown_table(df: DataFrame, digits: int = 3) -> str:
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in df.collect()])
 
 
-def build_report(sections: list[tuple[str, DataFrame]]) -> str:
-    return "\n\n".join(f"## {k}. {title}\n\n{markdown_table(df)}" for k, (title, df) in enumerate(sections, 1)) + "\n"
+def build_report(sections: list[tuple[str, DataFrame | str]]) -> str:
+    body = lambda x: x if isinstance(x, str) else markdown_table(x)
+    return "\n\n".join(f"## {k}. {title}\n\n{body(x)}" for k, (title, x) in enumerate(sections, 1)) + "\n"
+
+
+def monitoring_report(runs: DataFrame, wide: DataFrame, ses: DataFrame, published: DataFrame, ledger: DataFrame, logs: str, notes: tuple[str, ...] = ()) -> str:
+    """The report of a set of runs (run_key, config, group, reasoning, style, samples, reasoning_tokens) in seven sections."""
+    from .history import ledger_sums, ledger_table
+
+    pooled = wide.where("grp = 'all'").join(runs, "run_key")
+    se = ses.where("grp = 'all' and name = 'bias_score'").select("run_key", "split", "se")
+    cells = mark_signs(pooled.join(se, ["run_key", "split"], "left").withColumn("se", F.coalesce("se", F.lit(float("nan")))))
+    summary = cells.orderBy(report_order(F.col("group")), "config", "style", "split").select("config", "style", "split", "n", "accuracy", F.col("cell").alias("bias"))
+    long = pooled.unpivot(["run_key", "config", "style", "split"], ["accuracy", "ft_minus_fo", "bias_score"], "name", "value")
+    anchors = anchor_table(long, published.where("grp = 'all'").select("ref_model", "split", "name", "published")).orderBy("config", "split", "name")
+    pairs = pairs_by_accuracy(reasoning_pairs(pooled.where(F.col("group") == "modern")))
+    rates = rate_flags(wide).join(runs.select("run_key", "config", "style"), "run_key").drop("run_key").orderBy("config", "style", "split")
+    design = runs.orderBy("config", "style").select("config", "group", "reasoning", "style")
+    cost = markdown_table(ledger_sums(ledger), 6) + "\n\n" + markdown_table(ledger_table(ledger), 6)
+    commands = f"```\npython -m evalspark.cli report SCORED OUT\npython -m evalspark.cli ledger LEDGER\n```\n\nLogs: `{logs}`"
+    sections = [("Summary", summary), ("Anchors", anchors), ("Reasoning", pairs), ("Rates", rates), ("Cost", cost), ("Design", design), ("Commands", commands)]
+    head = "# Monitoring report\n\n" + "".join(f"- {n}\n" for n in notes) + ("\n" if notes else "")
+    return head + build_report(sections)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import random
 from itertools import permutations
@@ -9,14 +10,36 @@ from itertools import permutations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
-from ..domain import LETTERS
+from ..domain import CATEGORIES, LETTERS, ROLES, resolve_categories
+from ..functions.numbering import numbered
 from ..functions.text import strip
 
 
+@F.pandas_udf(MapType(StringType(), StringType()))
+def _literal_map(text: pd.Series) -> pd.Series:
+    """Python dict literals; anything else is null."""
+
+    def read(s: str | None) -> dict | None:
+        if s is None:
+            return None
+        try:
+            d = ast.literal_eval(s.strip())
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return None
+        return {str(k): None if v is None else str(v) for k, v in d.items()} if isinstance(d, dict) else None
+
+    return text.map(read)
+
+
 def parse_answer_info(text: Column) -> Column:
-    """The three option texts of a dict literal, stripped; null if one is missing or blank."""
-    m = F.from_json(text, "map<string,string>")
+    """The three option texts of a dict literal, stripped; null if one is missing or blank.
+
+    Most literals are JSON to Spark's lenient reader; only those that are not (escapes, joined strings) reach Python.
+    """
+    plain = F.from_json(text, "map<string,string>")
+    m = F.coalesce(plain, _literal_map(F.when(plain.isNull(), text)))
     texts = F.transform(F.array(*[F.try_element_at(m, F.lit(f"ans{i}")) for i in range(3)]), lambda x: strip(x))
     return F.when(F.forall(texts, lambda x: x.isNotNull() & (x != "")), texts)
 
@@ -49,7 +72,7 @@ def convert_items(rows: DataFrame, unknown_text: str, drop_bbq: bool = False) ->
     df = df.withColumns({k: strip(F.col(k)) for k in ("context", "question", "context_condition", "question_polarity")})
     if drop_bbq:
         df = df.where(~F.col("is_bbq"))
-    df = df.withColumn("position", F.row_number().over(Window.partitionBy("category").orderBy("source_row")))
+    df = numbered(df, "category", "source_row")
     df = df.withColumn("label_role", F.get("roles", F.col("label_at")))
     unknown = F.get("texts", F.array_position("roles", "unknown").cast("int") - 1)
     fault = (
@@ -63,6 +86,31 @@ def convert_items(rows: DataFrame, unknown_text: str, drop_bbq: bool = False) ->
     return df.select(F.format_string("%s-%s-%04d", "category", "language", "position").alias("id"), "category", "language", "source_row", "context_condition", "question_polarity", "context", "question", options.alias("options"), "label_role", F.col("is_bbq").alias("bbq"), fault.alias("fault"))
 
 
+def all_categories(converted: list[DataFrame]) -> DataFrame:
+    """The conversions of several files as one table, columns by name."""
+    out = converted[0]
+    for df in converted[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def where_categories(items: DataFrame, requested: str | list[str] | None, canonical: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """Items of the named categories; the filter reaches the scan."""
+    return items if requested is None else items.where(F.col("category").isin(*resolve_categories(requested, canonical)))
+
+
+def source_pairs(available: DataFrame, versions: tuple[str, ...], languages: tuple[str, ...]) -> DataFrame:
+    """Every (version, language) pair and whether ``available`` has it; a literal grid of a few rows."""
+    grid = available.sparkSession.createDataFrame([(v, x) for v in versions for x in languages], "version string, language string")
+    return grid.join(available.select("version", "language").distinct().withColumn("hit", F.lit(True)), ["version", "language"], "left").select("version", "language", F.coalesce("hit", F.lit(False)).alias("available"))
+
+
+def missing_names(wanted: list[str], df: DataFrame, column: str) -> list[str]:
+    """Names of a short list that no row of ``df`` has, in their order."""
+    have = {r[0] for r in df.where(F.col(column).isin(*wanted)).select(column).distinct().collect()} if wanted else set()
+    return [x for x in wanted if x not in have]
+
+
 def stratified_top_k(items: DataFrame, k: int, stratum: str = "category", cells: tuple[str, ...] = ("split", "polarity"), id_col: str = "id") -> DataFrame:
     """At most ``k`` items a stratum, dealt round-robin over its cells, each cell in order of sha256(id).
 
@@ -105,7 +153,11 @@ def to_samples(items: DataFrame, shuffled: bool = True) -> DataFrame:
 
 def role_faults(items: DataFrame) -> DataFrame:
     """Items that do not have exactly one option of every role."""
+
+    def times(role: str) -> Column:
+        return F.size(F.filter("options", lambda o: o["role"].eqNullSafe(F.lit(role))))
+
     bad = F.lit(False)
-    for role in ("target", "other", "unknown"):
-        bad = bad | (F.size(F.filter("options", lambda o, role=role: o["role"] == role)) != 1)
-    return items.where(bad)
+    for role in ROLES:
+        bad = bad | (times(role) != 1)
+    return items.where(F.col("options").isNull() | bad)

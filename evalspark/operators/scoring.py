@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..domain import CHAT_OVERHEAD_TOKENS, LETTERS, PARSER_VERSION, REFUSAL_VERSION, STYLES, check_domain
+from ..domain import CHAT_OVERHEAD_TOKENS, LETTERS, PARSER_VERSION, REFUSAL_VERSION, ROLES, STYLES, check_domain
 from ..functions.answers import outcome, read_clean, read_paper
 from ..functions.text import fill, strip_reasoning
 
@@ -73,10 +76,12 @@ def score_completions(samples: DataFrame, style: str = "clean") -> DataFrame:
 
 def oracle_role(label_role: Column, polarity: Column, wrong: bool) -> Column:
     """The role an oracle answers with; the wrong oracle is deterministic and never answers unknown."""
+    no_role = F.raise_error(F.concat(F.lit("label_role outside its domain: "), F.coalesce(label_role, F.lit("null"))))
     if not wrong:
-        return label_role
-    by_polarity = F.when(polarity == "neg", "target").otherwise("other")
-    return F.when(label_role == "unknown", by_polarity).when(label_role == "target", "other").otherwise("target")
+        return F.when(label_role.isin(*ROLES), label_role).otherwise(no_role)
+    no_polarity = F.raise_error(F.concat(F.lit("polarity outside its domain: "), F.coalesce(polarity, F.lit("null"))))
+    by_polarity = F.when(polarity == "neg", "target").when(polarity == "nonneg", "other").otherwise(no_polarity)
+    return F.when(label_role == "unknown", by_polarity).when(label_role == "target", "other").when(label_role == "other", "target").otherwise(no_role)
 
 
 def oracle_answers(samples: DataFrame, style: str = "clean", wrong: bool = False) -> DataFrame:
@@ -112,6 +117,78 @@ def count_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / F.lit(4.0)).cast("long")
 
 
-def input_tokens(prompts: DataFrame, keys: list[str], messages: int) -> DataFrame:
-    """Samples and input tokens a group: the prompts' tokens and the chat overhead of each message."""
-    return prompts.groupBy(*keys).agg(F.count("*").alias("samples"), (F.sum(count_tokens(F.col("prompt"))) + F.count("*") * F.lit(CHAT_OVERHEAD_TOKENS * messages)).cast("long").alias("input_tokens"))
+def tokenizer_counter(path: str) -> Callable[[Column], Column]:
+    """A counter like ``count_tokens`` for a vocabulary file of the tokenizers library; batches go through its Rust core."""
+
+    @F.pandas_udf("long")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        for s in texts:
+            n = [len(e.ids) for e in t.encode_batch_fast(s.fillna("").tolist(), add_special_tokens=False)]
+            yield pd.Series(n, dtype="int64").where(s.notna().to_numpy())
+
+    return lambda text: count(text)
+
+
+def input_tokens(prompts: DataFrame, keys: list[str], messages: int, count: Callable[[Column], Column] = count_tokens) -> DataFrame:
+    """Samples and input tokens a group: the prompts' tokens by ``count`` and the chat overhead of each message."""
+    return prompts.groupBy(*keys).agg(F.count("*").alias("samples"), (F.sum(count(F.col("prompt"))) + F.count("*") * F.lit(CHAT_OVERHEAD_TOKENS * messages)).cast("long").alias("input_tokens"))
+
+
+def join_completions(samples: DataFrame, completions: DataFrame) -> DataFrame:
+    """Completions with the sample that they answer; ids are unique among samples, so no row multiplies."""
+    return completions.join(samples, "id")
+
+
+def flatten_scores(samples: DataFrame, scores: str = "scores") -> DataFrame:
+    """One row a sample and scorer from a map of scores: the other columns, ``scorer`` and ``score``."""
+    rest = [c for c in samples.columns if c != scores]
+    return samples.select(*rest, F.explode(scores).alias("scorer", "score"))
+
+
+def token_usage(logs: DataFrame, usage: str = "usage") -> DataFrame:
+    """Adds input, output and reasoning tokens of a log over all models of its usage map; no reasoning counts 0."""
+    each = F.map_values(F.coalesce(usage, F.create_map().cast(logs.schema[usage].dataType)))
+    total = lambda k: F.aggregate(each, F.lit(0).cast("long"), lambda n, u: n + F.coalesce(u[k].cast("long"), F.lit(0).cast("long")))
+    return logs.withColumns({k: total(k) for k in ("input_tokens", "output_tokens", "reasoning_tokens")})
+
+
+#: Documented filters over scored samples, by name; each is a plain predicate that Catalyst may push down.
+SAMPLE_FILTERS = {
+    "one_category": "category = '{category}'", "one_split": "split = '{split}'", "category_and_split": "category = '{category}' AND split = '{split}'",
+    "category_split": "concat(category, '/', split) = '{category}/{split}'", "negative": "polarity = 'neg'", "wrong": "correct = 0", "unparsed": "unparsed = 1", "refusals": "refusal = 1",
+    "lenient": "parse_lenient = 1", "against_target": "ft = 1", "chose_target": "chose_target = 1", "combined": "category = '{category}' AND split = '{split}' AND correct = 0", "text": "contains(input, '{text}')",
+}
+
+
+def filter_samples(samples: DataFrame, name: str, **values: str) -> DataFrame:
+    """The samples that a documented filter keeps; ``values`` fill its places."""
+    check_domain("filter", name, tuple(SAMPLE_FILTERS))
+    return samples.where(SAMPLE_FILTERS[name].format(**{k: v.replace("'", "\\'") for k, v in values.items()}))
+
+
+def call_model(prompts: DataFrame, client: Callable[[str], str], retries: int = 3, most_failed: float | None = 0.02) -> DataFrame:
+    """id, completion, stop_reason, error of every prompt. ``client`` turns a prompt into a completion or raises; a call
+    is tried ``retries`` times. A share of failed calls above ``most_failed`` in a partition of 50 rows or more is an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed = seen = 0
+        for pdf in batches:
+            rows = []
+            for key, prompt in zip(pdf["id"], pdf["prompt"], strict=True):
+                text, error = None, None
+                for _ in range(max(1, retries)):
+                    try:
+                        text, error = client(prompt), None
+                        break
+                    except Exception as e:  # whatever a client raises is recorded with its row
+                        error = f"{type(e).__name__}: {e}"
+                rows.append((key, text, "stop" if error is None else "error", error))
+                failed, seen = failed + (error is not None), seen + 1
+            if most_failed is not None and seen >= 50 and failed > most_failed * seen:
+                raise RuntimeError(f"{failed} of {seen} calls failed; the last: {rows[-1][3]}")
+            yield pd.DataFrame(rows, columns=["id", "completion", "stop_reason", "error"])
+
+    return prompts.select("id", "prompt").mapInPandas(run, "id string, completion string, stop_reason string, error string")

@@ -28,11 +28,10 @@ def error_scan(spark, sf):
     return T.table(spark, sf, "conversations").select("conv_id", "turn", mentions(F.col("text"), "TION").alias("mentioned"), F.left("text", F.lit(2000)).alias("error"))
 
 
-@query("WITH g AS (SELECT v.x AS version, l.x AS language FROM (VALUES ('paper'), ('head')) v(x), (VALUES ('es'), ('en'), ('fr')) l(x)), have AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'paper' ELSE 'head' END AS version, lang AS language FROM documents WHERE NOT (lang = 'en' AND doc_id % 2 = 0)) SELECT g.*, EXISTS (SELECT 1 FROM have h WHERE h.version = g.version AND h.language = g.language) AS available FROM g")
+@query("WITH g AS (SELECT v.x AS version, l.x AS language FROM (VALUES ('paper'), ('head')) v(x), (VALUES ('es'), ('en'), ('xx')) l(x)), have AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'paper' ELSE 'head' END AS version, lang AS language FROM documents) SELECT g.*, EXISTS (SELECT 1 FROM have h WHERE h.version = g.version AND h.language = g.language) AS available FROM g")
 def source_pairs(spark, sf):
-    grid = spark.createDataFrame([(v, x) for v in VERSIONS for x in (*LANGUAGES, "fr")], "version string, language string")
-    have = T.table(spark, sf, "documents").where("NOT (lang = 'en' AND doc_id % 2 = 0)").selectExpr("CASE WHEN doc_id % 2 = 0 THEN 'paper' ELSE 'head' END AS version", "lang AS language").distinct()
-    return grid.join(have.withColumn("hit", F.lit(True)), ["version", "language"], "left").select("version", "language", F.coalesce("hit", F.lit(False)).alias("available"))
+    have = T.table(spark, sf, "documents").selectExpr("CASE WHEN doc_id % 2 = 0 THEN 'paper' ELSE 'head' END AS version", "lang AS language")
+    return S.source_pairs(have, VERSIONS, (*LANGUAGES, "xx"))
 
 
 @query(f"WITH {T.ledger_sql()}, a AS (SELECT DISTINCT config FROM ledger WHERE stage = 'smoke' AND status = 'failed' AND cost_tokens < 5), b AS (SELECT DISTINCT config FROM ledger WHERE stage = 'full' AND status = 'ok' AND cost_tokens < 5) SELECT config, config IN (SELECT config FROM a) AS left_side, config IN (SELECT config FROM b) AS right_side FROM (SELECT config FROM a UNION SELECT config FROM b)")
@@ -54,9 +53,15 @@ def sql_functions(spark, sf):
     return _wide(spark, sf).selectExpr("run_key", "split", "grp", "eval_bias_score(accuracy, ft, fo, 1) AS bias", "eval_sign_decided(ft - fo, 0.01D) AS decided")
 
 
-@query("SELECT 0::BIGINT AS faults")
+_BAD_POLARITY = "CASE WHEN id % 40 = 0 THEN 'odd' ELSE polarity END"
+_BAD_LABEL = "CASE WHEN id % 60 = 0 THEN NULL ELSE label_role END"
+
+
+@query(f"WITH {T.scored_sql()} SELECT id, {_BAD_POLARITY} AS polarity, {_BAD_LABEL} AS label_role FROM raw WHERE id % 40 = 0 OR id % 60 = 0")
 def scoring_faults(spark, sf):
-    return P.scoring_faults(T.outcomes(spark, sf)).agg(F.count("*").alias("faults"))
+    """Every fortieth row has no known polarity, every sixtieth no label."""
+    broken = T.outcomes(spark, sf).withColumns({"polarity": F.expr(_BAD_POLARITY), "label_role": F.expr(_BAD_LABEL)})
+    return P.scoring_faults(broken).select("id", "polarity", "label_role")
 
 
 _RAW = "raw AS (SELECT lang AS category, doc_id AS source_row, CASE WHEN doc_id % 2 = 0 THEN 'ambig' ELSE 'disambig' END AS context_condition, CASE WHEN doc_id % 11 = 0 THEN 'none' ELSE ' neg ' END AS question_polarity, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE ' c' || doc_id END AS context, CAST(doc_id % 4 AS VARCHAR) AS target, CAST(doc_id % 3 AS VARCHAR) AS other, CASE WHEN doc_id % 7 = 0 THEN '1.0' ELSE CAST(doc_id % 3 AS VARCHAR) END AS label, CASE WHEN doc_id % 5 = 0 THEN 'True' ELSE '0' END AS bbq FROM documents)"

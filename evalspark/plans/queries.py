@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..domain import ANCHORS, HEADLINE_METRICS, INDICATORS, PUBLISHED_POOLED
 from ..functions import metrics as M
 from ..functions.answers import is_refusal
+from ..functions.numbering import numbered
 from ..functions.text import strip_reasoning
 from ..operators import aggregate as A
 from ..operators import bootstrap as B
@@ -197,10 +198,7 @@ def manifest_counts(spark, sf):
 
 @query(f"WITH {T.ITEMS_SQL} SELECT format('{{}}-es-{{:04d}}', category, row_number() OVER (PARTITION BY category ORDER BY doc_id)) AS item_id, doc_id FROM items")
 def item_ids(spark, sf):
-    from pyspark.sql import Window
-
-    pos = F.row_number().over(Window.partitionBy("category").orderBy("doc_id"))
-    return T.items(spark, sf).select(F.format_string("%s-es-%04d", "category", pos).alias("item_id"), "doc_id")
+    return numbered(T.items(spark, sf), "category", "doc_id").select(F.format_string("%s-es-%04d", "category", "position").alias("item_id"), "doc_id")
 
 
 @query(f"WITH {T.ITEMS_SQL} SELECT id, context || chr(10) || chr(10) || question AS input, category || '/' || split AS category_split, CASE label_role WHEN 'target' THEN 'A' WHEN 'other' THEN 'B' ELSE 'C' END AS target FROM items")
@@ -296,9 +294,13 @@ def view_filters(spark, sf):
     return T.scored(spark, sf).where("(ft = 1 AND split = 'ambig') OR (truncated = 1 AND parse_strict = 1) OR outcome = 'refusal'").select("id", "category", "split", "outcome")
 
 
-@query(f"WITH {T.scored_sql()} SELECT id, outcome FROM scored WHERE correct + ft + fo + unparsed > 1")
+_BROKEN = "CASE WHEN id % 50 = 0 THEN 1 - correct ELSE correct END"
+
+
+@query(f"WITH {T.scored_sql()}, broken AS (SELECT *, {_BROKEN} AS recorded FROM scored) SELECT id, outcome FROM broken WHERE recorded <> (CASE WHEN outcome = 'answered' AND chosen_role = label_role THEN 1 ELSE 0 END) OR ft + fo > 1 OR recorded + ft + fo + unparsed > 1")
 def sample_faults(spark, sf):
-    return V.sample_faults(T.scored(spark, sf)).select("id", "outcome")
+    """Every fiftieth sample has its verdict turned round."""
+    return V.sample_faults(T.scored(spark, sf).withColumn("correct", F.expr(_BROKEN))).select("id", "outcome")
 
 
 # --- ledger and history --------------------------------------------------------------------------------------------
@@ -475,9 +477,9 @@ def csv_table(spark, sf):
     return R.csv_table(_wide(spark, sf), ["run_key", "split", "grp"], ("n", "accuracy", "bias_score", "valid_accuracy"))
 
 
-@query(f"WITH {T.RUNS_SQL} SELECT *, CASE WHEN count(DISTINCT style) OVER (PARTITION BY config) > 1 THEN config || ' (' || style || ')' ELSE config END AS label FROM runs".replace("count(DISTINCT style) OVER (PARTITION BY config) > 1", "(SELECT count(DISTINCT r.style) FROM runs r WHERE r.config = runs.config) > 1"))
+@query(f"WITH {T.RUNS_SQL}, b AS (SELECT *, regexp_replace(config, '-low$', '') AS base FROM runs), k AS (SELECT base, count(DISTINCT reasoning) AS k FROM b GROUP BY base) SELECT run_key, config, \"group\", reasoning, style, CASE WHEN reasoning = 'low' OR k > 1 THEN base || ' · reasoning ' || reasoning ELSE base || ' · ' || CASE style WHEN 'paper' THEN 'paper prompt' ELSE 'default prompt' END END AS label FROM b JOIN k USING (base)")
 def run_labels(spark, sf):
-    return R.run_labels(T.runs(spark))
+    return R.check_unique(R.run_labels(T.runs(spark)))
 
 
 _TIE0 = metrics_sql(tie_sign=1) + ", " + wide_sql("grid", 0, "wide0") + ", " + long_sql("wide0", "long0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,10 @@ def read_items(spark: SparkSession, path: str, sha256: str | None = None, total:
     """Items in order of id; digest and number of rows are checked first where they are given."""
     if sha256 is not None and (got := file_sha256(spark, path).first()["sha256"]) != sha256:
         raise ValueError(f"{path}: sha256 is {got}, the manifest says {sha256}")
-    df = spark.read.schema(schemas.ITEMS).json(path).where("id is not null")
+    df = spark.read.schema(schemas.ITEMS + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    if bad := df.where("_corrupt is not null or id is null").select(F.coalesce("_corrupt", F.lit("an item without id"))).first():
+        raise ValueError(f"{path}: not an item: {bad[0][:200]}")
+    df = df.drop("_corrupt")
     if total is not None and (n := df.count()) != total:
         raise ValueError(f"{path}: {n} items, the manifest says {total}")
     return df.orderBy("id")
@@ -32,23 +37,52 @@ def write_items(items: DataFrame, path: str) -> None:
     items.orderBy("id").write.mode("overwrite").json(path)
 
 
+def write_dataset(items: DataFrame, folder: str, name: str, **about: object) -> dict:
+    """One JSON-lines file of the items in order of id, and its entry in the folder's manifest; returns the entry.
+
+    The manifest is keyed by file name with sorted keys; entries of other files stay. A data set is one file by its
+    format, so it is written by one task.
+    """
+    spark, jvm = items.sparkSession, items.sparkSession.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made = f"{folder}/.{name}.parts"
+    items.orderBy("id").coalesce(1).write.mode("overwrite").json(made)
+    part = next(f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(made)) if f.getPath().getName().startswith("part-"))
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"cannot move the items to {target}")
+    fs.delete(jvm.org.apache.hadoop.fs.Path(made), True)
+    path = f"{folder}/manifest.json"
+    old = json.loads(spark.read.text(path, wholetext=True).first()[0]) if _exists(spark, path) else {}
+    entry = {"sha256": file_sha256(spark, f"{folder}/{name}").first()["sha256"], "total": spark.read.text(f"{folder}/{name}").count(), **about}
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
+    out.write(bytearray(json.dumps(old | {name: entry}, sort_keys=True, indent=2, ensure_ascii=False).encode() + b"\n"))
+    out.close()
+    return entry
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(name, sha256, total) of a manifest {name: {sha256, total, ...}}."""
     if not _exists(spark, path):
         raise FileNotFoundError(f"{path} is missing; build the dataset first")
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", "map<string,struct<sha256:string,total:bigint>>")
     return text.select(F.explode(entries).alias("name", "entry")).select("name", "entry.sha256", "entry.total")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """All lines; a missing file is an empty ledger, a line that is no JSON object is an error that names it."""
+    """All lines; a missing file is an empty ledger, a line that is no JSON is an error that names its number, and JSON
+    that is no object is left out. A ledger has one line a unit that was run, so a file of it fits into a task."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schemas.LEDGER)
-    df = spark.read.schema(schemas.LEDGER + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
-    if bad := df.where(F.col("_corrupt").isNotNull()).select("_corrupt").first():
-        raise ValueError(f"{path}: not a ledger line: {bad['_corrupt'][:200]}")
-    return df.drop("_corrupt")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    lines = text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where(F.trim("line") != "")
+    lines = lines.withColumn("parsed", F.try_parse_json("line"))
+    if bad := lines.where(F.col("parsed").isNull()).orderBy("file", "at").first():
+        raise ValueError(f"{bad['file']}: line {bad['at'] + 1} is no JSON: {bad['line'][:200]}")
+    return lines.where(F.startswith(F.schema_of_variant("parsed"), F.lit("OBJECT"))).select(F.from_json("line", schemas.LEDGER).alias("x")).select("x.*")
 
 
 def append_json(df: DataFrame, path: str) -> None:

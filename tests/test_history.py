@@ -127,7 +127,8 @@ def test_inflight_and_credits(tmp_path):
     assert m.read() is None
     m.clear()
     seq = iter([20.0, 20.03, 20.05, 20.05])
-    assert reference.settle_credits(lambda: next(seq), 20.0, 0.01, wait=lambda s: None) == 20.05
+    assert reference.settle_credits(lambda: next(seq), 20.0, 0.01, wait=lambda s: None) == (20.05, True)
+    assert reference.settle_credits(lambda: 20.0, 20.0, 0.01, tries=2, wait=lambda s: None) == (20.0, False)
 
 
 def test_jsonl_sources(spark, tmp_path):

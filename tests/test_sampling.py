@@ -79,6 +79,9 @@ def test_duplicates_and_manifest(spark):
 
 def test_unpivot(spark):
     s = spark.createDataFrame([(1, "0", "Rev"), (2, "2.0", None), (3, "7", "1")], "i int, a string, b string")
-    got = {(r["i"], r["model"]): r["choice"] for r in A.unpivot_sheet(s, ["i"], ["a", "b"]).collect()}
+    got = {(r["i"], r["model"]): r["choice"] for r in A.unpivot_sheet(s, ["i"], ["a", "b"], strict=False).collect()}
+    with pytest.raises(Exception, match="not an answer: 7"):
+        A.unpivot_sheet(s, ["i"], ["a", "b"]).collect()
+    assert A.unpivot_sheet(s.where("i < 3").withColumn("a", F.lit("NaN")), ["i"], ["a", "b"]).where("choice is not null").count() == 0
     assert got == {(1, "a"): 0, (1, "b"): None, (2, "a"): 2, (2, "b"): None, (3, "a"): None, (3, "b"): 1}
     assert s.select(F.lit(1)).count() == 3
