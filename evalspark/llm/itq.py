@@ -1,14 +1,19 @@
 """Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, exact reranking.
 
-A rotation that balances and sharpens the signs of the principal components is learned on a bounded sample. Its codes
+Rotations that balance and sharpen the signs of the principal components are learned on a bounded sample. Their codes
 are cut into segments, one table a segment; vectors that share a segment are candidates and are reranked by cosine on
-the original vectors in double precision. Further rotations give further segments until a pair exactly at the threshold
-is found with probability ``RECALL``; segments widen with the logarithm of the number of vectors, so that a table's
-buckets keep their size. A pair that several tables find counts in the first of them, so no list of pairs is needed:
-a bucket gives each vector its number of links and the smallest vector of its local group.
+the original vectors in double precision. Vectors are taken about their mean, so that codes stay balanced where all
+vectors share a direction; the angle at which a pair just at the threshold is then seen, and with it the number of
+tables, follows from how far vectors lie from the mean. Where vectors lie so close to it that most pairs are links
+anyway, directions are taken about the origin. Tables are planned so that a pair exactly at the threshold is found with
+probability ``RECALL``, or ``LEAST_RECALL`` where that would take more than ``MOST_TABLES``; closer pairs are found more
+often. Segments widen with the logarithm of the number of vectors. A pair that several tables find counts in the first
+of them, so no list of pairs is needed: a bucket gives each vector its number of links and the smallest of its local
+group. A bucket of many different vectors is compared in blocks, for each of its links has to be counted.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components link
-with nothing, and are kept; equal vectors are one class from the start; an empty table gives an empty result.
+with nothing, and are kept; equal vectors are one class from the start; rows that repeat a vec_id are judged each by its
+own vector; a null vec_id links with nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +30,11 @@ from .common import cut, parts_for
 from .components import connected_components
 
 COSINE = 0.9
-RECALL = 0.97
+RECALL, LEAST_RECALL = 0.97, 0.85
+#: More tables than these are not built: every table moves every vector once.
+MOST_TABLES = 372
+#: Below this cosine, seen from the mean, a pair at the threshold is hardly told from others: the origin serves better.
+LEAST_SEEN = 0.4
 #: Vectors that the rotations are learned on, the documented bound of the sample: those with the least hash.
 SAMPLE_ROWS = 4096
 ITERATIONS = 30
@@ -56,16 +65,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def learn(sample: np.ndarray, rotations: int, iterations: int = ITERATIONS, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Origin and ``rotations`` projections, each from another random start.
+def origin_and_cosine(sample: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, float]:
+    """The point about which unit vectors are taken, and the cosine there of a pair that has ``cosine`` about zero."""
+    mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
+    away = float(np.median(((sample - mean) ** 2).sum(axis=1))) if len(sample) else 1.0
+    seen = 1 - (1 - cosine) / away if away > 0 else -1.0
+    return (mean, min(seen, cosine)) if seen >= LEAST_SEEN else (np.zeros(sample.shape[1]), cosine)
 
-    Directions, not positions, are compared by cosine, so the components are taken about the origin: around its own
-    mean a tight group would be split by noise.
-    """
+
+def learn(sample: np.ndarray, origin: np.ndarray, rotations: int, iterations: int = ITERATIONS, seed: int = 7) -> list[np.ndarray]:
+    """``rotations`` projections of vectors about ``origin``, each from another random start."""
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
-    origin = np.zeros(d)
-    x = sample
+    x = sample - origin
     _, vectors = np.linalg.eigh(x.T @ x / max(len(x), 1) + 1e-12 * np.eye(d))
     p = vectors[:, ::-1]
     y = x @ p
@@ -76,23 +88,27 @@ def learn(sample: np.ndarray, rotations: int, iterations: int = ITERATIONS, seed
             u, _, vt = np.linalg.svd(np.where(y @ r >= 0, 1.0, -1.0).T @ y)
             r = (u @ vt).T
         out.append(p @ r)
-    return origin, out
+    return out
 
 
 def plan_tables(n: int, dim: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int, int]:
-    """(bits of a segment, tables, rotations) for ``n`` vectors."""
-    bits = max(4, min(round(math.log2(max(n, 2))) - 3, 24, dim))
-    same = (1 - math.acos(cosine) / math.pi) ** bits
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - same))
-    return bits, tables, -(-tables // (dim // bits))
+    """(bits of a segment, tables, rotations) for ``n`` vectors and pairs seen at ``cosine``."""
+    bits = max(min(4, dim), min(round(math.log2(max(n, 2))) - 3, 31, dim))
+    while True:
+        same = (1 - math.acos(cosine) / math.pi) ** bits
+        tables = math.ceil(math.log(1 - recall) / math.log(1 - same))
+        if tables <= MOST_TABLES or bits <= min(4, dim) or 1 - (1 - same) ** MOST_TABLES >= min(recall, LEAST_RECALL):
+            tables = min(tables, MOST_TABLES)
+            return bits, tables, -(-tables // (dim // bits))
+        bits -= 1
 
 
 def segments(x: np.ndarray, origin: np.ndarray, projections: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
     """Values of the first ``tables`` segments of each row's codes."""
-    weights = 1 << np.arange(bits, dtype=np.int64)
+    weights = 2.0 ** np.arange(bits)  # sums stay whole below 2**31
     out = []
     for p in projections:
-        code = ((x - origin) @ p) >= 0
+        code = (((x - origin) @ p) >= 0).astype(np.float64)
         out += [code[:, k : k + bits] @ weights for k in range(0, code.shape[1] - bits + 1, bits)]
     return np.stack(out[:tables], axis=1)
 
@@ -141,7 +157,6 @@ def _cell(dim: int, kind: str, cosine: float):
         """Blocks of many buckets; each is compared within itself."""
         pdf = pdf.sort_values(["table", "value", "i", "j", "rep"], kind="stable")
         x = unit(np.frombuffer(b"".join(pdf["v"]), dtype=kind).reshape(-1, dim))
-        seg = np.frombuffer(b"".join(pdf["segs"]), dtype="<i4").reshape(len(pdf), -1)
         key = pdf[["table", "value", "i", "j"]].to_numpy()
         rep, copies, chunk = (pdf[c].to_numpy() for c in ("rep", "copies", "chunk"))
         edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True])))
@@ -149,7 +164,8 @@ def _cell(dim: int, kind: str, cosine: float):
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if hi - lo > 1:
                 s = slice(lo, hi)
-                got = _link_block(x[s], seg[s, : key[lo, 0]], rep[s], copies[s], chunk[s], key[lo, 2] == key[lo, 3], cosine)
+                seg = np.frombuffer(b"".join(pdf["segs"].iloc[s]), dtype="<i4").reshape(hi - lo, -1)  # of the tables before
+                got = _link_block(x[s], seg, rep[s], copies[s], chunk[s], key[lo, 2] == key[lo, 3], cosine)
                 if got is not None:
                     out.append(got)
         return pd.concat(out, ignore_index=True)
@@ -170,16 +186,19 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "digest": [xxhash.xxh3_128_digest(x) for x in v], "v": v})
 
     good = vectors.where(usable(F.col("embedding"), dim) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    rows = cut(good.mapInPandas(pack, "vec_id long, digest binary, v binary"))
-    reps = cut(rows.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
+    rows = cut(good.mapInPandas(pack, "vec_id long, digest binary, v binary").withColumn("row", F.monotonically_increasing_id()))
+    # a class is named by one of its rows: a vec_id may stand for several vectors
+    reps = cut(rows.groupBy("digest").agg(F.min("row").alias("rep"), F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("v").alias("v")))
     n = reps.count()
     everyone = vectors.select(F.col("vec_id"), usable(F.col("embedding"), dim).alias("good"), "embedding")
     if not n:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
-    bits, tables, rotations = plan_tables(n, dim, cosine, recall)
     sample = reps.orderBy(F.xxhash64("digest")).limit(SAMPLE_ROWS).select("v").collect()  # bounded
-    origin, projections = learn(unit(np.frombuffer(b"".join(r["v"] for r in sample), dtype=kind).reshape(-1, dim)), rotations)
+    directions = unit(np.frombuffer(b"".join(r["v"] for r in sample), dtype=kind).reshape(-1, dim))
+    origin, seen = origin_and_cosine(directions, cosine)
+    bits, tables, rotations = plan_tables(n, dim, seen, recall)
+    projections = learn(directions, origin, rotations)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -194,13 +213,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = placed.select("rep", "table", "value", "chunk", F.least("chunk", "other").cast("int").alias("i"), F.greatest("chunk", "other").cast("int").alias("j"))
     cell = F.pmod(F.xxhash64("table", "value", "i", "j"), F.lit(parts_for(n * tables, ROWS_A_CELL))).cast("int")
-    members = placed.withColumn("cell", cell).join(coded.drop("seg"), "rep")
+    # of the segments only those of earlier tables matter, to tell whether one of them has the pair
+    earlier = F.substring(F.col("segs"), F.lit(1), F.col("table") * 4)
+    members = placed.withColumn("cell", cell).join(coded.drop("seg"), "rep").withColumn("segs", earlier)
     found = cut(members.groupBy("cell").applyInPandas(_cell(dim, kind, cosine), "rep long, links long, root long"))
 
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = reps.select("digest", "rep", "copies").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    classes = cut(classes.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    classes = reps.select("digest", "rep", "vec_id", "copies").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
+    classes = cut(classes.select("digest", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+    names = cut(classes.groupBy("component").agg(F.min("vec_id").alias("component_id")))
+    classes = cut(classes.join(names, "component").select("digest", "n_links", "component_id"))
     linked = rows.select("vec_id", "digest").join(classes, "digest").select("vec_id", "n_links", "component_id")
     rest = everyone.where(~F.col("good") | F.col("vec_id").isNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

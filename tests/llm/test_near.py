@@ -194,13 +194,41 @@ def test_itq_recall_at_the_threshold():
     noise -= (noise * x).sum(axis=1, keepdims=True) * x
     y = 0.9 * x + np.sqrt(1 - 0.81) * itq.unit(noise)
     bits, tables, rotations = itq.plan_tables(10_000, 64)
-    mean, p = itq.learn(x, rotations, iterations=10)
+    mean = np.zeros(64)
+    p = itq.learn(x, mean, rotations, iterations=10)
     same = (itq.segments(x, mean, p, bits, tables) == itq.segments(y, mean, p, bits, tables)).any(axis=1)
     assert same.mean() >= 0.9
     code = (x - mean) @ p[0] >= 0
     assert np.all(np.abs(code.mean(axis=0) - 0.5) < 0.1)  # balanced bits
 
 
+@pytest.mark.parametrize("mean_cosine, most", [(0.0, 0.02), (0.5, 0.02), (0.8, 0.05)])
+def test_vectors_that_share_a_direction(mean_cosine, most):
+    """Codes about the mean keep buckets small, and planted links are found whatever the vectors have in common."""
+    rng = np.random.default_rng(6)
+    n, dim = 20_000, 64
+    noise = itq.unit(rng.standard_normal((n, dim)))
+    noise[1::2] = itq.unit(noise[::2] + rng.uniform(0.1, 1.2, (n // 2, 1)) * itq.unit(rng.standard_normal((n // 2, dim))))
+    shared = itq.unit(rng.standard_normal((1, dim)))
+    x = itq.unit(np.sqrt(mean_cosine) * shared + np.sqrt(1 - mean_cosine) * noise)
+    cos = (x[::2] * x[1::2]).sum(axis=1)
+    links = np.flatnonzero(cos >= 0.9)
+    origin, seen = itq.origin_and_cosine(x[:4096])
+    bits, tables, rotations = itq.plan_tables(50_000, dim, seen)
+    seg = itq.segments(x, origin, itq.learn(x[:4096], origin, rotations, iterations=3), bits, tables)
+    assert (seg[::2][links] == seg[1::2][links]).any(axis=1).mean() >= 0.9 and len(links) > 1000
+    pairs = sum(int((c * (c - 1)).sum()) for c in (np.unique(seg[:, t], return_counts=True)[1].astype(np.int64) for t in range(tables)))
+    assert pairs / (n * (n - 1)) < most
+
+
+def test_vectors_that_repeat_an_id(spark):
+    """(5, near a) links with (1, a); the unrelated vector of id 5 does not."""
+    a, b = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, -1.0, 0.0]
+    df = spark.createDataFrame([(1, a), (5, [1.0, 0.05, 0.0, 0.1]), (5, b), (9, b)], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in itq.near_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (5, 1, 1, False), (5, 1, 5, True), (9, 1, 5, False)]
+
+
 @pytest.mark.parametrize("n, words, k", [(400, 4, 10), (30, 2, 10), (5, 1, 10), (1, 4, 3)])
 def test_hamming_index_is_exact(n, words, k):
     rng = np.random.default_rng(n)
