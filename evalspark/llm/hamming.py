@@ -1,19 +1,24 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes are the signs of the components. Rows are packed into blocks; in a block every 16-bit segment has a table of
-buckets. A query probes the segments at radius 0, 1, 2, ...; after segment j of radius r every code within
-``segments * r + j`` bits has been met (were each of the first j+1 segments off by more than r bits and the others by
-more than r-1, the sum would exceed it), so a query stops once its k-th best verified distance is that small. When the
-next ring of probes would outnumber the block's rows, the rest of the block is read instead, which is exact as well.
-Blocks give each query its k best; the k best of those are the answer.
-
-Defined cases: neighbours exclude the query's own id; equal distances go by the smaller id; vectors that are null, of
+Codes are the signs of the components, cut into segments of about log2(n) bits. Every distinct code is entered once a
+segment in a table keyed by segment and value. Queries grow their radius together: at radius r a query probes every
+segment with all values that differ from its own in r bits. After radius r each code not met yet differs by more than r
+bits in every segment, so by ``segments * (r + 1)`` bits at least; a query whose k-th verified distance is smaller has
+its answer and goes on no more, the others go to the next radius. A code is counted where it is met first, which its
+segments' distances tell, so nothing is listed twice.
+
+Probes meet the tables in a join on (segment, value): the tables are broadcast if they are small, else both are
+shuffled. Rows with equal codes are one entry with their k + 1 smallest ids, as no answer needs more of them.
+
+Defined cases: neighbours exclude the query's own id; equal distances go by the smaller id; repeated equal rows count
+once; of an id that is repeated with other vectors each is a query and each may be found; vectors that are null, of
 another length than most, or hold null or non-finite components are neither queries nor found; fewer than k rows give
 fewer neighbours; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,103 +27,91 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
+from .common import cut
 
-SEGMENT_BITS = 16
-DATA_BLOCK, QUERY_BLOCK = 65_536, 2_000
+MOST_SEGMENT_BITS = 16
+#: Entries of the tables (distinct codes times segments) that may be broadcast, some 100 bytes each.
+BROADCAST_ENTRIES = 500_000
 
 
-def ring(bits: int, radius: int) -> np.ndarray:
+def segment_lengths(dim: int, bits: int) -> list[int]:
+    """Lengths of the segments of ``dim`` bits: at most ``bits``, longer ones first, at most one apart."""
+    return split(dim, max(1, -(-dim // bits)))
+
+
+def split(dim: int, segments: int) -> list[int]:
+    return [dim // segments + (j < dim % segments) for j in range(segments)]
+
+
+def ring(bits: int, radius: int) -> list[int]:
     """All ``bits``-bit masks with ``radius`` bits set."""
-    return np.array([sum(1 << b for b in c) for c in combinations(range(bits), radius)], dtype=np.int64)
-
-
-_rings: dict[int, np.ndarray] = {}
-
-
-class Index:
-    """Segment tables over the codes of one block."""
-
-    def __init__(self, ids: np.ndarray, codes: np.ndarray):
-        by_id = np.argsort(ids, kind="stable")
-        self.ids, self.codes = ids[by_id], codes[by_id]
-        self.orders, self.starts = [], []
-        for j in range(codes.shape[1]):
-            v = self.codes[:, j]
-            order = np.argsort(v, kind="stable")
-            self.orders.append(order)
-            self.starts.append(np.searchsorted(v[order], np.arange(2**SEGMENT_BITS + 1)))
-
-    def search(self, query_id: int, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest rows by (distance, id), the query's own id left out."""
-        m, n = self.codes.shape[1], len(self.ids)
-        seen = self.ids == query_id
-        best_at, best_d = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for radius in range(SEGMENT_BITS + 1):
-            if radius not in _rings:
-                _rings[radius] = ring(SEGMENT_BITS, radius)
-            masks = _rings[radius]
-            for j in range(m):
-                if len(masks) > n:
-                    at, j = np.flatnonzero(~seen), m * SEGMENT_BITS
-                else:
-                    v = masks ^ int(code[j])
-                    lo = self.starts[j][v]
-                    count = self.starts[j][v + 1] - lo
-                    lo, count = lo[count > 0], count[count > 0]
-                    at = self.orders[j][np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())] if len(lo) else best_at[:0]
-                    at = at[~seen[at]]
-                if len(at):
-                    seen[at] = True
-                    d = np.bitwise_count(self.codes[at] ^ code).sum(axis=1, dtype=np.int64)
-                    best_at, best_d = np.concatenate((best_at, at)), np.concatenate((best_d, d))
-                    top = np.lexsort((best_at, best_d))[:k]  # places are in order of id
-                    best_at, best_d = best_at[top], best_d[top]
-                if j >= m or len(best_d) == k and best_d[-1] <= m * radius + j:
-                    return self.ids[best_at], best_d
-        return self.ids[best_at], best_d
-
-
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids = pdf["vec_id"].to_numpy(np.int64)
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [ids.tobytes()], "codes": [b"".join(pdf["code"])]})
-
-
-def _search(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for ids, codes, q_ids, q_codes in zip(pdf["ids"], pdf["codes"], pdf["q_ids"], pdf["q_codes"], strict=True):
-            ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-            index = Index(ids, np.frombuffer(codes, "<u2").reshape(len(ids), -1))
-            for q, code in zip(q_ids, np.frombuffer(q_codes, "<u2").reshape(len(q_ids), -1), strict=True):
-                found, d = index.search(q, code, k)
-                rows += [(int(q), int(f), int(x)) for f, x in zip(found, d, strict=True)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "distance"]).astype(np.int64)
-
-    return run
+    return [sum(1 << b for b in c) for c in combinations(range(bits), radius)]
 
 
 def sign_codes(vectors: DataFrame, dim: int) -> DataFrame:
-    """(vec_id, embedding) -> (vec_id, code): one bit a component, set where it is positive, in 16-bit words."""
+    """(vec_id, embedding) -> (vec_id, code): one segment a number, a bit set where the component is positive."""
+    lengths = segment_lengths(dim, max(4, min(MOST_SEGMENT_BITS, round(math.log2(max(vectors.count(), 2))))))
+    edges = np.cumsum([0, *lengths])[:-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight = np.concatenate([1 << np.arange(n) for n in lengths]).astype(np.int64)
         for pdf in batches:
-            x = np.zeros((len(pdf), -(-dim // SEGMENT_BITS) * SEGMENT_BITS), dtype=bool)
             if len(pdf):
-                x[:, :dim] = np.stack(list(pdf["embedding"])) > 0
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "code": [r.tobytes() for r in np.packbits(x, axis=1, bitorder="little")]})
-
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "vec_id long, code binary")
-
-
-def top_k(codes: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
-    """(vec_id, code) -> query_id, rank, vec_id, distance; queries are the rows where ``is_query`` holds, in blocks."""
-    codes = cut(codes)
-    queries = codes.where(is_query)
-    n_blocks, q_blocks = parts_for(codes.count(), DATA_BLOCK), parts_for(queries.count(), QUERY_BLOCK)
-    pack = lambda df, n: df.withColumn("block", F.pmod(F.xxhash64("vec_id", "code"), F.lit(n)).cast("int")).groupBy("block").applyInPandas(_pack, "block int, ids binary, codes binary")
-    data = pack(codes, n_blocks).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    asked = pack(queries, q_blocks).select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"))
-    best = data.join(asked, "q").groupBy("block", "q").applyInPandas(_search(k), "query_id long, vec_id long, distance long")
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+                code = np.add.reduceat((np.stack(list(pdf["embedding"])) > 0) * weight, edges, axis=1)
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "code": list(code.astype(np.int32))})
+
+    if not dim:
+        return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.array().cast("array<int>").alias("code")).limit(0)
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "vec_id long, code array<int>")
+
+
+def _smallest(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of every key; the limit works before the shuffle too."""
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= k).drop("_place")
+
+
+def _met(active: DataFrame, index: DataFrame, lengths: list[int], radius: int) -> DataFrame:
+    """(query_id, qcode, distance, vec_id) of codes that queries meet first at this radius."""
+    m = len(lengths)
+    masks = F.expr(f"array({', '.join(map(str, ring(lengths[0], radius)))})")
+    probes = active.select("query_id", "qcode", F.posexplode("qcode").alias("segment", "value")).withColumn("mask", F.explode(masks))
+    long_ones = sum(n == lengths[0] for n in lengths)
+    room = F.when(F.col("segment") < long_ones, 1 << lengths[0]).otherwise(1 << (lengths[0] - 1))
+    probes = probes.where(F.col("mask") < room).select("query_id", "qcode", "segment", _entry(F.col("segment"), F.col("value").bitwiseXOR(F.col("mask"))).alias("entry"))
+    apart = [F.bit_count(F.get("qcode", F.lit(j)).bitwiseXOR(F.get("code", F.lit(j)))) for j in range(m)]
+    first = F.lit(True)
+    for j, d in enumerate(apart):
+        first = first & F.when(F.col("segment") > j, d > radius).otherwise(d >= radius)
+    found = probes.join(index, "entry").where(first)
+    found = found.select("query_id", "qcode", sum(apart[1:], apart[0]).cast("long").alias("distance"), F.explode("ids").alias("vec_id"))
+    return found.where("vec_id <> query_id")
+
+
+def _entry(segment: Column, value: Column) -> Column:
+    return segment.cast("long") * F.lit(1 << MOST_SEGMENT_BITS) + value
+
+
+def top_k(codes: DataFrame, dim: int, is_query: Column, k: int = 10) -> DataFrame:
+    """(vec_id, code) -> query_id, rank, vec_id, distance; queries are the rows where ``is_query`` holds."""
+    codes = cut(codes.distinct())
+    sample = codes.first()
+    if sample is None:
+        return codes.select(F.col("vec_id").alias("query_id"), F.lit(0).cast("long").alias("rank"), "vec_id", F.lit(0).cast("long").alias("distance"))
+    lengths = split(dim, len(sample["code"]))
+    classes = cut(_smallest(codes, ["code"], ["vec_id"], k + 1).groupBy("code").agg(F.collect_list("vec_id").alias("ids")))  # k + 1 at most
+    index = cut(classes.select("code", "ids", F.posexplode("code").alias("segment", "value")).select(_entry(F.col("segment"), F.col("value")).alias("entry"), "code", "ids"))
+    if index.count() <= BROADCAST_ENTRIES:
+        index = F.broadcast(index)
+    active = cut(codes.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("code").alias("qcode")))
+    best, keys = None, ["query_id", "qcode"]
+    for radius in range(lengths[-1] + 1):
+        near = _met(active, index, lengths, radius)
+        best = cut(_smallest(near if best is None else near.unionByName(best), keys, ["distance", "vec_id"], k))
+        # what is not met yet is at least this far away
+        unseen = len(lengths) * (radius + 1)
+        sure = best.groupBy(*keys).agg(F.count("*").alias("n"), F.max("distance").alias("worst")).where((F.col("n") == k) & (F.col("worst") < unseen))
+        active = cut(active.join(sure, keys, "left_anti"))
+        if active.isEmpty():
+            break
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "vec_id"))
+    return best.withColumn("rank", rank.cast("long")).select("query_id", "rank", "vec_id", "distance")

@@ -6,6 +6,8 @@ matched greedily (the largest with the largest that still fits), and smaller pie
 them. The outcome is a list of patterns with multiplicities; pieces are ranked within their length and look their
 pattern up, so every row finds its sequence and offset by itself.
 
+Ranks are counted over ranges of the rows, so neither a common length nor a repeated row is one task.
+
 Defined cases: a null text packs as an empty one (its end id alone); documents above the capacity are cut into pieces
 of the capacity, the last one shorter; equal rows are packed each for itself; an empty table packs to nothing.
 """

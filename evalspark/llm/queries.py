@@ -51,16 +51,21 @@ def op9_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     dim = itq.common_length(vectors)
     good = vectors.where(itq.usable_numbers(F.col("embedding"), dim) & F.col("vec_id").isNotNull())
-    return hamming.top_k(hamming.sign_codes(good, dim), F.col("vec_id") % 20 == 0)
+    return hamming.top_k(hamming.sign_codes(good, dim), dim, F.col("vec_id") % 20 == 0)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that SQL can express: counts and digest of the base spans."""
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_shard_documents, op3_quality, op4_embedding_neighbours, op5_pack_documents, op6_pseudonyms, op7_token_files, op8_secret_scan, op9_hamming_top_k, op10_near_duplicates)
+    for f in (op1_mix_sources, op2_shard_documents, op3_quality, op4_embedding_neighbours, op5_pack_documents, op6_pseudonyms, op7_token_files, op8_secret_scan, op9_hamming_top_k, op10_near_duplicates, secret_base_counts)
 }
 
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -116,5 +121,23 @@ comp AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT n.doc_id, n_shingles, least(n.doc_id, coalesce(m, n.doc_id)) AS component_id, n.doc_id = least(n.doc_id, coalesce(m, n.doc_id)) AS kept FROM n LEFT JOIN comp ON n.doc_id = comp.a
 """
 
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans_sql(kind: str, order: int, pattern: str, keep: str) -> str:
+    """Spans of one kind: lengths between and of the matches add up to every start."""
+    return f"""SELECT doc_id, {order} AS ord, '{kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0))) AS start,
+        unnest(list_transform(m, lambda x: len(x))) AS n, unnest({keep}) AS ok
+        FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {2 if kind == "assign" else 0}) AS v FROM d)"""
+
+
+_BASE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_spans_sql("assign", 0, _ASSIGN, "list_transform(v, lambda x: len(x) >= 6)")} UNION ALL {_spans_sql("access", 1, "AKIA[A-Z0-9]+", "list_transform(v, lambda x: len(x) >= 20)")} UNION ALL {_spans_sql("hex", 2, "[0-9a-f]+", "list_transform(v, lambda x: len(x) >= 24)")}),
+k AS (SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS a, count(*) FILTER (WHERE ord = 1) AS c, count(*) FILTER (WHERE ord = 2) AS h,
+    string_agg(kind || ':' || start::BIGINT || ':' || (start + n)::BIGINT, ',' ORDER BY start, ord) AS spans FROM s WHERE ok GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
 #: The others need trees, a tokenizer, a keyed permutation or a differencing heap; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op1_mix_sources": _OP1, "op4_embedding_neighbours": _OP4, "op9_hamming_top_k": _OP9, "op10_near_duplicates": _OP10}
+ORACLES: dict[str, str] = {"op1_mix_sources": _OP1, "op4_embedding_neighbours": _OP4, "op9_hamming_top_k": _OP9, "op10_near_duplicates": _OP10, "secret_base_counts": _BASE}

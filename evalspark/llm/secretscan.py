@@ -1,12 +1,12 @@
 """Secret scan with DataFrame functions only: fixed patterns plus sliding-window entropy.
 
 Spans are (kind, start, end) in code points, end exclusive. Positions come from cutting the text at the matches: the
-lengths of what lies between and of the matches add up to every start. Candidate strings that hold a digit are judged
-by the Shannon entropy of every window of ``WINDOW`` characters; the sum of c*log2(c) is carried from window to window
+lengths of what lies between and of the matches add up to every start. Candidate strings are judged by the Shannon entropy of every window of ``WINDOW`` characters; the sum of c*log2(c) is carried from window to window
 and changed by the character that enters and the one that leaves. Allow-listed shapes are never reported, and an entropy
 span that lies within a span of a fixed pattern is not listed again; one that reaches beyond it is.
 
-Defined cases: a null text counts as empty and has no spans; every row is judged by itself, whatever its doc_id.
+Defined cases: a null text counts as empty and has no spans; every row is judged by itself, whatever its doc_id; an
+empty table gives an empty result; a very long text is scanned whole, and a candidate's cost grows with its length alone.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 
 WINDOW = 20
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-#: Character class -> least entropy in bits of its best window.
-ENTROPY = (("^[0-9a-fA-F]+$", 2.9), ("^[A-Z0-9]+$", 3.3), ("", 3.6))
+#: Counts of a window that one number holds, bits of a count (a window has fewer than 32 characters), numbers needed.
+PACKED, COUNT_BITS = 12, 5
+WORDS = -(-(len(ALPHABET) + 1) // PACKED)
+#: Character class -> least entropy in bits of its best window; without a digit a string must be as good as random.
+ENTROPY = (("^[^0-9]+$", 4.0), ("^[0-9a-fA-F]+$", 2.9), ("^[A-Z0-9]+$", 3.3), ("", 3.6))
 #: Shapes that look random and are no secrets: plain numbers, UUIDs, documentation samples, dated paths.
 ALLOW = (r"^[0-9]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|sample|placeholder|xxxx", r"^[a-z/_-]+[0-9]{1,4}$", r"(^|/)[0-9]{4}/[0-9]{2}/[0-9]{2}(/|$)")
 
@@ -67,26 +70,38 @@ def base_spans(text: Column) -> tuple[Column, Column, Column]:
 
 
 def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits, of any ``window`` characters in a row; 0 for shorter strings."""
+    """Largest Shannon entropy, in bits, of any ``window`` characters in a row; 0 for shorter strings.
+
+    The counts of a window are packed into a few numbers, ``PACKED`` to each; a step changes the two counts of the
+    characters that enter and leave, and the sum of c*log2(c) by them.
+    """
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
     codes = F.transform(F.regexp_extract_all(candidate, F.lit("(?s)."), F.lit(0)), lambda ch: F.instr(F.lit(ALPHABET), ch))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.size(codes)),
-        F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best")),
-        lambda st, i: _step(st, i, table, window),
-        lambda st: st["best"],
-    )
-
-
-def _step(st: Column, i: Column, table: Column, window: int) -> Column:
-    enters = F.get(st["codes"], i - 1)
-    leaves = F.when(i > window, F.get(st["codes"], i - 1 - window)).otherwise(F.lit(-1))
-    gone = F.when(i > window, F.get(st["counts"], leaves)).otherwise(F.lit(0))
-    had = F.get(st["counts"], enters) - F.when(leaves == enters, 1).otherwise(0)
-    s = st["s"] - F.when(i > window, F.get(table, gone) - F.get(table, gone - 1)).otherwise(0.0) + F.get(table, had + 1) - F.get(table, had)
-    counts = F.transform(st["counts"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
-    best = F.when(i >= window, F.greatest(st["best"], F.lit(math.log2(window)) - s / F.lit(float(window)))).otherwise(st["best"])
-    return F.struct(st["codes"].alias("codes"), counts.alias("counts"), s.alias("s"), best.alias("best"))
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(-1), F.lit(window)), codes), F.lit(1), F.size(codes))
+    moves = F.zip_with(codes, leaving, lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
+    words = [F.lit(0).cast("long").alias(f"w{i}") for i in range(WORDS)]
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), *words)
+    return F.aggregate(moves, start, lambda st, x: _step(st, x["enters"], x["leaves"], table, window), lambda st: st["best"])
+
+
+def _count(st: Column, code: Column) -> Column:
+    """How often the window holds ``code``."""
+    word = st["w0"]
+    for i in range(1, WORDS):
+        word = F.when(code >= i * PACKED, st[f"w{i}"]).otherwise(word)
+    return F.call_function("shiftright", word, code % PACKED * COUNT_BITS).bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("long")).cast("int")
+
+
+def _step(st: Column, enters: Column, leaves: Column, table: Column, window: int) -> Column:
+    full = leaves >= 0
+    gone = F.when(full, _count(st, leaves)).otherwise(0)
+    had = _count(st, enters) - F.when(leaves == enters, 1).otherwise(0)
+    s = st["s"] - F.when(full, F.get(table, gone) - F.get(table, gone - 1)).otherwise(0.0) + F.get(table, had + 1) - F.get(table, had)
+    one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), code % PACKED * COUNT_BITS)
+    inside = lambda code, i: (code >= i * PACKED) & (code < (i + 1) * PACKED)
+    words = [(st[f"w{i}"] + F.when(inside(enters, i), one(enters)).otherwise(0) - F.when(inside(leaves, i), one(leaves)).otherwise(0)).alias(f"w{i}") for i in range(WORDS)]
+    best = F.when(st["n"] + 1 >= window, F.greatest(st["best"], F.lit(math.log2(window)) - s / F.lit(float(window)))).otherwise(st["best"])
+    return F.struct((st["n"] + 1).alias("n"), s.alias("s"), best.alias("best"), *words)
 
 
 def suspicious(candidate: Column) -> Column:

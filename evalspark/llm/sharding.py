@@ -2,7 +2,7 @@
 
 Groups are dealt into chunks; inside a chunk the differencing method keeps a heap of partial partitions (one sum per
 shard) and always joins the two of largest spread in opposite order. A chunk ends as one partial partition, and those
-are differenced again in the same way, one small row per chunk, so that no task holds more than a chunk's groups.
+are differenced again in the same way, node by node of a tree, so that no task holds more than a chunk or a node.
 
 Defined cases: size is the UTF-8 bytes of the text plus 1 (null text: 1); null texts form one group, empty texts
 another; groups are never divided, so one group larger than a shard's share bounds the balance that is possible;
@@ -12,18 +12,17 @@ repeated rows are separate rows of one group; an empty table gives an empty resu
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
+from .common import cut, ordered_sums, parts_for
 
 SHARDS = 8
 GROUPS_A_CHUNK = 20_000
-ROWS_A_SLOT_RUN = 50_000
+PARTS_A_NODE = 2_000
 
 
 def difference(parts: list[list[tuple[int, int]]], shards: int) -> list[dict[int, int]]:
@@ -75,40 +74,38 @@ def _chunk_bins(shards: int):
     return run
 
 
-def _chunk_shards(shards: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True) if (batches := [b for b in batches if len(b)]) else pd.DataFrame()
-        if not len(rows):
-            return
+def _join_bins(shards: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The partial partitions of one node, differenced: where each bin of each of its parts goes."""
         parts, ids = [], []
-        for chunk, g in rows.sort_values(["chunk", "bin"]).groupby("chunk"):
-            ids.append(chunk)
+        for part, g in pdf.sort_values(["part", "bin"]).groupby("part"):
+            ids.append(part)
             parts.append([(int(w), int(b)) for w, b in zip(g["weight"], g["bin"], strict=True)])
-        out = [(c, b, s) for c, place in zip(ids, difference(parts, shards), strict=True) for b, s in place.items()]
-        yield pd.DataFrame(out, columns=["chunk", "bin", "shard"])
+        node = int(pdf["node"].iloc[0])
+        out = [(c, b, node, s) for c, place in zip(ids, difference(parts, shards), strict=True) for b, s in place.items()]
+        return pd.DataFrame(out, columns=["part", "bin", "node", "to"])
 
     return run
 
 
-def assign_groups(groups: DataFrame, shards: int = SHARDS, per_chunk: int = GROUPS_A_CHUNK) -> DataFrame:
-    """(group, weight) -> (group, shard). Chunk sums are ``shards`` rows a chunk; they meet in one task."""
-    n = groups.count()
-    chunked = groups.withColumn("chunk", F.pmod(F.xxhash64("group"), F.lit(parts_for(n, per_chunk))).cast("int"))
-    binned = cut(chunked.groupBy("chunk").applyInPandas(_chunk_bins(shards), "group binary, chunk int, weight long, bin int"))
-    sums = binned.groupBy("chunk", "bin").agg(F.sum("weight").alias("weight"))
-    final = sums.coalesce(1).mapInPandas(_chunk_shards(shards), "chunk int, bin int, shard int")
-    return binned.join(final, ["chunk", "bin"]).select("group", "shard")
-
-
-def number_rows(rows: DataFrame, key: str, order: list[str], out: str, per_run: int = ROWS_A_SLOT_RUN) -> DataFrame:
-    """Gapless numbers from 0 within ``key``; runs of about ``per_run`` rows are numbered apart and then offset."""
-    runs = parts_for(rows.count(), per_run)
-    rows = rows.withColumn("_run", F.pmod(F.xxhash64(*order), F.lit(runs)).cast("int"))
-    counts = rows.groupBy(key, "_run").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inner = Window.partitionBy(key, "_run").orderBy(*order)
-    return rows.join(offsets, [key, "_run"]).withColumn(out, F.col("_before") + F.row_number().over(inner) - 1).drop("_run", "_before")
+def assign_groups(groups: DataFrame, shards: int = SHARDS, per_chunk: int = GROUPS_A_CHUNK, per_node: int = PARTS_A_NODE) -> DataFrame:
+    """(group, weight) -> (group, shard). Chunks are joined in a tree whose nodes difference ``per_node`` partial partitions
+    each, so no task holds more than a chunk's groups or a node's ``per_node * shards`` sums."""
+    n = parts_for(groups.count(), per_chunk)
+    chunked = groups.withColumn("chunk", F.pmod(F.xxhash64("group"), F.lit(n)).cast("int"))
+    placed = cut(chunked.groupBy("chunk").applyInPandas(_chunk_bins(shards), "group binary, chunk int, weight long, bin int"))
+    placed = placed.withColumnRenamed("chunk", "part")
+    while n > 1:
+        n = parts_for(n, per_node)
+        sums = placed.groupBy("part", "bin").agg(F.sum("weight").alias("weight")).withColumn("node", F.pmod("part", F.lit(n)).cast("int"))
+        moves = cut(sums.groupBy("node").applyInPandas(_join_bins(shards), "part int, bin int, node int, to int"))
+        placed = cut(placed.join(moves, ["part", "bin"]).select("group", F.col("node").alias("part"), "weight", F.col("to").alias("bin")))
+    return placed.select("group", F.col("bin").alias("shard"))
+
+
+def number_rows(rows: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
+    """Gapless numbers from 0 within ``key``, over ranges of the rows."""
+    return ordered_sums(rows, [key], order, {out: F.lit(1).cast("long")})
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

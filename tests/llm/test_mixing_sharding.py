@@ -160,6 +160,7 @@ def test_balance(spark):
 def test_many_chunks_agree_with_groups(spark):
     rng = random.Random(6)
     g = spark.createDataFrame([(bytes([i % 256, i // 256]), rng.randint(1, 1000)) for i in range(2000)], "group binary, weight long")
-    out = sharding.assign_groups(g, 8, per_chunk=100).join(g, "group").groupBy("shard").sum("weight").collect()
-    loads = [r[1] for r in out]
-    assert max(loads) - min(loads) <= 5
+    for per_node in (2000, 3):  # one node, and a tree of three levels
+        out = sharding.assign_groups(g, 8, 100, per_node).join(g, "group").groupBy("shard").agg({"weight": "sum", "*": "count"}).collect()
+        loads = [r["sum(weight)"] for r in out]
+        assert max(loads) - min(loads) <= 5 and sum(r["count(1)"] for r in out) == 2000

@@ -229,31 +229,58 @@ def test_vectors_that_repeat_an_id(spark):
     assert got == [(1, 1, 1, True), (5, 1, 1, False), (5, 1, 5, True), (9, 1, 5, False)]
 
 
-@pytest.mark.parametrize("n, words, k", [(400, 4, 10), (30, 2, 10), (5, 1, 10), (1, 4, 3)])
-def test_hamming_index_is_exact(n, words, k):
-    rng = np.random.default_rng(n)
-    codes = rng.integers(0, 2**16, (n, words)).astype("<u2")
-    codes[n // 2 :] = codes[rng.integers(0, max(n // 2, 1), n - n // 2)] ^ (1 << rng.integers(0, 16, (n - n // 2, words))).astype("<u2")
-    ids = rng.permutation(n * 3)[:n]
-    index = hamming.Index(ids, codes)
-    for q in range(min(n, 40)):
-        d = np.bitwise_count(codes ^ codes[q]).sum(axis=1)
-        want = sorted((int(x), int(i)) for x, i in zip(d, ids, strict=True) if i != ids[q])[:k]
-        got_ids, got_d = index.search(int(ids[q]), codes[q], k)
-        assert list(zip(got_d.tolist(), got_ids.tolist(), strict=True)) == want
-
-
-def test_top_k_over_blocks(spark, monkeypatch):
+def brute_top(codes, k):
+    """codes: id -> bits. The k nearest of every twentieth id by (distance, id)."""
+    return {q: sorted((int((codes[q] != b).sum()), i) for i, b in codes.items() if i != q)[:k] for q in codes if q % 20 == 0}
+
+
+def answers(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"]))
+    return out
+
+
+@pytest.mark.parametrize("entries", [0, 10**6])
+@pytest.mark.parametrize("dim", [24, 37])
+def test_top_k(spark, monkeypatch, dim, entries):
+    """Pairs and groups, ties and unusable vectors, with broadcast and with shuffled tables."""
     from pyspark.sql import functions as F
 
-    rows, dim = vectors(5, 200)
+    monkeypatch.setattr(hamming, "BROADCAST_ENTRIES", entries)
+    rows, _ = vectors(5, 200, dim)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    monkeypatch.setattr(hamming, "DATA_BLOCK", 64)
-    monkeypatch.setattr(hamming, "QUERY_BLOCK", 3)
     good = df.where(itq.usable_numbers(F.col("embedding"), dim))
-    got = hamming.top_k(hamming.sign_codes(good, dim), F.col("vec_id") % 20 == 0, 5).collect()
     bits = {i: np.array(v) > 0 for i, v in rows if v and len(v) == dim and all(c is not None and np.isfinite(c) for c in v)}
-    for q in [i for i in bits if i % 20 == 0]:
-        want = sorted((int((bits[q] != b).sum()), i) for i, b in bits.items() if i != q)[:5]
-        assert [(r["distance"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
-    assert hamming.top_k(hamming.sign_codes(good, dim).limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    for k in (5, 500):
+        want = {q: x for q, x in brute_top(bits, k).items() if x}
+        assert answers(hamming.top_k(hamming.sign_codes(good, dim), dim, F.col("vec_id") % 20 == 0, k).collect()) == want
+    assert hamming.top_k(hamming.sign_codes(good.limit(0), dim), dim, F.col("vec_id") % 20 == 0).count() == 0
+    one = good.where("vec_id = 20")
+    assert hamming.top_k(hamming.sign_codes(one, dim), dim, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_answers_stop_by_radius(spark, monkeypatch):
+    """Where neighbours are near, a query is answered by the bound at a small radius and goes no further."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((200, 64))
+    near = np.repeat(base, 20, axis=0)
+    flip = rng.random(near.shape) < 0.03
+    x = np.where(flip, -near, near).astype(np.float32)
+    x[-1] = x[-2]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    radii, met = [], hamming._met
+    monkeypatch.setattr(hamming, "_met", lambda a, i, n, r: (radii.append(r), met(a, i, n, r))[1])
+    got = answers(hamming.top_k(hamming.sign_codes(df, 64), 64, F.col("vec_id") % 20 == 0, 10).collect())
+    assert got == brute_top(dict(enumerate(x > 0)), 10)
+    lengths = hamming.segment_lengths(64, 12)
+    assert radii == list(range(len(radii))) and len(radii) - 1 < lengths[-1] / 2
+
+
+def test_segments_and_rings():
+    for dim, bits in ((64, 16), (64, 12), (37, 8), (5, 16), (24, 9)):
+        n = hamming.segment_lengths(dim, bits)
+        assert sum(n) == dim and max(n) <= bits and n == sorted(n, reverse=True) and n[0] - n[-1] <= 1
+    assert sorted(x for r in range(6) for x in hamming.ring(5, r)) == list(range(32))

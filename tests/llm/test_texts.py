@@ -325,12 +325,33 @@ def test_window_entropy(spark):
         assert r["e"] == pytest.approx(entropy(r["s"]), abs=1e-9)
 
 
-@pytest.mark.parametrize("text, found", [("key Zk3J9fQ2mX7pL0vR5tYb8WnC4d", True), ("id 550e8400-e29b-41d4-a716-446655440000", False), ("n 12345678901234567890123", False), ("Zk3J9fQ2mX7pL0vR5tExample8WnC4d", False), ("aaaaaaaaaaaaaaaaaaaaaaaa1", False), ("donaudampfschifffahrtsgesellschaft", False)])
+@pytest.mark.parametrize("text, found", [("key Zk3J9fQ2mX7pL0vR5tYb8WnC4d", True), ("id 550e8400-e29b-41d4-a716-446655440000", False), ("n 12345678901234567890123", False), ("Zk3J9fQ2mX7pL0vR5tExample8WnC4d", False), ("aaaaaaaaaaaaaaaaaaaaaaaa1", False), ("donaudampfschifffahrtsgesellschaft", False), ("key ZkJxfQqmXhpLovRutYybWnCgdS", True), ("internationalisation/characterisation", False)])
 def test_entropy_and_allow_list(spark, text, found):
     r = secretscan.secret_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert ("entropy" in r["spans"]) == found and r["n_assign"] == 0
 
 
+def brute_spans(text):
+    """All spans: base ones, and candidates outside the allow-list whose best window is random enough."""
+    base = brute_base(text)
+    out = list(base)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text):
+        c = m[0]
+        least = next(bits for shape, bits in secretscan.ENTROPY if re.search(shape, c))
+        if not any(re.search(a, c) for a in secretscan.ALLOW) and entropy(c) >= least and not any(b[0] <= m.start() and m.end() <= b[2] for b in base):
+            out.append((m.start(), 3, m.end(), "entropy"))
+    return sorted(out)
+
+
+def test_all_spans_against_brute_force(spark, sf, docs, rows):
+    rng = random.Random(12)
+    odd = [" ".join(rng.choice(("word", "x" * 30, "".join(rng.choice(secretscan.ALPHABET) for _ in range(rng.randint(18, 60))), "AKIA" + "Q7" * 9, "token=abcdef123", "/a/2024/01/02/bcdefghijk")) for _ in range(12)) for _ in range(300)]
+    texts = odd + [r[1] or "" for r in rows] + [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    got = secretscan.secret_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    want = {i: ",".join(f"{k}:{s}:{e}" for s, _, e, k in brute_spans(t)) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["spans"] for r in got} == want and sum("entropy" in x for x in want.values()) > 100
+
+
 def test_mask(docs, rows):
     out = secretscan.mask_secrets(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
