@@ -46,7 +46,8 @@ def test_one_of_each_group_stays(stages):
     from test_near import brute
 
     _, before, after = stages[1]
-    _, comp = brute({r["doc_id"]: r["text"] for r in before.collect()})
+    # the stage links at its own percent, not at op10's
+    _, comp = brute({r["doc_id"]: r["text"] for r in before.collect()}, corpus_pipeline.NEAR_PERCENT)
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(comp.values()))
 
 
