@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``. All but the last return the columns of ``documents`` (and any others that the input has).
+
+Defined cases: an empty table passes through every stage; a null text is scored, compared, scanned, mixed and packed as
+an empty one (it has no near-duplicates); a null doc_id stays where its text does; repeated rows are scanned and packed
+each for itself, share their fate in the first two stages, and are drawn one by one by the mix; long texts are processed
+whole; columns whose names clash with internal ones keep their values.
 """
 
 from __future__ import annotations
