@@ -65,7 +65,7 @@ def sign_codes(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "vec_id long, code array<int>")
 
 
-def _smallest(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+def smallest(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
     """The first ``k`` rows of every key; the limit works before the shuffle too."""
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= k).drop("_place")
 
@@ -98,7 +98,7 @@ def top_k(codes: DataFrame, dim: int, is_query: Column, k: int = 10) -> DataFram
     if sample is None:
         return codes.select(F.col("vec_id").alias("query_id"), F.lit(0).cast("long").alias("rank"), "vec_id", F.lit(0).cast("long").alias("distance"))
     lengths = split(dim, len(sample["code"]))
-    classes = cut(_smallest(codes, ["code"], ["vec_id"], k + 1).groupBy("code").agg(F.collect_list("vec_id").alias("ids")))  # k + 1 at most
+    classes = cut(smallest(codes, ["code"], ["vec_id"], k + 1).groupBy("code").agg(F.collect_list("vec_id").alias("ids")))  # k + 1 at most
     index = cut(classes.select("code", "ids", F.posexplode("code").alias("segment", "value")).select(_entry(F.col("segment"), F.col("value")).alias("entry"), "code", "ids"))
     if index.count() <= BROADCAST_ENTRIES:
         index = F.broadcast(index)
@@ -106,7 +106,7 @@ def top_k(codes: DataFrame, dim: int, is_query: Column, k: int = 10) -> DataFram
     best, keys = None, ["query_id", "qcode"]
     for radius in range(lengths[-1] + 1):
         near = _met(active, index, lengths, radius)
-        best = cut(_smallest(near if best is None else near.unionByName(best), keys, ["distance", "vec_id"], k))
+        best = cut(smallest(near if best is None else near.unionByName(best), keys, ["distance", "vec_id"], k))
         # what is not met yet is at least this far away
         unseen = len(lengths) * (radius + 1)
         sure = best.groupBy(*keys).agg(F.count("*").alias("n"), F.max("distance").alias("worst")).where((F.col("n") == k) & (F.col("worst") < unseen))

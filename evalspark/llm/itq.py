@@ -59,6 +59,23 @@ def common_length(vectors: DataFrame) -> int:
     return row["n"] if row else 0
 
 
+def number_kind(vectors: DataFrame) -> str:
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+
+
+def packed(vectors: DataFrame, kind: str) -> DataFrame:
+    """vec_id, digest and v (the numbers as bytes) of vectors without nulls."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for pdf in batches:
+            v = [np.asarray(x, dtype=kind).tobytes() for x in pdf["embedding"]]
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "digest": [xxhash.xxh3_128_digest(x) for x in v], "v": v})
+
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "vec_id long, digest binary, v binary")
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -175,18 +192,9 @@ def _cell(dim: int, kind: str, cosine: float):
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding)."""
-    dim = common_length(vectors)
-    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for pdf in batches:
-            v = [np.asarray(x, dtype=kind).tobytes() for x in pdf["embedding"]]
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "digest": [xxhash.xxh3_128_digest(x) for x in v], "v": v})
-
-    good = vectors.where(usable(F.col("embedding"), dim) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    rows = cut(good.mapInPandas(pack, "vec_id long, digest binary, v binary").withColumn("row", F.monotonically_increasing_id()))
+    dim, kind = common_length(vectors), number_kind(vectors)
+    good = vectors.where(usable(F.col("embedding"), dim) & F.col("vec_id").isNotNull())
+    rows = cut(packed(good, kind).withColumn("row", F.monotonically_increasing_id()))
     # a class is named by one of its rows: a vec_id may stand for several vectors
     reps = cut(rows.groupBy("digest").agg(F.min("row").alias("rep"), F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("v").alias("v")))
     n = reps.count()
