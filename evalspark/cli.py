@@ -6,13 +6,28 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
-from .operators import aggregate, bootstrap, history, report, verify
+from .operators import aggregate, bootstrap, history, recovery, report, verify
 from .runtime import session
-from .sources import jsonl, reference, schemas
+from .sources import jsonl, reference
+
+
+#: Fixed format: a manual line's unit shows this much of its note.
+NOTE_IN_KEY = 60
+
+
+class _Booking(argparse.Action):
+    """Two words, the second an amount."""
+
+    def __call__(self, parser, namespace, values, option_string=None):
+        try:
+            setattr(namespace, self.dest, (values[0], float(values[1])))
+        except ValueError:
+            raise argparse.ArgumentError(self, f"an amount is wanted, not {values[1]!r}") from None
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -31,7 +46,7 @@ def _parser() -> argparse.ArgumentParser:
     u.add_argument("--limit", type=float, required=True)
     g = sub.add_parser("ledger", help="print the ledger and its sums, or add a manual line")
     g.add_argument("path")
-    g.add_argument("--add", nargs=2, metavar=("NOTE", "USD"))
+    g.add_argument("--add", nargs=2, metavar=("NOTE", "USD"), action=_Booking)
     b = sub.add_parser("plan", help="estimates (Parquet: key, usd) under a budget")
     b.add_argument("estimates")
     b.add_argument("--ledger", required=True)
@@ -47,7 +62,10 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = _parser().parse_args(argv)
+    try:
+        args = _parser().parse_args(argv)
+    except SystemExit as e:  # wrong arguments, or help
+        return int(e.code or 0)
     if args.command == "queries":
         from .plans import REGISTRY
 
@@ -90,37 +108,35 @@ def main(argv: list[str] | None = None) -> int:
         return 1
 
 
-def _ledger(spark, args) -> int:
-    if args.add:
-        note, amount = args.add
-        try:
-            usd = float(amount)
-        except ValueError:
-            print(f"--add: {amount!r} is not a number", file=sys.stderr)
-            return 2
-        _append(spark, args.path, [{"key": f"manual/{note[:60]}", "stage": "manual", "status": "manual", "cost_tokens": usd, "cost_credits": usd, "note": note}])
-    old = jsonl.read_ledger(spark, args.path)
-    print(report.markdown_table(history.ledger_table(old), 6) + "\n\n" + report.markdown_table(history.ledger_sums(old), 6))
-    return 0
+def _now() -> str:
+    return datetime.now(UTC).isoformat(timespec="seconds")
 
 
-def _append(spark, path: str, lines: list[dict]) -> None:
-    """Append lines to a ledger; they are numbered on from the last one."""
-    last = jsonl.read_ledger(spark, path).agg(F.coalesce(F.max("line_no"), F.lit(0))).first()[0]
-    now = datetime.now(UTC).isoformat(timespec="seconds")
-    names = [x.split()[0] for x in schemas.LEDGER.split(", ")]
-    rows = [tuple(({"line_no": last + i, "created": now} | line).get(n) for n in names) for i, line in enumerate(lines, 1)]
-    jsonl.append_json(spark.createDataFrame(rows, schemas.LEDGER).coalesce(1), path)
+def _ledger(spark, args) -> int:
+    """Print a ledger; spend that no run has written may be put into it first, each time as a line of its own."""
+    if args.add is not None:
+        about, spent = args.add
+        name = f"hand-{uuid.uuid4().hex[:12]}"
+        costs = dict.fromkeys(("cost_tokens", "cost_credits"), spent)
+        recovery.book(recovery.open_ledger(spark, args.path), {"attempt": name, "key": f"manual/{about[:NOTE_IN_KEY]}", "stage": "manual", "status": "manual", "created": _now(), "note": about} | costs)
+    lines = jsonl.read_ledger(spark, args.path)
+    for part in (history.ledger_table(lines), history.ledger_sums(lines)):
+        print(report.markdown_table(part, 6), end="\n\n")
+    return 0
 
 
 def _run(spark, args) -> int:
-    """A rehearsal: no call is made and every unit costs its estimate; ``history.run_units`` takes the call of a real run."""
-    ledger = jsonl.read_ledger(spark, args.ledger)
-    done = {r["key"] for r in ledger.where("status = 'ok'").select("key").distinct().collect()}
+    """A rehearsal: no call is made and every unit costs its estimate; ``history.run_units`` takes the call of a real run.
+
+    Each unit runs under a marker beside the ledger, and a marker that an earlier run left is settled first."""
+    ledger, marker = recovery.open_ledger(spark, args.ledger), recovery.Marker(spark, f"{args.ledger.rstrip('/')}.inflight.json")
+    billed = lambda: history.ledger_sums(jsonl.read_ledger(spark, args.ledger)).first()["billed_usd"]
+    if left := recovery.recover(ledger, marker, billed):
+        print(f"{left['key']}: an attempt was cut off; {left['cost_credits']:.6f} USD are booked", file=sys.stderr)
+    done = {r["key"] for r in jsonl.read_ledger(spark, args.ledger).where("status = 'ok'").select("key").distinct().collect()}
     units = [r.asDict() for r in spark.read.parquet(args.estimates).orderBy("usd", "key").collect()]  # units of a panel
-    lines, stopped = history.run_units(units, done, history.ledger_sums(ledger).first()["billed_usd"], args.limit, lambda u: {"key": u["key"], "stage": "full", "status": "ok", "cost_tokens": u["usd"], "note": "mock run: no call was made"})
-    if lines:
-        _append(spark, args.ledger, lines)
+    rehearse = lambda u: {"stage": "full", "status": "ok", "cost_tokens": u["usd"], "note": "mock run: no call was made"}
+    _, stopped = history.run_units(units, done, billed(), args.limit, lambda u: recovery.attempt_unit(ledger, marker, u, _now(), billed, rehearse))
     if stopped is not None:
         print(f"budget stop before {stopped}", file=sys.stderr)
         return 4

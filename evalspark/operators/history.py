@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..domain import BUDGET_CAP, CREDITS_RESERVE, DEFAULT_OUTPUT_TOKENS
 from ..functions.metrics import spend
+from ..functions.numbering import numbered, prefix_sums
 
 
 def new_records(existing: DataFrame, batch: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -84,16 +85,20 @@ def unpriced(units: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def running_cost(estimates: DataFrame, usd: str = "usd", key: str = "key") -> DataFrame:
-    """Cheapest first with the running sum of the estimates; units of a panel, so a short table."""
-    w = Window.orderBy(usd, key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return estimates.withColumn("cum_usd", F.sum(usd).over(w)).withColumn("place", F.row_number().over(Window.orderBy(usd, key)).cast("long"))
+    """Cheapest first with the running sum of the estimates and the place, both over ranges of the rows."""
+    before = prefix_sums(estimates, [], [usd, key], {"cum_usd": F.coalesce(F.col(usd), F.lit(0.0)), "place": F.lit(1).cast("long")})
+    return before.withColumns({"cum_usd": F.col("cum_usd") + F.coalesce(F.col(usd), F.lit(0.0)), "place": F.col("place") + 1})
+
+
+def _until_stop(units: DataFrame, stops: Column) -> DataFrame:
+    """``units`` with ``runs``: false from the first unit in order of ``place`` on for which ``stops`` holds."""
+    marked = prefix_sums(units, [], ["place"], {"runs": stops.cast("long")})
+    return marked.withColumn("runs", (F.col("runs") == 0) & ~stops)
 
 
 def budget_plan(estimates: DataFrame, done: DataFrame, limit: float, usd: str = "usd", key: str = "key") -> DataFrame:
     """Units not done, cheapest first, with ``runs``: false from the first unit whose running sum passes ``limit``."""
-    todo = running_cost(estimates.join(done, key, "left_anti"), usd, key)
-    w = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return todo.withColumn("runs", ~F.max(F.col("cum_usd") > F.lit(limit)).over(w))
+    return _until_stop(running_cost(estimates.join(done, key, "left_anti"), usd, key), F.col("cum_usd") > F.lit(float(limit)))
 
 
 def resolve_budget(explicit: float | None, spent: float, remaining: float) -> float:
@@ -116,8 +121,8 @@ def interrupted_cost(now: Column, before: Column) -> Column:
 
 def next_line_numbers(existing: DataFrame, batch: DataFrame, order: str) -> DataFrame:
     """``batch`` with line_no that goes on after ``existing``; order is semantic, so it is fixed when written."""
-    last = existing.agg(F.coalesce(F.max("line_no"), F.lit(0)).alias("_last"))
-    return batch.withColumn("_n", F.row_number().over(Window.orderBy(order))).crossJoin(last).withColumn("line_no", (F.col("_last") + F.col("_n")).cast("long")).drop("_n", "_last")  # a run's lines and one row
+    last = existing.agg(F.coalesce(F.max("line_no"), F.lit(0))).first()[0]
+    return numbered(batch, [], order, "line_no").withColumn("line_no", F.col("line_no") + F.lit(last))
 
 
 def latest_ok(ledger: DataFrame, panel: DataFrame, stage: str = "smoke") -> DataFrame:
@@ -148,12 +153,10 @@ def full_stage_runs(history: DataFrame) -> DataFrame:
 
 def budget_gate(units: DataFrame, spent: float, limit: float) -> DataFrame:
     """Replay of a run over units (key, place, usd, actual, done): ``runs`` is false for done units and from the first unit
-    on whose estimate passes the limit on top of what was really spent before. A panel's units, so a short table."""
-    order = Window.orderBy("place")
-    todo = units.where(~F.col("done"))
-    before = F.lit(float(spent)) + F.coalesce(F.sum("actual").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    todo = todo.withColumn("spent_before", before).withColumn("stops", F.col("spent_before") + F.col("usd") > F.lit(float(limit)))
-    todo = todo.withColumn("runs", ~F.max("stops").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("stops")
+    on whose estimate passes the limit on top of what was really spent before."""
+    todo = prefix_sums(units.where(~F.col("done")), [], ["place"], {"spent_before": F.coalesce(F.col("actual"), F.lit(0.0))})
+    todo = todo.withColumn("spent_before", F.col("spent_before") + F.lit(float(spent)))
+    todo = _until_stop(todo, F.col("spent_before") + F.col("usd") > F.lit(float(limit)))
     skipped = units.where("done").withColumns({"spent_before": F.lit(None).cast("double"), "runs": F.lit(False)})
     return todo.unionByName(skipped)
 

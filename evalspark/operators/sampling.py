@@ -7,6 +7,7 @@ import hashlib
 import random
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql.types import MapType, StringType
 from ..domain import CATEGORIES, LETTERS, ROLES, resolve_categories
 from ..functions.numbering import numbered
 from ..functions.text import strip
+from ..functions.twister import shuffles
+from ..runtime import ship_package
 
 
 @F.pandas_udf(MapType(StringType(), StringType()))
@@ -131,16 +134,27 @@ def seeded_order(item_id: str) -> list[int]:
 
 
 def permute_options(items: DataFrame, id_col: str = "id", native: bool = False) -> DataFrame:
-    """Adds ``order`` (array of option places). ``native`` picks one of the six orders by hash without Python."""
+    """Adds ``order`` (array of option places), that of ``seeded_order`` for whole batches at once; null for a null id.
+
+    ``native`` picks one of the six orders by hash without Python."""
     if native:
         orders = F.array(*[F.array(*map(F.lit, p)) for p in permutations(range(3))])
-        return items.withColumn("order", F.get(orders, F.pmod(F.xxhash64(id_col), F.lit(6)).cast("int")))
+        place = F.conv(F.substring(F.sha2(F.col(id_col).cast("binary"), 256), 1, 8), 16, 10).cast("long") % 6
+        return items.withColumn("order", F.get(orders, place.cast("int")))
 
     @F.pandas_udf("array<int>")
-    def order(ids: pd.Series) -> pd.Series:
-        return ids.map(seeded_order)
-
-    return items.withColumn("order", order(F.col(id_col)))
+    def order(heads: pd.Series, ids: pd.Series) -> pd.Series:
+        seeds = np.frombuffer(b"".join(heads), dtype=">u8").astype(np.uint64)
+        found, enough = shuffles(seeds, 3)
+        out = pd.Series(list(found), index=ids.index, dtype=object)
+        for i in np.flatnonzero(~enough).tolist():
+            out.iloc[i] = seeded_order(ids.iloc[i])
+        return out
+
+    ship_package(items.sparkSession)
+    text = F.coalesce(F.col(id_col), F.lit(""))
+    head = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 16))
+    return items.withColumn("order", F.when(F.col(id_col).isNotNull(), order(head, text)))
 
 
 def to_samples(items: DataFrame, shuffled: bool = True) -> DataFrame:

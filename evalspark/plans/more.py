@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ..domain import LANGUAGES, VERSIONS
 from ..functions import metrics as M
 from ..functions.text import config_and_style, mentions, path_part
+from ..operators import recovery as V
 from ..operators import sampling as S
 from ..operators import scoring as P
+from ..runtime import scratch_folder
+from ..sources.commits import KeyedTable
 from . import adapters as T
 from .queries import _wide, query
 from .sql import metrics_sql
@@ -34,9 +37,9 @@ def source_pairs(spark, sf):
     return S.source_pairs(have, VERSIONS, (*LANGUAGES, "xx"))
 
 
-@query(f"WITH {T.ledger_sql()}, a AS (SELECT DISTINCT config FROM ledger WHERE stage = 'smoke' AND status = 'failed' AND cost_tokens < 5), b AS (SELECT DISTINCT config FROM ledger WHERE stage = 'full' AND status = 'ok' AND cost_tokens < 5) SELECT config, config IN (SELECT config FROM a) AS left_side, config IN (SELECT config FROM b) AS right_side FROM (SELECT config FROM a UNION SELECT config FROM b)")
+@query(f"WITH {T.ledger_sql()}, a AS (SELECT DISTINCT config FROM ledger WHERE stage = 'smoke' AND status = 'failed'), b AS (SELECT DISTINCT config FROM ledger WHERE stage = 'full' AND status = 'ok') SELECT config, config IN (SELECT config FROM a) AS left_side, config IN (SELECT config FROM b) AS right_side FROM (SELECT config FROM a UNION SELECT config FROM b)")
 def config_sets(spark, sf):
-    led = T.ledger(spark, sf).where("cost_tokens < 5")
+    led = T.ledger(spark, sf)
     side = lambda where, name: led.where(where).select("config").distinct().withColumn(name, F.lit(True))
     both = side("stage = 'smoke' AND status = 'failed'", "left_side").join(side("stage = 'full' AND status = 'ok'", "right_side"), "config", "full_outer")
     return both.select("config", F.coalesce("left_side", F.lit(False)).alias("left_side"), F.coalesce("right_side", F.lit(False)).alias("right_side"))
@@ -79,3 +82,49 @@ def convert_items(spark, sf):
     info = "{'ans0': ' uno', 'ans1': 'dos', 'ans2': 'No se sabe'}"
     raw = raw.withColumns({"language": F.lit("es"), "question": F.lit("q"), "answer_info": F.lit(info)})
     return S.convert_items(raw, "No se sabe", drop_bbq=True).select("id", "source_row", "context", "question_polarity", "fault")
+
+
+_KEYED = "rows AS (SELECT stage || '-' || (line_no % 1000) AS key, config, line_no AS event, status = 'failed' AS early FROM ledger)"
+
+
+@query(f"""WITH {T.ledger_sql()}, {_KEYED}, a AS (SELECT key, min(event) AS event, 0 AS batch FROM rows WHERE early GROUP BY key),
+    b AS (SELECT * FROM a UNION ALL SELECT key, min(event), 1 FROM rows WHERE key NOT IN (SELECT key FROM a) GROUP BY key)
+    SELECT row_number() OVER (ORDER BY batch, b.event) AS line_no, b.key, config, b.event FROM b JOIN rows USING (key, event)""")
+def keyed_append(spark, sf):
+    """Failed lines first, then all lines, each batch twice, into a table that holds a key once."""
+    rows = T.ledger(spark, sf).selectExpr("concat(stage, '-', CAST(line_no % 1000 AS STRING)) AS key", "config", "line_no AS event", "status")
+    table = KeyedTable(spark, scratch_folder(spark, "keyed"), "key string, config string, event long", ["key"], "event", "parquet")
+    for number, batch in enumerate((rows.where("status = 'failed'"), rows)):
+        for _ in range(2):
+            table.append(batch, "query", number)
+    table.append(rows)
+    return table.read()
+
+
+@query(f"""WITH {T.ledger_sql()} SELECT 'a' || line_no AS attempt, status, samples, cost_tokens, cost_credits FROM ledger WHERE line_no % 7 <> 3
+    UNION ALL SELECT 'a' || line_no, 'interrupted', 0, 0, round_even(greatest(cost_tokens + coalesce(cost_credits, 0) - cost_tokens, 0), 8) FROM ledger WHERE line_no % 7 = 3""")
+def recovered_ledger(spark, sf):
+    """Every seventh attempt was killed before its line was written, another seventh after it; all of these left markers,
+    some twice. Recovery runs twice, and so does the writer of the lines."""
+    led = T.ledger(spark, sf).withColumn("attempt", F.concat(F.lit("a"), "line_no")).withColumn("key", F.concat_ws("/", "stage", "config"))
+    table = V.ledger_table(spark, scratch_folder(spark, "ledger"))
+    written = led.where("line_no % 7 <> 3")
+    table.append(written, "writer", 0)
+    left = led.where("line_no % 7 IN (3, 4)").selectExpr("attempt", "key", "config", "style", "stage", "created", "cost_tokens AS credits_before", "cost_tokens + coalesce(cost_credits, 0) AS credits_now", "line_no")
+    markers = left.drop("line_no").unionByName(left.where("line_no % 2 = 0").withColumn("created", F.concat("created", F.lit("+"))).drop("line_no"))
+    for _ in range(2):
+        table.append(V.interrupted_lines(markers, table.read()))
+    table.append(written)
+    return table.read().select("attempt", "status", "samples", "cost_tokens", "cost_credits")
+
+
+_ORDERS = "(VALUES (0, 'C'), (1, 'B'), (2, 'C'), (3, 'B'), (4, 'A'), (5, 'A')) o(k, letter)"
+
+
+@query(f"""WITH {T.ITEMS_SQL}, k AS (SELECT ('0x' || substr(sha256(id), 1, 8))::BIGINT % 6 AS k FROM items)
+    SELECT letter, count(*) AS n FROM k JOIN {_ORDERS} USING (k) GROUP BY letter""")
+def native_balance(spark, sf):
+    """Where the option 'unknown' stands after the permutation that needs no Python."""
+    samples = S.to_samples(S.permute_options(T.items(spark, sf), native=True))
+    place = F.array_position("roles", "unknown").cast("int") - 1
+    return samples.groupBy(F.get(F.array(*map(F.lit, "ABC")), place).alias("letter")).agg(F.count("*").alias("n"))

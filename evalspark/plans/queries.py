@@ -352,12 +352,11 @@ def prepaid(spark, sf):
     return g.select("config", "style", H.net_cost(F.col("gross"), F.lit(5) * F.col("prepaid")).alias("net"), H.settle_threshold(F.col("gross")).alias("threshold"), H.interrupted_cost(F.col("prepaid"), F.col("gross") / F.lit(3.0)).alias("interrupted"))
 
 
-_LOGS = "logs AS (SELECT event_id AS log_id, 'log-' || (event_id % 900) AS log_file, 'm' || (user_id % 45) AS config, CASE WHEN user_id % 2 = 0 THEN 'clean' ELSE 'paper' END AS style FROM events WHERE event_type = 'click')"
+_LOGS = "logs AS (SELECT event_id AS log_id, 'log-' || (event_id % 900) AS log_file, 'm' || (user_id % 45) AS config, CASE WHEN user_id % 2 = 0 THEN 'clean' ELSE 'paper' END AS style FROM events)"
 
 
 def _logs(spark, sf):
-    e = T.table(spark, sf, "events").where("event_type = 'click'")
-    return e.selectExpr("event_id AS log_id", "concat('log-', CAST(event_id % 900 AS STRING)) AS log_file", "concat('m', CAST(user_id % 45 AS STRING)) AS config", "CASE WHEN user_id % 2 = 0 THEN 'clean' ELSE 'paper' END AS style")
+    return T.table(spark, sf, "events").selectExpr("event_id AS log_id", "concat('log-', CAST(event_id % 900 AS STRING)) AS log_file", "concat('m', CAST(user_id % 45 AS STRING)) AS config", "CASE WHEN user_id % 2 = 0 THEN 'clean' ELSE 'paper' END AS style")
 
 
 @query(f"WITH {_L}, {_LOGS}, f AS (SELECT log_file, arg_max(line_no, line_no) AS fl FROM ledger WHERE log_file <> '' GROUP BY log_file), u AS (SELECT config, style, max(line_no) AS ul FROM ledger WHERE status = 'ok' GROUP BY config, style), m AS (SELECT logs.*, coalesce(fl, ul) AS line_no, CASE WHEN fl IS NOT NULL THEN 'log_file' WHEN ul IS NOT NULL THEN 'config/style' ELSE 'none' END AS matched_by FROM logs LEFT JOIN f USING (log_file) LEFT JOIN u USING (config, style)) SELECT m.*, l.cost_tokens, l.cost_credits FROM m LEFT JOIN ledger l USING (line_no)")

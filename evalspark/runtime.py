@@ -1,12 +1,13 @@
-"""Session defaults and package shipping."""
+"""Session defaults, package shipping, the shared scratch folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,6 +26,31 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, or one that is made up only for a local master."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="evalspark-checkpoints-")
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder once and go on from those files."""
+    ship_package(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def session(app: str = "evalspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the engine's results rely on: UTC, ANSI, adaptive execution."""
     b = SparkSession.builder.appName(app)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import schemas
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
@@ -55,7 +55,7 @@ def write_dataset(items: DataFrame, folder: str, name: str, **about: object) ->
         raise OSError(f"cannot move the items to {target}")
     fs.delete(jvm.org.apache.hadoop.fs.Path(made), True)
     path = f"{folder}/manifest.json"
-    old = json.loads(spark.read.text(path, wholetext=True).first()[0]) if _exists(spark, path) else {}
+    old = json.loads(spark.read.text(path, wholetext=True).first()[0]) if path_exists(spark, path) else {}
     entry = {"sha256": file_sha256(spark, f"{folder}/{name}").first()["sha256"], "total": spark.read.text(f"{folder}/{name}").count(), **about}
     out = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
     out.write(bytearray(json.dumps(old | {name: entry}, sort_keys=True, indent=2, ensure_ascii=False).encode() + b"\n"))
@@ -65,7 +65,7 @@ def write_dataset(items: DataFrame, folder: str, name: str, **about: object) ->
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(name, sha256, total) of a manifest {name: {sha256, total, ...}}."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"{path} is missing; build the dataset first")
     text = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", "map<string,struct<sha256:string,total:bigint>>")
@@ -75,8 +75,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """All lines; a missing file is an empty ledger, a line that is no JSON is an error that names its number, and JSON
     that is no object is left out. A ledger has one line a unit that was run, so a file of it fits into a task."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schemas.LEDGER)
+    if path_exists(spark, f"{path}/commits"):
+        from ..operators.recovery import ledger_table
+
+        return ledger_table(spark, path).read().drop("attempt")
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     lines = text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where(F.trim("line") != "")
     lines = lines.withColumn("parsed", F.try_parse_json("line"))
@@ -91,9 +95,10 @@ def append_json(df: DataFrame, path: str) -> None:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Records with neutral defaults for what old lines lack; null metric values read as NaN."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schemas.HISTORY)
-    df = spark.read.schema(schemas.HISTORY).json(path).where("config is not null")
+    whole = history_table(spark, path).read() if path_exists(spark, f"{path}/commits") else spark.read.schema(schemas.HISTORY).json(path)
+    df = whole.where("config is not null")
     nan = lambda m: F.transform_values(F.coalesce(m, F.create_map().cast("map<string,double>")), lambda _, v: F.coalesce(v, F.lit(float("nan"))))
     return df.withColumns({
         "group": F.coalesce("group", F.lit("unknown")), "reasoning": F.coalesce("reasoning", F.lit("off")), "style": F.coalesce("style", F.lit("clean")),
@@ -107,17 +112,21 @@ def json_safe(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: fix(F.col(c)) for c in ("metrics", "ses") if c in df.columns})
 
 
+def history_table(spark: SparkSession, path: str):
+    """The history at ``path`` as a table with one record a key, which several writers may append to."""
+    from .commits import KeyedTable
+
+    return KeyedTable(spark, path, schemas.HISTORY.split(", ", 1)[1], ["key"], "created")
+
+
 def append_history(spark: SparkSession, batch: DataFrame, path: str) -> tuple[int, int]:
-    """Append what is new by key; returns (added, skipped). Running it again adds nothing."""
-    from ..operators.history import new_records, next_line_numbers
-
-    old = read_history(spark, path)
-    fresh = next_line_numbers(old, new_records(old, batch, ["key"], "created"), "created").cache()
-    added = fresh.count()
-    if added:
-        append_json(json_safe(fresh), path)
-    fresh.unpersist()
-    return added, batch.count() - added
+    """Append what is new by key; returns (added, skipped). Running it again adds nothing, nor do two writers add a key
+    twice. Files of JSON lines that another program wrote (no table of commits) are the table's first commit."""
+    from .commits import adopt
+
+    if path_exists(spark, path) and not path_exists(spark, f"{path}/commits"):
+        adopt(spark, path, spark.read.schema(schemas.HISTORY).json(path).where("config is not null").drop("line_no"), lambda p: history_table(spark, p))
+    return history_table(spark, path).append(json_safe(batch.drop("line_no")))
 
 
 def read_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
