@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship_package
+from ..functions.numbering import free_prefix
+from ..functions.numbering import prefix_sums as ordered_sums
+from ..runtime import cut, ensure_checkpoint_dir, ship_package
+
+__all__ = ["TEXT_BATCH_BYTES", "WORD", "bound_batches", "cut", "ensure_checkpoint_dir", "free_prefix", "ordered_sums", "parts_for", "read", "ship_package", "word_count"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,26 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; make one up only for a local master."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="evalspark-checkpoints-")
-    sc.setCheckpointDir(named)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once and go on from those files."""
-    ship_package(df.sparkSession)
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def bound_batches(spark: SparkSession, most: int = TEXT_BATCH_BYTES) -> None:
     """Keep Arrow batches of whole texts small. Plans read the setting when they run, so it stays for the session; narrow
     rows still come 10,000 at a time."""
@@ -49,41 +31,10 @@ def bound_batches(spark: SparkSession, most: int = TEXT_BATCH_BYTES) -> None:
         spark.conf.set(name, str(most))
 
 
-def free_prefix(df: DataFrame, stem: str) -> str:
-    """A prefix that no column of ``df`` begins with."""
-    while any(c.lower().startswith(stem) for c in df.columns):
-        stem += "_"
-    return stem
-
-
 def word_count(text: Column) -> Column:
     """Number of words; null text counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ordered_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """``df`` with the sums over the rows before each row, of its ``keys`` and in its ``order``, under the names of ``sums``.
-
-    Rows are dealt by ranges of keys, order and place, so neither one key nor one repeated row is one task; the ranges'
-    totals, at most one row a range and key, are summed first. Of wholly equal rows any may come first. ``df`` must
-    give the same rows in the same places whenever it is read.
-    """
-    p = free_prefix(df, "_sum_")
-    part, place = f"{p}-part", f"{p}-place"
-    named = {n: f"{p}{n}" for n in sums}
-    rows = df.withColumns({named[n]: c for n, c in sums.items()} | {place: F.monotonically_increasing_id()})
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(rows.repartitionByRange(ranges, *keys, *order, place).withColumn(part, F.spark_partition_id()))
-    ahead = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, part).agg(*[F.sum(c).alias(c) for c in named.values()])
-    totals = totals.select(*[F.col(k).alias(f"{p}-key-{k}") for k in keys], F.col(part).alias(f"{p}-range"), *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead") for c in named.values()])
-    same = F.col(f"`{part}`") == F.col(f"{p}-range")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{p}-key-{k}"))
-    inner = Window.partitionBy(*keys, part).orderBy(*order, place).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(totals, same).withColumns({n: F.col(f"{c}_ahead") + F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in named.items()})
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *sums)
-
-
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, -(-rows // per_part))

@@ -284,3 +284,54 @@ def test_segments_and_rings():
         n = hamming.segment_lengths(dim, bits)
         assert sum(n) == dim and max(n) <= bits and n == sorted(n, reverse=True) and n[0] - n[-1] <= 1
     assert sorted(x for r in range(6) for x in hamming.ring(5, r)) == list(range(32))
+
+
+def cone(rng, n, dim, mean_cosine, low, high):
+    """``n`` unit vectors of this mean cosine, each odd one at a cosine of ``low`` to ``high`` to the one before."""
+    shared = np.zeros(dim)
+    shared[0] = np.sqrt(mean_cosine)
+    side = itq.unit(rng.standard_normal((n // 2, dim - 1)))
+    x = shared + np.sqrt(1 - mean_cosine) * np.pad(side, ((0, 0), (1, 0)))
+    want = rng.uniform(low, high, n // 2)
+    turn = rng.standard_normal((n // 2, dim))
+    turn[:, 0] = 0  # the partner leaves the first in a direction across both
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    y = want[:, None] * x + np.sqrt(1 - want**2)[:, None] * itq.unit(turn)
+    spin = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    out = np.empty((n, dim))
+    out[::2], out[1::2] = x @ spin, y @ spin
+    return out
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.5, 0.8, 0.87])
+def test_links_just_at_the_threshold_are_found(spark, monkeypatch, mean_cosine):
+    """Whole operator on vectors that share a direction, with planted pairs of cosine 0.9 to 0.91 only."""
+    monkeypatch.setattr(itq, "LEAST_BUCKET", 256)  # several buckets a table on few rows
+    rng = np.random.default_rng(11)
+    x = cone(rng, 4000, 64, mean_cosine, 0.9001, 0.91)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in itq.near_vectors(df).collect()}
+    u = itq.unit(x)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert all(got[i] <= links[i] for i in got) and sum(got.values()) >= 0.95 * links.sum() and links.sum() >= 4000
+
+
+@pytest.mark.parametrize("cosine", [0.9, 0.8, 0.5])
+def test_pairs_compared_fall_with_the_rows(cosine):
+    share = []
+    for n in (10**5, 10**6, 10**7, 10**8):
+        (bits, tables, _), (fine, more, _) = itq.plan_levels(n, 64, cosine, 2 * n // itq.BLOCK)
+        share.append(tables / 2**bits * more / 2**fine)
+    assert share == sorted(share, reverse=True) and share[-1] < share[0] / 3
+    flat = itq.plan_tables(10**8, 64, cosine)
+    assert itq.plan_levels(10**8, 64, cosine, 2 * 10**8 // itq.BLOCK)[0][1] < flat[1] / 3  # vectors travel to far fewer tables
+
+
+def test_a_block_gives_each_link_once():
+    rng = np.random.default_rng(8)
+    x = itq.unit(rng.standard_normal((300, 16)) * 0.3 + np.repeat(rng.standard_normal((30, 16)), 10, axis=0))
+    fine = rng.integers(0, 4, (300, 9))
+    for side in (None, rng.integers(0, 2, 300).astype(np.int8)):
+        got = [tuple(sorted(pq)) for p, q in itq.link_block(x, side, fine, 0.9) for pq in zip(p.tolist(), q.tolist(), strict=True)]
+        want = {(i, j) for i, j in combinations(range(300), 2) if x[i] @ x[j] >= 0.9 and (fine[i] == fine[j]).any() and (side is None or side[i] != side[j])}
+        assert len(got) == len(set(got)) and set(got) == want
