@@ -12,7 +12,7 @@ batch.
 Defined cases: a text without words, or null, has the empty set, links with nothing and is kept; with one to four words
 the whole sequence is the one shingle; rows that repeat a doc_id are judged each by its own text, so one may go and the
 other stay; rows of one doc_id in one group share their fate, for they are one document; a null doc_id keeps a null
-component_id and links with nothing; a very long text is hashed in windows.
+component_id and links with nothing; a very long text is hashed in windows; an empty table gives an empty result.
 """
 
 from __future__ import annotations

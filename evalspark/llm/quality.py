@@ -4,8 +4,11 @@ The statistics are shares and rates taken from the whole text, never labels, lan
 level by level on binned features and flattened into arrays (feature, threshold, value; children at 2i+1 and 2i+2), so
 scoring a batch is one gather per level and tree. Training uses a bounded sample of labelled rows.
 
-Defined cases: null text scores as the empty text; with no labelled row at all every score is the prior 0.5; of rows
-that repeat a doc_id each is scored for itself; a null doc_id is not held out.
+Defined cases: null text scores as the empty text, and an empty text has a score like any other; a very long text is read
+whole; with no labelled row at all (an empty table, too) every score is the prior 0.5, and an empty table gives an empty
+result; of rows that repeat a doc_id each is scored for itself, and one, that of the least text hash, is trained on;
+labels that repeat a doc_id count as 1 if one of them is; of splits of equal gain the first feature and lowest threshold
+win; a null doc_id is not held out and not trained on; other columns stay out, whatever their names.
 """
 
 from __future__ import annotations
@@ -140,17 +143,19 @@ def fold(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of at most ``rows`` labelled documents outside the held-out fold."""
     bound_batches(docs.sparkSession)
-    usable = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
-    texts = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("hash")).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.array([statistics(t) for t in pdf["text"]], dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"].astype("int32"), "x": list(x)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"].astype("int32"), "hash": pdf["hash"], "x": list(x)})
 
-    pdf = texts.mapInPandas(run, "doc_id long, quality int, x array<double>").toPandas()
-    pdf = pdf.assign(key=[tuple(v) for v in pdf["x"]]).sort_values(["doc_id", "key"], kind="stable").iloc[:rows]
+    found = texts.mapInPandas(run, "doc_id long, quality int, hash long, x array<double>")
+    # one row an id, so that the driver gets ``rows`` rows at most however often an id is repeated
+    pdf = found.groupBy("doc_id").agg(F.min_by(F.struct("quality", "x"), "hash").alias("r")).select("doc_id", "r.*").toPandas()
+    pdf = pdf.sort_values("doc_id", kind="stable")
     x = np.array(list(pdf["x"]), dtype=np.float64).reshape(-1, len(FEATURES))
     return x, pdf["quality"].to_numpy(np.float64)
 

@@ -6,7 +6,8 @@ are differenced again in the same way, node by node of a tree, so that no task h
 
 Defined cases: size is the UTF-8 bytes of the text plus 1 (null text: 1); null texts form one group, empty texts
 another; groups are never divided, so one group larger than a shard's share bounds the balance that is possible;
-repeated rows are separate rows of one group; an empty table gives an empty result.
+repeated rows are separate rows of one group, and a null doc_id is a row like others; groups of equal size go by digest, so
+reruns agree; a very long text is one size and one digest, read once; an empty table gives an empty result.
 """
 
 from __future__ import annotations

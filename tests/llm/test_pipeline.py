@@ -138,3 +138,23 @@ def test_banding_follows_the_percent():
         p, (bands, rows, least) = percent / 100, banding(percent)
         assert bands * rows <= VALUES and (1 - p**rows) ** bands <= 1e-5
         assert sum(comb(VALUES, k) * p**k * (1 - p) ** (VALUES - k) for k in range(least)) < 1e-4
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_hard_rows(spark, sf, docs, rows, name):
+    """Nulls in any column, empty and long texts, repeated rows, columns whose names clash: a defined result and whole rows."""
+    hard = docs.unionByName(spark.createDataFrame([(None, None, None, None, None, *"abcdefg")] * 2, docs.schema))
+    after = dict(corpus_pipeline.STAGES)[name](spark, hard, sf)
+    got, had = after.collect(), Counter(map(tuple, hard.collect()))
+    if name == "best_fit_packing":
+        assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r["doc_id"] for r in hard.collect())
+        return
+    assert after.columns == hard.columns
+    if name == "secret_scan":
+        rest = lambda r: (r["doc_id"], r["source"], *tuple(r)[5:])
+        assert Counter(map(rest, got)) == Counter(map(rest, hard.collect()))
+    else:
+        times = Counter(map(tuple, got))
+        assert set(times) <= set(had) and max(n / had[r] for r, n in times.items()) <= (3 if name == "mix_sources" else 1)
+    if name == "minhash_near_dedup":  # texts without words and rows without an id all stay
+        assert sum(r["doc_id"] is None for r in got) == 3 and sum(not (r["text"] or "").split() and r["doc_id"] is not None for r in got) == sum(not (r[1] or "").split() and r[0] is not None for r in rows)
