@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,9 +15,12 @@ from pyspark.sql import functions as F
 from ..domain import CHAT_OVERHEAD_TOKENS, LETTERS, PARSER_VERSION, REFUSAL_VERSION, ROLES, STYLES, check_domain
 from ..functions.answers import outcome, read_clean, read_paper
 from ..functions.text import fill, strip_reasoning
+from ..runtime import ship_package
 
 TRUNCATED = ("max_tokens", "model_length")
 EXPLANATION_CHARS = 2000
+#: Prompts whose calls are begun together; the next ones begin when all of them have ended.
+CALL_ROWS = 64
 
 
 def score_indicators(df: DataFrame) -> DataFrame:
@@ -169,26 +176,83 @@ def filter_samples(samples: DataFrame, name: str, **values: str) -> DataFrame:
     return samples.where(SAMPLE_FILTERS[name].format(**{k: v.replace("'", "\\'") for k, v in values.items()}))
 
 
-def call_model(prompts: DataFrame, client: Callable[[str], str], retries: int = 3, most_failed: float | None = 0.02) -> DataFrame:
-    """id, completion, stop_reason, error of every prompt. ``client`` turns a prompt into a completion or raises; a call
-    is tried ``retries`` times. A share of failed calls above ``most_failed`` in a partition of 50 rows or more is an error."""
+class RateLimited(Exception):
+    """What a client raises if it is told to slow down; ``after`` are the seconds that it is asked to wait."""
+
+    def __init__(self, message: str = "", after: float | None = None):
+        super().__init__(message)
+        self.after = after
+
+
+@dataclass(frozen=True)
+class Calls:
+    """How a partition calls a client: at most ``at_once`` calls in flight and ``per_second`` begun a second; a call that
+    takes longer than ``timeout`` seconds has failed; a failed one is tried again, ``retries`` times in all, after
+    ``pause`` seconds that double each time, up to ``longest``, or after what the client was asked to wait."""
+
+    at_once: int = 16
+    per_second: float | None = None
+    timeout: float = 180.0
+    retries: int = 3
+    pause: float = 0.0
+    longest: float = 60.0
+
+    async def one(self, client: Callable, prompt: str, start: Callable, pool: ThreadPoolExecutor) -> tuple[str | None, str | None, int]:
+        """(completion, error, tries) of one prompt."""
+        error = None
+        for k in range(max(1, self.retries)):
+            await start()
+            try:
+                work = client(prompt) if inspect.iscoroutinefunction(client) else asyncio.get_running_loop().run_in_executor(pool, client, prompt)
+                return await asyncio.wait_for(work, self.timeout), None, k + 1
+            except TimeoutError:
+                error, wait = f"TimeoutError: no answer in {self.timeout:g} s", None
+            except Exception as e:  # whatever a client raises is recorded with its row
+                error, wait = f"{type(e).__name__}: {e}", getattr(e, "after", None)
+            if k + 1 < self.retries and (rest := min(self.pause * 2**k, self.longest) if wait is None else wait):
+                await asyncio.sleep(rest)
+        return None, error, max(1, self.retries)
+
+    async def all(self, client: Callable, prompts: list[str]) -> list[tuple[str | None, str | None, int]]:
+        """The outcomes of ``prompts`` in their order."""
+        room, begun = asyncio.Semaphore(self.at_once), [0.0]
+
+        async def start() -> None:
+            if self.per_second:
+                now = asyncio.get_running_loop().time()
+                begun[0] = max(now, begun[0] + 1 / self.per_second)
+                await asyncio.sleep(begun[0] - now)
+
+        async def guarded(prompt: str) -> tuple[str | None, str | None, int]:
+            async with room:
+                return await self.one(client, prompt, start, pool)
+
+        # a call that timed out keeps its thread until it ends; no other call waits for it
+        pool = ThreadPoolExecutor(self.at_once + len(prompts) * max(1, self.retries))
+        try:
+            return await asyncio.gather(*map(guarded, prompts))
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+
+def call_model(prompts: DataFrame, client: Callable[[str], str], retries: int = 3, most_failed: float | None = 0.02, calls: Calls | None = None) -> DataFrame:
+    """id, completion, stop_reason, error, tries of every prompt. ``client``, a function or a coroutine function, turns a
+    prompt into a completion or raises. Calls of a partition run side by side as ``calls`` says, ``CALL_ROWS`` rows at a time. A share
+    of failed calls above ``most_failed`` in a partition of 50 rows or more is an error."""
+    how = calls or Calls(retries=retries)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         failed = seen = 0
         for pdf in batches:
-            rows = []
-            for key, prompt in zip(pdf["id"], pdf["prompt"], strict=True):
-                text, error = None, None
-                for _ in range(max(1, retries)):
-                    try:
-                        text, error = client(prompt), None
-                        break
-                    except Exception as e:  # whatever a client raises is recorded with its row
-                        error = f"{type(e).__name__}: {e}"
-                rows.append((key, text, "stop" if error is None else "error", error))
-                failed, seen = failed + (error is not None), seen + 1
-            if most_failed is not None and seen >= 50 and failed > most_failed * seen:
-                raise RuntimeError(f"{failed} of {seen} calls failed; the last: {rows[-1][3]}")
-            yield pd.DataFrame(rows, columns=["id", "completion", "stop_reason", "error"])
-
-    return prompts.select("id", "prompt").mapInPandas(run, "id string, completion string, stop_reason string, error string")
+            for lo in range(0, len(pdf), CALL_ROWS):
+                part = pdf.iloc[lo : lo + CALL_ROWS]
+                got = asyncio.run(how.all(client, part["prompt"].tolist()))
+                last = next((e for _, e, _ in reversed(got) if e), None)
+                failed, seen = failed + sum(e is not None for _, e, _ in got), seen + len(got)
+                if most_failed is not None and seen >= 50 and failed > most_failed * seen:
+                    raise RuntimeError(f"{failed} of {seen} calls failed; the last: {last}")
+                rows = [(key, text, "error" if e else "stop", e, n) for key, (text, e, n) in zip(part["id"], got, strict=True)]
+                yield pd.DataFrame(rows, columns=["id", "completion", "stop_reason", "error", "tries"])
+
+    ship_package(prompts.sparkSession)
+    return prompts.select("id", "prompt").mapInPandas(run, "id string, completion string, stop_reason string, error string, tries int")

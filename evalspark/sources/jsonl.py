@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbering import prefix_sums
+from ..runtime import cut
 from . import schemas
 
 
@@ -15,9 +21,69 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+DIGEST_CHUNK = 1 << 20
+#: Splits whose numbers of lines may be broadcast, some 100 bytes each; beyond that the lines are joined by a shuffle.
+BROADCAST_SPLITS = 100_000
+
+
+def _opened(path: str):
+    """A file as a stream, by the file system of its path."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
+    system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(name)
+
+
 def file_sha256(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of every file under ``path``."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of every file under ``path``.
+
+    Executors read in chunks, so a file of any size takes little memory, one task a file, for a digest has no parts. Where
+    only Spark knows the file system, its reader hands over the whole file, of 2 GB at most.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name in pdf["path"]:
+                digest = hashlib.sha256()
+                try:
+                    with _opened(name) as f:
+                        while chunk := f.read(DIGEST_CHUNK):
+                            digest.update(chunk)
+                except (ValueError, ImportError, OSError):
+                    out.append(None)
+                else:
+                    out.append(digest.hexdigest())
+            yield pd.DataFrame({"path": pdf["path"], "sha256": out}, dtype=object)
+
+    files = spark.read.format("binaryFile").load(path)
+    listed = files.select("path")  # without the content, which is not read then
+    found = listed.repartition(max(1, listed.count()), "path").mapInPandas(run, "path string, sha256 string").cache()
+    rest = [r["path"] for r in found.where("sha256 is null").select("path").collect()]  # names of files
+    if not rest:
+        return found
+    whole = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?])", r"\\\1", r) for r in rest]).select("path", F.sha2("content", 256).alias("sha256"))
+    return found.where("sha256 is not null").unionByName(whole)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of all lines of text files, blank ones too, from any number of splits.
+
+    Lines of a split are counted in one pass and numbered where they are read in a second; what moves is one row a split,
+    and lines stay in their order, as long as there are at most ``BROADCAST_SPLITS`` (some terabytes of text).
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("at")
+    text = spark.read.text(path).select("value", place, F.monotonically_increasing_id().alias("id"))
+    splits = text.groupBy("at").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    splits = splits.select("at.file", "at.start", "first", "lines")
+    splits = cut(prefix_sums(splits, ["file"], ["start"], {"before": F.col("lines")}))
+    splits = F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits
+    same = (F.col("at.file") == F.col("file")) & (F.col("at.start") == F.col("start"))
+    return text.join(splits, same).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), F.col("value").alias("line"))
 
 
 def read_items(spark: SparkSession, path: str, sha256: str | None = None, total: int | None = None) -> DataFrame:
@@ -74,18 +140,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """All lines; a missing file is an empty ledger, a line that is no JSON is an error that names its number, and JSON
-    that is no object is left out. A ledger has one line a unit that was run, so a file of it fits into a task."""
+    that is no object is left out. Files may be of any size: they are read in splits."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schemas.LEDGER)
     if path_exists(spark, f"{path}/commits"):
         from ..operators.recovery import ledger_table
 
         return ledger_table(spark, path).read().drop("attempt")
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where(F.trim("line") != "")
-    lines = lines.withColumn("parsed", F.try_parse_json("line"))
-    if bad := lines.where(F.col("parsed").isNull()).orderBy("file", "at").first():
-        raise ValueError(f"{bad['file']}: line {bad['at'] + 1} is no JSON: {bad['line'][:200]}")
+    lines = numbered_lines(spark, path).where(F.trim("line") != "").withColumn("parsed", F.try_parse_json("line"))
+    if bad := lines.where(F.col("parsed").isNull()).orderBy("file", "line_no").first():
+        raise ValueError(f"{bad['file']}: line {bad['line_no']} is no JSON: {bad['line'][:200]}")
     return lines.where(F.startswith(F.schema_of_variant("parsed"), F.lit("OBJECT"))).select(F.from_json("line", schemas.LEDGER).alias("x")).select("x.*")
 
 

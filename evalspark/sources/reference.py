@@ -67,41 +67,84 @@ def load_prices(spark: SparkSession, cache: str, fetch=None, offline: bool = Fal
     return spark.createDataFrame(stored[0], schemas.PRICES)
 
 
+#: Fields of an entry, and those that the file's defaults may set, with the values they have otherwise.
+PANEL_DEFAULTS = {"temperature": 0.75, "max_tokens": 512, "max_connections": 16, "timeout": 600, "attempt_timeout": 180}
+PANEL_FIELDS = {"name", "model", "group", "reasoning", "prompt_styles", "model_args", "generate", "price_model", "note", *PANEL_DEFAULTS}
+
+
+def _whole(where: str, field: str, value: object) -> int:
+    if isinstance(value, bool) or not isinstance(value, int) or value < 1:
+        raise ValueError(f"{where}: {field} must be a positive whole number")
+    return value
+
+
+def _settings(where: str, values: dict) -> dict:
+    """The fields of PANEL_DEFAULTS among ``values``, checked; max_tokens may be null, which is no limit."""
+    out: dict = {}
+    for field in PANEL_DEFAULTS.keys() & values.keys():
+        v = values[field]
+        if field == "temperature":
+            if isinstance(v, bool) or not isinstance(v, int | float) or not 0 <= v <= 2:
+                raise ValueError(f"{where}: temperature must lie in [0, 2]")
+            out[field] = float(v)
+        else:
+            out[field] = None if v is None and field == "max_tokens" else _whole(where, field, v)
+    return out
+
+
+def _free_form(where: str, entry: dict, field: str) -> dict:
+    value = entry.get(field)
+    if value is not None and not (isinstance(value, dict) and all(isinstance(k, str) for k in value)):
+        raise ValueError(f"{where}: {field} must be a mapping")
+    return dict(value or {})
+
+
+def panel_row(entry: dict, defaults: dict) -> tuple:
+    """One entry as a row of the panel; an error names the entry and its field.
+
+    ``max_tokens`` and ``temperature`` may also stand in ``generate``, from where they are taken out.
+    """
+    where = f"panel entry {entry.get('name')!r}"
+    if extra := set(entry) - PANEL_FIELDS:
+        raise ValueError(f"{where}: unknown fields {sorted(extra)}")
+    name, model, styles = entry.get("name"), entry.get("model"), entry.get("prompt_styles", ["clean"])
+    if not isinstance(name, str) or not NAME.fullmatch(name):
+        raise ValueError(f"{where}: name must match {NAME.pattern}")
+    if not isinstance(model, str) or not re.fullmatch(r"[^/]+/.+", model):
+        raise ValueError(f"{where}: model must be a provider and a model, as in provider/model")
+    for field, allowed in (("group", domain.GROUPS), ("reasoning", domain.REASONINGS)):
+        if entry.get(field) not in allowed:
+            raise ValueError(f"{where}: {field} must be one of {allowed}")
+    styles = ["clean"] if styles is None else [styles] if isinstance(styles, str) else styles
+    if not isinstance(styles, list) or not styles or any(s not in domain.STYLES for s in styles):
+        raise ValueError(f"{where}: prompt_styles must be some of {domain.STYLES}")
+    for field in ("price_model", "note"):
+        if not isinstance(entry.get(field), str | None):
+            raise ValueError(f"{where}: {field} must be text")
+    args, generate = (_free_form(where, entry, f) for f in ("model_args", "generate"))
+    lifted = {f: generate.pop(f) for f in ("max_tokens", "temperature") if f in generate}
+    own = defaults | _settings(where, lifted) | _settings(where, entry)
+    price = entry.get("price_model") or re.sub("^openrouter/", "", model)
+    plain = (name, model, entry["group"], entry["reasoning"], [s for s in domain.STYLES if s in styles], price)
+    return (*plain, *(own[f] for f in PANEL_DEFAULTS), entry.get("note"), json.dumps(args), json.dumps(generate))
+
+
 def load_panel(spark: SparkSession, entries: list[dict], defaults: dict | None = None) -> DataFrame:
-    """Validated panel entries as a table; an error names the entry and its field. A null max_tokens is kept as null."""
-    known = {"name", "model", "group", "reasoning", "prompt_styles", "model_args", "generate", "temperature", "max_tokens", "max_connections", "timeout", "attempt_timeout", "price_model", "note"}
-    d = {"temperature": 0.75, "max_tokens": 512, "max_connections": 16, "timeout": 600, "prompt_styles": ["clean"]} | (defaults or {})
-    rows, seen = [], set()
-    for e in entries:
-        where = f"panel entry {e.get('name')!r}"
-        if extra := set(e) - known:
-            raise ValueError(f"{where}: unknown fields {sorted(extra)}")
-        if not isinstance(e.get("name"), str) or not NAME.fullmatch(e["name"]):
-            raise ValueError(f"{where}: name must match {NAME.pattern}")
-        if e["name"] in seen:
-            raise ValueError(f"{where}: the name occurs twice")
-        seen.add(e["name"])
-        for field, allowed in (("group", domain.GROUPS), ("reasoning", domain.REASONINGS)):
-            if e.get(field) not in allowed:
-                raise ValueError(f"{where}: {field} must be one of {allowed}")
-        gen = e.get("generate") or {}
-        pick = lambda k: e[k] if k in e else gen.get(k, d.get(k))
-        temperature, max_tokens = pick("temperature"), pick("max_tokens")
-        if not 0 <= float(temperature) <= 2:
-            raise ValueError(f"{where}: temperature must lie in [0, 2]")
-        for k, v in (("max_tokens", max_tokens), ("max_connections", pick("max_connections")), ("timeout", pick("timeout"))):
-            if (v is not None or k != "max_tokens") and (isinstance(v, bool) or not isinstance(v, int) or v < 1):
-                raise ValueError(f"{where}: {k} must be a positive whole number")
-        styles = e.get("prompt_styles", d["prompt_styles"])
-        if not styles or any(s not in domain.STYLES for s in styles):
-            raise ValueError(f"{where}: prompt_styles must be some of {domain.STYLES}")
-        price = e.get("price_model") or re.sub("^openrouter/", "", e["model"])
-        rows.append((e["name"], e["model"], e["group"], e["reasoning"], [s for s in domain.STYLES if s in styles], price, float(temperature), max_tokens, pick("max_connections"), pick("timeout"), e.get("note")))
-    return spark.createDataFrame(rows, schemas.PANEL)
+    """Validated panel entries as a table. A null max_tokens is kept as null; ``model_args`` and ``generate`` are variants."""
+    if extra := set(defaults or {}) - PANEL_DEFAULTS.keys():
+        raise ValueError(f"panel defaults: unknown fields {sorted(extra)}")
+    common = PANEL_DEFAULTS | _settings("panel defaults", defaults or {})
+    rows = [panel_row(e, common) for e in entries]
+    names = [r[0] for r in rows]
+    if twice := {n for n in names if names.count(n) > 1}:
+        raise ValueError(f"panel entry {min(twice)!r}: the name occurs twice")
+    text = spark.createDataFrame(rows, schemas.PANEL.replace(" variant", " string"))
+    return text.withColumns({c: F.parse_json(c) for c in ("model_args", "generate")})
 
 
 def load_panel_file(spark: SparkSession, path: str) -> DataFrame:
-    """A panel from a YAML (or JSON) file {defaults: {..}, models: [..]}, or a list of entries; it is a hand-written file."""
+    """A panel from a YAML (or JSON) file {defaults: {..}, configs: [..]} (``models`` is read as well), or a list of
+    entries; it is a hand-written file."""
     text = spark.read.text(path, wholetext=True).first()
     if text is None:
         raise ValueError(f"{path}: the panel is empty")
@@ -114,10 +157,16 @@ def load_panel_file(spark: SparkSession, path: str) -> DataFrame:
             raw = yaml.safe_load(text[0])
         except yaml.YAMLError as e:
             raise ValueError(f"{path}: {e}") from e
-    entries, defaults = (raw, None) if isinstance(raw, list) else (raw.get("models"), raw.get("defaults")) if isinstance(raw, dict) else (None, None)
+    if isinstance(raw, list):
+        raw = {"configs": raw}
+    if not isinstance(raw, dict):
+        raise ValueError(f"{path}: no list of panel entries")
+    if extra := set(raw) - {"defaults", "configs", "models"}:
+        raise ValueError(f"{path}: unknown fields {sorted(extra)}")
+    entries = raw.get("configs", raw.get("models"))
     if not isinstance(entries, list) or not entries or not all(isinstance(e, dict) for e in entries):
         raise ValueError(f"{path}: no list of panel entries")
-    return load_panel(spark, entries, defaults)
+    return load_panel(spark, entries, raw.get("defaults"))
 
 
 def select_panel(panel: DataFrame, names: str | list[str] | None = None, reasoning: str | None = None) -> DataFrame:

@@ -18,4 +18,4 @@ HISTORY = (
     "metrics map<string,double>, ses map<string,double>"
 )
 PRICES = "price_model string, price_in double, price_out double"
-PANEL = "name string, model string, `group` string, reasoning string, prompt_styles array<string>, price_model string, temperature double, max_tokens long, max_connections long, timeout long, note string"
+PANEL = "name string, model string, `group` string, reasoning string, prompt_styles array<string>, price_model string, temperature double, max_tokens long, max_connections long, timeout long, attempt_timeout long, note string, model_args variant, generate variant"

@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import batched
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -16,6 +17,10 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
+#: Rows of a sheet that leave the parser together.
+ROWS = 10_000
+
+
 def column_place(ref: str) -> int:
     """Place of a cell reference's column: A1 -> 0, AB7 -> 27."""
     n = 0
@@ -32,39 +37,67 @@ def sheet_names(raw: bytes) -> dict[str, str]:
     return {s.get("name"): part(links[s.get(_LINK)]) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")}
 
 
-def sheet_rows(raw: bytes, sheet: str) -> list[list[str | None]]:
-    """Cells of a sheet as text, row by row; a sheet that is not there is an error that lists those that are."""
+def _text(e: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in e.iter(f"{_MAIN}t"))
+
+
+def _elements(part, tag: str) -> Iterator[ElementTree.Element]:
+    """Elements of a tag as the part is read; each is forgotten when the next one comes."""
+    walk = ElementTree.iterparse(part, events=("start", "end"))
+    _, root = next(walk)
+    holder = root
+    for event, e in walk:
+        if event == "start" and e.tag == f"{_MAIN}sheetData":
+            holder = e
+        elif event == "end" and e.tag == f"{_MAIN}{tag}":
+            yield e
+            holder.clear()
+
+
+def sheet_rows(raw: bytes, sheet: str, wanted: Callable[[list[str | None]], set[int]] | None = None) -> Iterator[list[str | None]]:
+    """Cells of a sheet as text, row by row as the part is read; a sheet that is not there is an error that lists those
+    that are. ``wanted`` picks places from the first row; cells at other places are not made."""
     names = sheet_names(raw)
     if sheet not in names:
         raise ValueError(f"no sheet {sheet!r}; the workbook has {sorted(names)}")
     z = zipfile.ZipFile(io.BytesIO(raw))
-    text = lambda e: "".join(t.text or "" for t in e.iter(f"{_MAIN}t"))
-    shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-    rows = []
-    for row in ElementTree.fromstring(z.read(names[sheet])).iter(f"{_MAIN}row"):
-        cells: dict[int, str | None] = {}
-        for k, c in enumerate(row.iter(f"{_MAIN}c")):
-            value = c.find(f"{_MAIN}v")
-            kind = c.get("t")
-            got = text(c) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else {"1": "True", "0": "False"}[value.text] if kind == "b" else value.text
-            cells[column_place(c.get("r")) if c.get("r") else k] = got
-        rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-    return rows
-
-
-def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    shared = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        with z.open("xl/sharedStrings.xml") as part:
+            shared = [_text(e) for e in _elements(part, "si")]
+    places = None
+    with z.open(names[sheet]) as part:
+        for row in _elements(part, "row"):
+            cells: dict[int, str | None] = {}
+            for k, c in enumerate(row.iter(f"{_MAIN}c")):
+                at = column_place(c.get("r")) if c.get("r") else k
+                if places is not None and at not in places:
+                    continue
+                value, kind = c.find(f"{_MAIN}v"), c.get("t")
+                cells[at] = _text(c) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else {"1": "True", "0": "False"}[value.text] if kind == "b" else value.text
+            out = [cells.get(i) for i in range(max(cells, default=-1) + 1)]
+            yield out
+            if wanted is not None and places is None:
+                places = wanted(out)
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str, columns: list[str] | None = None) -> DataFrame:
     """A sheet as a table of text columns named by its first row, with ``source_row`` (2 is the first row of data).
 
-    The file is read and taken apart by an executor; a workbook is one file of at most a million rows, so one task has it.
+    An executor unzips the sheet's part as a stream and parses it row by row, so that neither the sheet nor its XML is
+    ever whole in memory (the zipped file and its shared strings are). A zip has no splits: one task reads a workbook.
+    Of a sheet with ``columns`` only their cells are made.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for raw in pdf["content"]:
-                rows = sheet_rows(bytes(raw), sheet)
-                for i in range(0, len(rows), 10_000):
-                    yield pd.DataFrame({"source_row": range(i + 1, i + 1 + len(rows[i : i + 10_000])), "cells": rows[i : i + 10_000]})
+                at = 0
+                for rows in batched(sheet_rows(bytes(raw), sheet, pick), ROWS):
+                    yield pd.DataFrame({"source_row": range(at + 1, at + 1 + len(rows)), "cells": rows})
+                    at += len(rows)
 
+    pick = None if columns is None else lambda head: {i for i, x in enumerate(head) if x in columns}
     cells = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "source_row long, cells array<string>")
     head = cells.where("source_row = 1").first()
     if head is None:
@@ -72,4 +105,6 @@ def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     names = [str(x) if x is not None else f"column_{i}" for i, x in enumerate(head["cells"])]
     if len(set(names)) < len(names):
         raise ValueError(f"{path}: sheet {sheet!r} repeats a column name")
-    return cells.where("source_row > 1").select("source_row", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    if missing := [c for c in columns or [] if c not in names]:
+        raise ValueError(f"{path}: sheet {sheet!r} lacks the columns {missing}")
+    return cells.where("source_row > 1").select("source_row", *[F.get("cells", F.lit(names.index(n))).alias(n) for n in columns or names])
