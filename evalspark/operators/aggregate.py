@@ -128,19 +128,44 @@ def sheet_outcomes(long: DataFrame) -> DataFrame:
     })
 
 
-def sheet_sanity(sheet: DataFrame, wanted: dict[str, list], required: list[str], rows: int | None = None, rules: dict[str, str] | None = None) -> DataFrame:
+def sheet_sanity(sheet: DataFrame, wanted: dict[str, list], required: list[str], rows: int | None = None, rules: dict[str, str] | None = None, equal: dict[str, list] | None = None, counts: tuple[str, ...] = (), answers: dict[str, str] | None = None, unparsed: tuple[str, ...] = ()) -> DataFrame:
     """(check, ok, detail) of a wide sheet in one pass: required columns, number of rows, values within their sets, and
-    predicates that hold on every row (``rules``: name -> SQL)."""
+    predicates that hold on every row (``rules``: name -> SQL).
+
+    ``equal``: columns whose values are exactly these; the detail says what is missing or too much. ``counts``: columns
+    whose rows by value are the detail of a check that always holds. ``answers`` (name -> column): every cell is null, one
+    of ``unparsed`` or a place 0, 1, 2, also written 1.0; the detail has the unparsed cells of each name, or the first bad one.
+    """
     lacking = [c for c in required if c not in sheet.columns]
     checks = [F.struct(F.lit("columns").alias("check"), F.lit(not lacking).alias("ok"), F.lit(", ".join(lacking)).alias("detail"))]
-    present = {c: v for c, v in wanted.items() if c in sheet.columns}
-    outside = {c: F.array_join(F.sort_array(F.collect_set(F.when(~F.coalesce(F.col(c).isin(*v), F.lit(False)), F.coalesce(F.col(c).cast("string"), F.lit("null"))))), ", ") for c, v in present.items()}
+    own = lambda xs: {c: v for c, v in xs.items() if c in sheet.columns}
+    present, exact, cells = own(wanted), own(equal or {}), {n: c for n, c in (answers or {}).items() if c in sheet.columns}
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    listed = lambda x: F.array_join(F.sort_array(x), ", ")
+    outside = {c: listed(F.collect_set(F.when(~F.coalesce(F.col(c).isin(*v), F.lit(False)), text(c)))) for c, v in present.items()}
     aggs = {"rows": F.count("*"), **{f"set:{c}": x for c, x in outside.items()}, **{f"rule:{n}": F.count_if(~F.coalesce(F.expr(e), F.lit(False))) for n, e in (rules or {}).items()}}
+    aggs |= {f"equal:{c}": F.collect_set(text(c)) for c in exact}
+    # rows by value are counted apart and come in as one row of maps, so that no cell of a large sheet is listed
+    shown = [c for c in counts if c in sheet.columns]
+    aggs |= {f"unparsed:{n}": F.count_if(F.col(c).isNull() | F.col(c).cast("string").isin("NaN", *unparsed)) for n, c in cells.items()}
+    good = lambda c: F.col(c).isNull() | F.col(c).cast("string").isin("NaN", *unparsed) | F.coalesce(F.trim(F.col(c).cast("string")).rlike(r"\A[012](\.0+)?\z"), F.lit(False))
+    aggs |= {f"bad:{n}": F.min(F.when(~good(c), F.col(c).cast("string"))) for n, c in cells.items()}
     one = sheet.agg(*[v.alias(k) for k, v in aggs.items()])
+    for c in shown:
+        by = sheet.groupBy(text(c).alias("_value")).count().agg(F.array_join(F.sort_array(F.collect_list(F.concat("_value", F.lit(": "), "count"))), ", ").alias(f"counts:{c}"))
+        one = one.crossJoin(by)  # one row each
     if rows is not None:
         checks.append(F.struct(F.lit("rows").alias("check"), (F.col("rows") == rows).alias("ok"), F.col("rows").cast("string").alias("detail")))
     checks += [F.struct(F.lit(f"values of {c}").alias("check"), (F.col(f"`set:{c}`") == "").alias("ok"), F.col(f"`set:{c}`").alias("detail")) for c in present]
     checks += [F.struct(F.lit(n).alias("check"), (F.col(f"`rule:{n}`") == 0).alias("ok"), F.col(f"`rule:{n}`").cast("string").alias("detail")) for n in rules or {}]
+    for c, v in exact.items():
+        full = F.array(*[F.lit(str(x)) for x in v])
+        less, more = listed(F.array_except(full, f"equal:{c}")), listed(F.array_except(F.col(f"`equal:{c}`"), full))
+        checks.append(F.struct(F.lit(f"exactly {c}").alias("check"), ((less == "") & (more == "")).alias("ok"), F.concat(F.lit("missing: "), less, F.lit("; too much: "), more).alias("detail")))
+    checks += [F.struct(F.lit(f"rows by {c}").alias("check"), F.lit(True).alias("ok"), F.coalesce(F.col(f"`counts:{c}`"), F.lit("")).alias("detail")) for c in shown]
+    for n in cells:
+        bad = F.col(f"`bad:{n}`")
+        checks.append(F.struct(F.lit(f"answers of {n}").alias("check"), bad.isNull().alias("ok"), F.coalesce(F.concat(F.lit("no answer: "), bad), F.concat(F.lit("unparsed: "), F.col(f"`unparsed:{n}`").cast("string"))).alias("detail")))
     return one.select(F.inline(F.array(*checks)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..domain import ANCHORS, GROUP_METRICS, UNPARSED_FLAG
 from ..functions.metrics import sign_is_decided
+from ..functions.numbering import numbered
 
 
 def report_order(group: Column) -> Column:
@@ -42,12 +43,26 @@ def unpaired(runs: DataFrame) -> DataFrame:
     return runs.groupBy(base).agg(F.array_join(F.sort_array(F.collect_set("reasoning")), "/").alias("have"), F.countDistinct("reasoning").alias("k")).where("k < 2").select("base", "have")
 
 
-def overlap_flags(wide: DataFrame, line: str = "run_key") -> DataFrame:
-    """Adjacent runs in order of bias score whose lower run's band is wider than the gap to the next."""
-    w = Window.partitionBy("split").orderBy("bias_score", line)
+def overlap_flags(wide: DataFrame, line: str = "run_key", style: str = "clean") -> DataFrame:
+    """Adjacent runs in order of bias score whose lower run's band is wider than the gap to the next.
+
+    Where rows have a ``style``, runs of ``style`` are ranked among themselves, and others are left out: scores of two
+    prompt styles have no common order. The rows are one a run and split; a split is ranked over ranges of its rows.
+    """
     ranked = wide.where((F.col("grp") == "all") & ~F.isnan("bias_score"))
-    ranked = ranked.withColumns({"next_run": F.lead(line).over(w), "gap": F.lead("bias_score").over(w) - F.col("bias_score"), "width": F.col("bias_score_hi") - F.col("bias_score_lo")})
-    return ranked.where(F.col("next_run").isNotNull()).select("split", line, "next_run", "gap", "width", F.coalesce(~F.isnan("width") & ~F.isnan("gap") & (F.col("width") > F.col("gap")), F.lit(False)).alias("undecided"))
+    if "style" in wide.columns:
+        ranked = ranked.where(F.col("style") == style)
+    ranked = numbered(ranked.select("split", line, "bias_score", "bias_score_lo", "bias_score_hi"), "split", ["bias_score", line], "_place")
+    after = ranked.select(F.col("split").alias("_split"), (F.col("_place") - 1).alias("_before"), F.col(line).alias("next_run"), F.col("bias_score").alias("_next"))
+    pairs = ranked.join(after, (F.col("split") == F.col("_split")) & (F.col("_place") == F.col("_before")))
+    pairs = pairs.withColumns({"gap": F.col("_next") - F.col("bias_score"), "width": F.col("bias_score_hi") - F.col("bias_score_lo")})
+    return pairs.select("split", line, "next_run", "gap", "width", F.coalesce(~F.isnan("width") & ~F.isnan("gap") & (F.col("width") > F.col("gap")), F.lit(False)).alias("undecided"))
+
+
+def bias_by_category(wide: DataFrame) -> DataFrame:
+    """One row a run and split with the bias score of each category as a column; a category that is missing is null."""
+    by = wide.where("grp <> 'all'").groupBy("config", "style", "split").pivot("grp").agg(F.first("bias_score"))
+    return by.orderBy("config", "style", "split")
 
 
 def rate_flags(wide: DataFrame, limit: float = UNPARSED_FLAG) -> DataFrame:
@@ -96,7 +111,7 @@ def pairs_by_accuracy(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc_nulls_last("accuracy_off"), "base", "split")
 
 
-#: Columns of the results file, in order.
+#: The columns of the results file, in order.
 RESULT_COLUMNS = (
     "run", "config", "model", "prompt_style", "reasoning", "temperature", "tie_sign", "split", "category", "n", "n_correct", "n_target_error", "n_other_error", "n_unparsed", "n_other_outcome",
     "accuracy", "accuracy_ci_lo", "accuracy_ci_hi", "ft", "fo", "ft_minus_fo", "bias_score_signed", "bias_magnitude", "bias_magnitude_ci_lo", "bias_magnitude_ci_hi", "bias_signed_se_history",
@@ -127,7 +142,7 @@ def results_table(runs: DataFrame, wide: DataFrame, counts: DataFrame, intervals
         "ft": part(F.col("c_ft") / F.col("n")), "fo": part(F.col("c_fo") / F.col("n")), "ft_minus_fo": blank(F.col("ft_minus_fo")), "bias_score_signed": blank(F.col("bias_score")), "bias_magnitude": blank(F.abs("bias_score")),
         "bias_magnitude_ci_lo": part(F.col("abs_bias_score_lo")), "bias_magnitude_ci_hi": part(F.col("abs_bias_score_hi")), "bias_signed_se_history": blank(F.col("se")),
         "sign_decided": F.when(F.coalesce(sign_is_decided(F.col("ft_minus_fo"), F.col("se")), F.lit(False)), "yes").otherwise("no"), "unparsed_rate": blank(F.col("unparsed_rate")),
-        "interval_method": F.when(known, method).otherwise("none: Ft and Fo are not identified by the stored aggregates"),
+        "interval_method": F.when(known, method).otherwise("none: the counts behind Ft and Fo are not known"),
     }
     return df.select(*[values[c].alias(c) for c in RESULT_COLUMNS])
 
@@ -153,17 +168,25 @@ def monitoring_report(runs: DataFrame, wide: DataFrame, ses: DataFrame, publishe
     """The report of a set of runs (run_key, config, group, reasoning, style, samples, reasoning_tokens) in seven sections."""
     from .history import ledger_sums, ledger_table
 
-    pooled = wide.where("grp = 'all'").join(runs, "run_key")
-    se = ses.where("grp = 'all' and name = 'bias_score'").select("run_key", "split", "se")
-    cells = mark_signs(pooled.join(se, ["run_key", "split"], "left").withColumn("se", F.coalesce("se", F.lit(float("nan")))))
-    summary = cells.orderBy(report_order(F.col("group")), "config", "style", "split").select("config", "style", "split", "n", "accuracy", F.col("cell").alias("bias"))
+    named = wide.join(runs, "run_key")
+    pooled = named.where("grp = 'all'")
+    error = lambda name: F.coalesce(F.max(F.when(F.col("name") == name, F.col("se"))), F.lit(float("nan")))
+    se = ses.where("grp = 'all'").groupBy("run_key", "split").agg(error("bias_score").alias("se"), error("accuracy").alias("accuracy_se"))
+    cells = mark_signs(pooled.join(se, ["run_key", "split"], "left").withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("se", "accuracy_se")}))
+    cells = cells.withColumn("open", F.endswith("cell", F.lit("*")))
+    summary = cells.orderBy(report_order(F.col("group")), "config", "style", "split").select("config", "style", "split", "n", "accuracy", "accuracy_se", F.col("cell").alias("bias"))
+    unstable = [f"{r['config']} ({r['style']}, {r['split']})" for r in cells.where("open").orderBy("config", "style", "split").collect()]  # runs of a report
+    overview = "\n\n".join([markdown_table(summary), "Bias by category:", markdown_table(bias_by_category(named)), "The data leave the sign open (*) for: " + (", ".join(unstable) or "none") + "."])
     long = pooled.unpivot(["run_key", "config", "style", "split"], ["accuracy", "ft_minus_fo", "bias_score"], "name", "value")
     anchors = anchor_table(long, published.where("grp = 'all'").select("ref_model", "split", "name", "published")).orderBy("config", "split", "name")
     pairs = pairs_by_accuracy(reasoning_pairs(pooled.where(F.col("group") == "modern")))
     rates = rate_flags(wide).join(runs.select("run_key", "config", "style"), "run_key").drop("run_key").orderBy("config", "style", "split")
-    design = runs.orderBy("config", "style").select("config", "group", "reasoning", "style")
+    ranks = overlap_flags(named, "config").where("undecided").orderBy("split", "gap").select("split", "config", F.col("next_run").alias("next_config"), "gap", "width")
+    order = "Neighbours whose order the data leave open (band wider than the gap, clean prompts):\n\n" + markdown_table(ranks)
+    versions = [c for c in ("parser_version", "refusal_version", "task_version", "dataset_version") if c in runs.columns]
+    design = runs.orderBy("config", "style").select("config", "group", "reasoning", "style", *versions)
     cost = markdown_table(ledger_sums(ledger), 6) + "\n\n" + markdown_table(ledger_table(ledger), 6)
     commands = f"```\npython -m evalspark.cli report SCORED OUT\npython -m evalspark.cli ledger LEDGER\n```\n\nLogs: `{logs}`"
-    sections = [("Summary", summary), ("Anchors", anchors), ("Reasoning", pairs), ("Rates", rates), ("Cost", cost), ("Design", design), ("Commands", commands)]
+    sections = [("Summary", overview), ("Anchors", anchors), ("Reasoning", pairs), ("Rates", markdown_table(rates) + "\n\n" + order), ("Cost", cost), ("Design", design), ("Commands", commands)]
     head = "# Monitoring report\n\n" + "".join(f"- {n}\n" for n in notes) + ("\n" if notes else "")
     return head + build_report(sections)

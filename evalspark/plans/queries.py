@@ -132,6 +132,13 @@ def overlap_flags(spark, sf):
     return R.overlap_flags(_wide(spark, sf))
 
 
+@query(f"WITH {metrics_sql()}, w AS (SELECT * FROM wide WHERE grp = 'all' AND run_key % 2 = 0), r AS (SELECT *, lead(run_key) OVER x AS next_run, lead(bias_score) OVER x - bias_score AS gap, bias_score_hi - bias_score_lo AS width FROM w WINDOW x AS (PARTITION BY split ORDER BY bias_score, run_key)) SELECT split, run_key, next_run, gap, width, width > gap AS undecided FROM r WHERE next_run IS NOT NULL")
+def overlap_by_style(spark, sf):
+    """Runs of two prompt styles; only the clean ones are ranked."""
+    style = F.when(F.col("run_key") % 2 == 0, "clean").otherwise("paper")
+    return R.overlap_flags(_wide(spark, sf).withColumn("style", style))
+
+
 @query(f"WITH {metrics_sql()} SELECT run_key, split, unparsed_rate, invalid_rate, refusal_rate, no_response_rate, truncation_rate, parse_strict_rate, bias_score_lo, bias_score_hi, unparsed_rate > 0.02::DOUBLE AS flagged FROM wide WHERE grp = 'all'")
 def rates_flags(spark, sf):
     return R.rate_flags(_wide(spark, sf))
@@ -476,9 +483,14 @@ def csv_table(spark, sf):
     return R.csv_table(_wide(spark, sf), ["run_key", "split", "grp"], ("n", "accuracy", "bias_score", "valid_accuracy"))
 
 
-@query(f"WITH {T.RUNS_SQL}, b AS (SELECT *, regexp_replace(config, '-low$', '') AS base FROM runs), k AS (SELECT base, count(DISTINCT reasoning) AS k FROM b GROUP BY base) SELECT run_key, config, \"group\", reasoning, style, CASE WHEN reasoning = 'low' OR k > 1 THEN base || ' · reasoning ' || reasoning ELSE base || ' · ' || CASE style WHEN 'paper' THEN 'paper prompt' ELSE 'default prompt' END END AS label FROM b JOIN k USING (base)")
+_SUPPLIED = "SELECT s_suppkey AS run_key, 'm' || (s_suppkey // 2) || CASE WHEN s_suppkey % 6 = 1 THEN '-low' ELSE '' END AS config, CASE WHEN s_suppkey % 6 = 1 THEN 'low' ELSE 'off' END AS reasoning, CASE WHEN s_suppkey % 6 IN (3, 5) THEN 'paper' ELSE 'clean' END AS style FROM supplier"
+
+
+@query(f"WITH runs AS ({_SUPPLIED}), b AS (SELECT *, regexp_replace(config, '-low$', '') AS base FROM runs), k AS (SELECT base, count(DISTINCT reasoning) AS k FROM b GROUP BY base) SELECT run_key, config, reasoning, style, CASE WHEN reasoning = 'low' OR k > 1 THEN base || ' · reasoning ' || reasoning ELSE base || ' · ' || CASE style WHEN 'paper' THEN 'paper prompt' ELSE 'default prompt' END END AS label FROM b JOIN k USING (base)")
 def run_labels(spark, sf):
-    return R.check_unique(R.run_labels(T.runs(spark)))
+    """Each supplier is a run; two neighbours are variants of one config, by reasoning or by style."""
+    T.table(spark, sf, "supplier").createOrReplaceTempView("_label_suppliers")
+    return R.check_unique(R.run_labels(spark.sql(_SUPPLIED.replace("//", "DIV").replace("FROM supplier", "FROM _label_suppliers"))))
 
 
 _TIE0 = metrics_sql(tie_sign=1) + ", " + wide_sql("grid", 0, "wide0") + ", " + long_sql("wide0", "long0")

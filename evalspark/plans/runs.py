@@ -154,6 +154,21 @@ def sheet_sanity(spark, sf):
     return A.sheet_sanity(sheet, {"lang": ["en", "es"], "toxic": [0, 1]}, ["doc_id", "missing_one"], 7, {"even": "doc_id % 2 = 0"})
 
 
+@query(f"""WITH {_SHEET}, q AS (SELECT string_agg(v || ': ' || n, ', ' ORDER BY v || ': ' || n) AS detail FROM (SELECT coalesce(CAST(quality AS VARCHAR), 'null') AS v, count(*) AS n FROM sheet GROUP BY ALL)),
+    langs AS (SELECT list(DISTINCT lang) AS have FROM sheet), want AS (SELECT ['en', 'es', 'xx'] AS w)
+    SELECT 'columns' AS check, true AS ok, '' AS detail
+    UNION ALL SELECT 'exactly lang', len(list_filter(w, lambda x: NOT list_contains(have, x))) + len(list_filter(have, lambda x: NOT list_contains(w, x))) = 0,
+        'missing: ' || array_to_string(list_sort(list_filter(w, lambda x: NOT list_contains(have, x))), ', ') || '; too much: ' || array_to_string(list_sort(list_filter(have, lambda x: NOT list_contains(w, x))), ', ') FROM langs, want
+    UNION ALL SELECT 'rows by quality', true, detail FROM q
+    UNION ALL SELECT 'answers of toxic', true, 'unparsed: ' || count(*) FILTER (WHERE toxic IS NULL OR toxic = 1) FROM sheet
+    UNION ALL SELECT 'answers of doc', false, 'no answer: ' || min(CAST(doc_id AS VARCHAR)) FILTER (WHERE doc_id NOT IN (0, 1, 2)) FROM sheet""")
+def sheet_domains(spark, sf):
+    """Exact sets, rows by value, and answer cells of the joined table."""
+    sheet = T.table(spark, sf, "documents").join(T.table(spark, sf, "labels"), "doc_id").select("doc_id", "lang", "quality", "toxic")
+    return A.sheet_sanity(sheet, {}, ["doc_id"], equal={"lang": ["en", "es", "xx"]}, counts=("quality",), answers={"toxic": "toxic", "doc": "doc_id"}, unparsed=("1",))
+
+
+
 _ANSWERS = "raw AS (SELECT model AS run_key, doc_id AS id, lang AS category, CASE WHEN doc_id % 2 = 0 THEN 'ambig' ELSE 'disambig' END AS split, CASE WHEN n_chars % 2 = 0 THEN 'neg' ELSE 'nonneg' END AS polarity, CASE WHEN doc_id % 2 = 0 THEN 'unknown' WHEN doc_id % 4 = 1 THEN 'target' ELSE 'other' END AS label_role, CASE choice WHEN 0 THEN 'other' WHEN 1 THEN 'target' WHEN 2 THEN 'unknown' END AS chosen_role, CASE WHEN choice IS NULL THEN 'invalid_response_format' ELSE 'answered' END AS outcome, CASE WHEN choice IS NULL THEN 'none' ELSE 'strict' END AS parse_stage, false AS was_truncated FROM (SELECT doc_id, lang, n_chars, 'a' AS model, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id % 3 END AS choice FROM documents UNION ALL SELECT doc_id, lang, n_chars, 'b', n_chars % 3 FROM documents))"
 
 

@@ -42,9 +42,9 @@ class Folder:
     def delete(self, name: str) -> None:
         self._fs.delete(self._of(name), True)
 
-    def move(self, name: str, to: str) -> None:
-        """Rename; an error if there is a file of the new name."""
-        self._move(name, to)
+    def move(self, name: str, to: str, over: bool = False) -> None:
+        """Rename; a file of the new name is an error unless it may be written ``over``."""
+        self._move(name, to, *(["OVERWRITE"] if over else []))
 
     def _written(self, text: str) -> str:
         """A hidden file of its own with ``text``."""

@@ -6,14 +6,17 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import domain
 from ..functions.numbering import prefix_sums
 from ..runtime import cut
 from . import schemas
+from .files import Folder
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -28,8 +31,6 @@ BROADCAST_SPLITS = 100_000
 
 def _opened(path: str):
     """A file as a stream, by the file system of its path."""
-    from urllib.parse import quote
-
     from pyarrow import fs
 
     if path.startswith("file:"):
@@ -60,14 +61,15 @@ def file_sha256(spark: SparkSession, path: str) -> DataFrame:
                     out.append(digest.hexdigest())
             yield pd.DataFrame({"path": pdf["path"], "sha256": out}, dtype=object)
 
-    files = spark.read.format("binaryFile").load(path)
-    listed = files.select("path")  # without the content, which is not read then
-    found = listed.repartition(max(1, listed.count()), "path").mapInPandas(run, "path string, sha256 string").cache()
+    names = [unquote(x) for x in spark.read.format("binaryFile").load(path).inputFiles()]  # empty ones, too, have no row there
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
+    found = listed.repartition(max(1, len(names)), "path").mapInPandas(run, "path string, sha256 string").cache()
     rest = [r["path"] for r in found.where("sha256 is null").select("path").collect()]  # names of files
     if not rest:
         return found
-    whole = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?])", r"\\\1", r) for r in rest]).select("path", F.sha2("content", 256).alias("sha256"))
-    return found.where("sha256 is not null").unionByName(whole)
+    whole = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?])", r"\\\1", r) for r in rest]).select("path", F.sha2("content", 256).alias("whole"))
+    digest = F.coalesce("sha256", "whole", F.lit(hashlib.sha256().hexdigest()))
+    return found.join(whole, "path", "left").select("path", digest.alias("sha256"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -103,39 +105,79 @@ def write_items(items: DataFrame, path: str) -> None:
     items.orderBy("id").write.mode("overwrite").json(path)
 
 
+def write_items_file(items: DataFrame, folder: str, name: str) -> dict:
+    """One JSON-lines file of the items in order of id, and its sha256 and number of lines. A data set is one file by its
+    format, so it is written by one task; it takes the old one's place when it is whole."""
+    spark, at = items.sparkSession, Folder(items.sparkSession, folder)
+    made = f".{name}.parts"
+    items.orderBy("id").coalesce(1).write.mode("overwrite").json(f"{folder}/{made}")
+    part = next(n for n in at.names(made) if n.startswith("part-"))
+    at.move(f"{made}/{part}", name, over=True)
+    at.delete(made)
+    return {"sha256": file_sha256(spark, f"{folder}/{name}").first()["sha256"], "total": spark.read.text(f"{folder}/{name}").count()}
+
+
 def write_dataset(items: DataFrame, folder: str, name: str, **about: object) -> dict:
-    """One JSON-lines file of the items in order of id, and its entry in the folder's manifest; returns the entry.
+    """Items as one file, and its entry in a plain manifest {name: entry} with sorted keys; returns the entry."""
+    entry = write_items_file(items, folder, name) | about
+    at = Folder(items.sparkSession, folder)
+    old = json.loads(at.read("manifest.json")) if at.exists("manifest.json") else {}
+    at.replace("manifest.json", json.dumps(old | {name: entry}, sort_keys=True, indent=2, ensure_ascii=False) + "\n")
+    return entry
+
+
+#: Fields of an entry of the published manifest, in order.
+MANIFEST_ENTRY = (
+    "dataset_version string, language string, commit string, file string, converter_version string, total bigint, categories map<string,bigint>, splits map<string,bigint>, "
+    "category_splits map<string,bigint>, duplicate_ids bigint, duplicate_prompts bigint, sha256 string"
+)
+
+
+def manifest_entry(items: DataFrame, version: str, language: str, commit: str) -> dict:
+    """What the published manifest says of items, but for their file: totals, counts by category and split (zeros too),
+    by both where there are any, and how many ids and prompts repeat earlier ones."""
+    from ..operators.aggregate import duplicates, manifest_counts
+
+    named = items.withColumn("split", F.col("context_condition"))
+    counts: dict[str, dict[str, int]] = {"category": {}, "split": {}, "category/split": {}}
+    for r in manifest_counts(named, list(domain.CATEGORIES), list(domain.SPLITS)).collect():  # a row a category and split
+        counts[r["kind"]][r["name"]] = r["n"]
+    again = duplicates(named, "id", ["context", "question"]).first()
+    in_order = lambda kind, names: {x: counts[kind][x] for x in names}
+    return {
+        "dataset_version": version, "language": language, "commit": commit, "converter_version": domain.CONVERTER_VERSION, "total": sum(counts["category"].values()),
+        "categories": in_order("category", domain.CATEGORIES), "splits": in_order("split", domain.SPLITS), "category_splits": dict(sorted(counts["category/split"].items())),
+        "duplicate_ids": again["duplicate_ids"], "duplicate_prompts": again["duplicate_contents"],
+    }
+
+
+def publish_dataset(items: DataFrame, folder: str, name: str, version: str, language: str, commit: str) -> dict:
+    """Items as one file, and its entry in a manifest {converter_version, files: {name: entry}}; returns the entry.
 
-    The manifest is keyed by file name with sorted keys; entries of other files stay. A data set is one file by its
-    format, so it is written by one task.
+    Entries of other files stay. The manifest is replaced at once, after the file is there.
     """
-    spark, jvm = items.sparkSession, items.sparkSession.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    made = f"{folder}/.{name}.parts"
-    items.orderBy("id").coalesce(1).write.mode("overwrite").json(made)
-    part = next(f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(made)) if f.getPath().getName().startswith("part-"))
-    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"cannot move the items to {target}")
-    fs.delete(jvm.org.apache.hadoop.fs.Path(made), True)
-    path = f"{folder}/manifest.json"
-    old = json.loads(spark.read.text(path, wholetext=True).first()[0]) if path_exists(spark, path) else {}
-    entry = {"sha256": file_sha256(spark, f"{folder}/{name}").first()["sha256"], "total": spark.read.text(f"{folder}/{name}").count(), **about}
-    out = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
-    out.write(bytearray(json.dumps(old | {name: entry}, sort_keys=True, indent=2, ensure_ascii=False).encode() + b"\n"))
-    out.close()
+    spark = items.sparkSession
+    about = manifest_entry(items, version, language, commit)
+    written = write_items_file(items, folder, name)
+    if written["total"] != about["total"]:
+        raise ValueError(f"{name}: {written['total']} lines for {about['total']} items of known categories")
+    whole = about | {"file": name, "sha256": written["sha256"]}
+    entry = {f.split()[0]: whole[f.split()[0]] for f in MANIFEST_ENTRY.split(", ")}
+    at = Folder(spark, folder)
+    old = json.loads(at.read("manifest.json")) if at.exists("manifest.json") else {}
+    files = old.get("files", {}) | {name: entry}
+    at.replace("manifest.json", json.dumps({"converter_version": domain.CONVERTER_VERSION, "files": dict(sorted(files.items()))}, ensure_ascii=False, indent=2) + "\n")
     return entry
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256, total) of a manifest {name: {sha256, total, ...}}."""
+    """name and the entry's fields, from a manifest {converter_version, files: {name: entry}} or a plain {name: entry}."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"{path} is missing; build the dataset first")
     text = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", "map<string,struct<sha256:string,total:bigint>>")
-    return text.select(F.explode(entries).alias("name", "entry")).select("name", "entry.sha256", "entry.total")
+    typed = MANIFEST_ENTRY.replace(" ", ":").replace(",:", ",")
+    files = F.coalesce(F.from_json("value", f"files map<string,struct<{typed}>>")["files"], F.from_json("value", f"map<string,struct<{typed}>>"))
+    return text.select(F.explode(files).alias("name", "entry")).select("name", "entry.*")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -191,3 +191,23 @@ def test_full_case_folding(spark):
     texts = [chr(c) for c in range(1, 0x1F000) if not odd(c)] + ["ΟΔΟΣ ΣΑΣ Straße", "ẞ ﬁnd ﬀ ŉ", "Iıİi", "ÑANDÚ ÉL", ""]
     df = spark.createDataFrame([(t, t.casefold()) for t in texts], "t string, want string")
     assert [(r["t"], r["got"], r["want"]) for r in df.withColumn("got", casefold(F.col("t"))).where("got <> want").collect()] == []
+
+
+def test_published_manifest(spark, tmp_path):
+    """Layout, order of fields, zeros, repeats; entries of other files stay; both layouts are read."""
+    rows = [("b", "genero", "ambig", "c1", "q"), ("a", "genero", "disambig", "c2", "q"), ("a", "racismo", "ambig", "c1", "q")]
+    items = spark.createDataFrame(rows, "id string, category string, context_condition string, context string, question string")
+    entry = jsonl.publish_dataset(items, str(tmp_path), "paper_es.jsonl", "paper", "es", "c0ffee")
+    jsonl.publish_dataset(items.limit(0), str(tmp_path), "head_en.jsonl", "head", "en", "abc")
+    assert jsonl.publish_dataset(items, str(tmp_path), "paper_es.jsonl", "paper", "es", "c0ffee") == entry
+    m = json.loads((tmp_path / "manifest.json").read_text())
+    assert list(m) == ["converter_version", "files"] and list(m["files"]) == ["head_en.jsonl", "paper_es.jsonl"] and m["files"]["paper_es.jsonl"] == entry
+    assert list(entry) == ["dataset_version", "language", "commit", "file", "converter_version", "total", "categories", "splits", "category_splits", "duplicate_ids", "duplicate_prompts", "sha256"]
+    assert (entry["total"], entry["categories"], entry["splits"]) == (3, {"racismo": 1, "genero": 2, "clasismo": 0, "xenofobia": 0}, {"ambig": 2, "disambig": 1})
+    assert entry["category_splits"] == {"genero/ambig": 1, "genero/disambig": 1, "racismo/ambig": 1} and (entry["duplicate_ids"], entry["duplicate_prompts"]) == (1, 1)
+    assert m["files"]["head_en.jsonl"]["total"] == 0 and set(m["files"]["head_en.jsonl"]["categories"].values()) == {0}
+    assert entry["sha256"] == hashlib.sha256((tmp_path / "paper_es.jsonl").read_bytes()).hexdigest()
+    got = {r["name"]: r for r in jsonl.read_manifest(spark, str(tmp_path / "manifest.json")).collect()}
+    assert got["paper_es.jsonl"]["categories"]["genero"] == 2 and got["paper_es.jsonl"]["commit"] == "c0ffee" and got["head_en.jsonl"]["total"] == 0
+    with pytest.raises(ValueError, match="known categories"):
+        jsonl.publish_dataset(items.withColumn("category", F.lit("other")), str(tmp_path), "x.jsonl", "paper", "es", "c")
