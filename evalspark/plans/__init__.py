@@ -1,6 +1,6 @@
 """Registered queries over the test tables and their SQL twins."""
 
-from . import more, runs  # noqa: F401
+from . import checks, more, runs  # noqa: F401
 from .queries import REGISTRY
 
 __all__ = ["REGISTRY"]
