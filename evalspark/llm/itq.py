@@ -43,7 +43,7 @@ BLOCK, BLOCK_BYTES = 16_384, 64 << 20
 #: Buckets are not made smaller than this for the sake of more tasks.
 LEAST_BUCKET = 1024
 #: Rows of buckets that are handed to Python together; small buckets would cost more in calls than in comparisons.
-ROWS_A_CELL = 10_000
+ROWS_A_CELL = 2_500
 #: Pairs that a product of matrices compares in the time of one look-up of a candidate.
 PAIRS_A_LOOK = 16
 
