@@ -1,7 +1,9 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes are the signs of the components, cut into segments of about log2(n) bits. Every distinct code is entered once a
-segment in a table keyed by segment and value. Queries grow their radius together: at radius r a query probes every
+Codes are the signs of the components about their centre (``centre``; about 0 without one), cut into segments of about
+log2(n) bits. Where all vectors share a direction, signs about 0 are nearly the same for all of them and a few table
+entries hold most rows; about the centre each bit halves them. Every distinct code is entered once a segment in a table
+keyed by segment and value. Queries grow their radius together: at radius r a query probes every
 segment with all values that differ from its own in r bits. After radius r each code not met yet differs by more than r
 bits in every segment, so by ``segments * (r + 1)`` bits at least; a query whose k-th verified distance is smaller has
 its answer and goes on no more, the others go to the next radius. A code is counted where it is met first, which its
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MOST_SEGMENT_BITS = 16
+#: Components count towards the centre within these limits.
+CENTRE_LIMIT = 1000.0
 #: Entries of the tables (distinct codes times segments) that may be broadcast, some 100 bytes each.
 BROADCAST_ENTRIES = 500_000
 
@@ -48,16 +52,38 @@ def ring(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for c in combinations(range(bits), radius)]
 
 
-def sign_codes(vectors: DataFrame, dim: int) -> DataFrame:
-    """(vec_id, embedding) -> (vec_id, code): one segment a number, a bit set where the component is positive."""
+def centre(vectors: DataFrame, dim: int) -> np.ndarray:
+    """Mean of each component, limited to ``CENTRE_LIMIT`` either way and taken in whole millionths (rounded down), so that
+    sums are exact in any order; zeros if there are no vectors. Only ``dim`` sums reach the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(dim, dtype=np.int64), 0
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(list(pdf["embedding"])).astype(np.float64)
+                total += np.floor(np.clip(x, -CENTRE_LIMIT, CENTRE_LIMIT) * 1e6).astype(np.int64).sum(axis=0)
+                n += len(pdf)
+        yield pd.DataFrame({"place": np.arange(dim), "total": total, "n": n})
+
+    out = np.zeros(dim)
+    if dim:
+        sums = vectors.select("embedding").mapInPandas(run, "place long, total long, n long").groupBy("place")
+        for row in sums.agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n")).where("n > 0").collect():
+            out[row["place"]] = float(row["total"]) / row["n"] / 1e6
+    return out
+
+
+def sign_codes(vectors: DataFrame, dim: int, about: np.ndarray | None = None) -> DataFrame:
+    """(vec_id, embedding) -> (vec_id, code): one segment a number, a bit set where the component is above ``about`` (0)."""
     lengths = segment_lengths(dim, max(4, min(MOST_SEGMENT_BITS, round(math.log2(max(vectors.count(), 2))))))
     edges = np.cumsum([0, *lengths])[:-1]
+    bar = np.zeros(dim) if about is None else about
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight = np.concatenate([1 << np.arange(n) for n in lengths]).astype(np.int64)
         for pdf in batches:
             if len(pdf):
-                code = np.add.reduceat((np.stack(list(pdf["embedding"])) > 0) * weight, edges, axis=1)
+                code = np.add.reduceat((np.stack(list(pdf["embedding"])).astype(np.float64) > bar) * weight, edges, axis=1)
                 yield pd.DataFrame({"vec_id": pdf["vec_id"], "code": list(code.astype(np.int32))})
 
     if not dim:

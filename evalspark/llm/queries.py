@@ -55,7 +55,7 @@ def op9_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     dim = itq.common_length(vectors)
     good = vectors.where(itq.usable_numbers(F.col("embedding"), dim) & F.col("vec_id").isNotNull())
-    return hamming.top_k(hamming.sign_codes(good, dim), dim, F.col("vec_id") % 20 == 0)
+    return hamming.top_k(hamming.sign_codes(good, dim, hamming.centre(good, dim)), dim, F.col("vec_id") % 20 == 0)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +116,12 @@ FROM embeddings LEFT JOIN comp ON vec_id = comp.a LEFT JOIN n ON vec_id = n.a
 """
 
 _OP9 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings
+WITH good AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS (SELECT unnest(range(1, len(e) + 1)) AS j, unnest(e) AS x FROM good),
+means AS (SELECT j, sum(floor(greatest(-1000, least(1000, x)) * 1000000.0::DOUBLE)::BIGINT)::DOUBLE / count(*)::DOUBLE / 1000000.0::DOUBLE AS bar FROM parts GROUP BY j),
+centre AS (SELECT list(bar ORDER BY j) AS bars FROM means),
+v AS (SELECT vec_id, list_transform(list_zip(e, bars), lambda z: z[1] > z[2]) AS bits FROM good, centre),
 d AS (SELECT q.vec_id AS query_id, v.vec_id, len(list_filter(list_zip(q.bits, v.bits), lambda z: z[1] <> z[2]))::BIGINT AS distance FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
 SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10

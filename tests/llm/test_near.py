@@ -303,6 +303,42 @@ def cone(rng, n, dim, mean_cosine, low, high):
     return out
 
 
+def entries_met(bits):
+    """Table entries that a code meets at radius 0, over all segments, as a mean share of the rows."""
+    n = hamming.segment_lengths(bits.shape[1], round(np.log2(len(bits))))
+    met = 0
+    for lo, hi in zip(np.cumsum([0, *n]), np.cumsum(n), strict=False):
+        _, sizes = np.unique(bits[:, lo:hi], axis=0, return_counts=True)
+        met += (sizes.astype(float) ** 2).sum() / len(bits)
+    return met / len(bits)
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.5, 0.8])
+def test_tables_stay_spread_where_vectors_share_a_direction(spark, mean_cosine):
+    """About the centre a query meets under 1 % of the rows, and the answers are those of all pairs of the same codes."""
+    from pyspark.sql import functions as F
+
+    x = cone(np.random.default_rng(3), 4000, 64, mean_cosine, 0.93, 0.99)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    bar = hamming.centre(df, 64)
+    assert (bar == hamming.centre(df.repartition(2), 64)).all() and np.abs(bar - x.mean(axis=0)).max() < 2e-6
+    bits = x > bar
+    assert entries_met(bits) < 0.01
+    if mean_cosine == 0.8:
+        assert entries_met(x > 0) > 0.05  # what the signs about 0 met
+    got = answers(hamming.top_k(hamming.sign_codes(df, 64, bar), 64, F.col("vec_id") % 20 == 0, 10).collect())
+    assert got == brute_top(dict(enumerate(bits)), 10)
+
+
+def test_centre_of_hard_rows(spark):
+    """Huge components count within the limit; equal components are not above their centre; no rows give zeros."""
+    rows = [(1, [0.1, 3e38, -3e38]), (2, [0.1, 1.0, 0.0]), (20, [0.1, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    bar = hamming.centre(df, 3)
+    assert bar.tolist() == [300000 / 3 / 1e6, 1002e6 / 3 / 1e6, -1000e6 / 3 / 1e6]
+    assert hamming.centre(df.limit(0), 3).tolist() == [0.0, 0.0, 0.0] and len(hamming.centre(df, 0)) == 0
+
+
 @pytest.mark.parametrize("mean_cosine", [0.0, 0.5, 0.8, 0.87])
 def test_links_just_at_the_threshold_are_found(spark, monkeypatch, mean_cosine):
     """Whole operator on vectors that share a direction, with planted pairs of cosine 0.9 to 0.91 only."""
