@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import batched
 from xml.etree import ElementTree
 
@@ -102,9 +103,61 @@ def read_sheet(spark: SparkSession, path: str, sheet: str, columns: list[str] |
     head = cells.where("source_row = 1").first()
     if head is None:
         raise ValueError(f"{path}: sheet {sheet!r} is empty")
-    names = [str(x) if x is not None else f"column_{i}" for i, x in enumerate(head["cells"])]
-    if len(set(names)) < len(names):
-        raise ValueError(f"{path}: sheet {sheet!r} repeats a column name")
+    names = column_names(head["cells"], f"{path}: sheet {sheet!r}")
     if missing := [c for c in columns or [] if c not in names]:
         raise ValueError(f"{path}: sheet {sheet!r} lacks the columns {missing}")
     return cells.where("source_row > 1").select("source_row", *[F.get("cells", F.lit(names.index(n))).alias(n) for n in columns or names])
+
+
+def column_names(head: list[str | None], where: str) -> list[str]:
+    """Names of a sheet's columns by its first row; a repeated name is an error."""
+    names = [str(x) if x is not None else f"column_{i}" for i, x in enumerate(head)]
+    if len(set(names)) < len(names):
+        raise ValueError(f"{where} repeats a column name")
+    return names
+
+
+def read_workbooks(spark: SparkSession, path: str, sheets: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Sheets of all workbooks under ``path`` (a file, folder or pattern): file, sheet, source_row and record, a map of the
+    first row's names to the row's cells as text.
+
+    Every sheet of a workbook is a scan of its own, so the sheets of one file are parsed by several tasks and nothing is
+    shuffled; the driver learns only the greatest number of sheets. Files come through Spark's reader, from any file system
+    that it knows. ``sheets`` are read and no others, a file without one of them is an error; without ``sheets`` all are
+    read. Of ``columns`` alone cells are made; a sheet that lacks one has no such key. Cells right of the first row's last
+    one are left out, absent cells are null; an empty sheet or one with a first row alone gives no rows.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(sheet_names(bytes(raw))) for raw in pdf["content"]]}, dtype="int64")
+
+    def scan(chosen: str | int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for file, raw in zip(pdf["path"], map(bytes, pdf["content"]), strict=True):
+                    there = list(sheet_names(raw))
+                    if isinstance(chosen, int) and chosen >= len(there):
+                        continue
+                    sheet = there[chosen] if isinstance(chosen, int) else chosen
+                    rows = sheet_rows(raw, sheet, pick)
+                    names = column_names(next(rows, []), f"{file}: sheet {sheet!r}")
+                    kept = [(i, n) for i, n in enumerate(names) if columns is None or n in columns]
+                    at = 2
+                    for some in batched(rows, ROWS):
+                        records = [{n: r[i] if i < len(r) else None for i, n in kept} for r in some]
+                        yield pd.DataFrame({"file": file, "sheet": sheet, "source_row": range(at, at + len(some)), "record": records})
+                        at += len(some)
+
+        return run
+
+    pick = None if columns is None else lambda head: {i for i, x in enumerate(head) if x in columns}
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    scans: list[str | int] = list(sheets) if sheets else []
+    if sheets is None:
+        most = files.select("content").mapInPandas(listed, "n long").agg(F.max("n")).first()[0]
+        scans = list(range(most or 1))
+    if not scans:
+        raise ValueError("sheets is empty; leave it out to read all")
+    parts = [files.mapInPandas(scan(s), "file string, sheet string, source_row long, record map<string,string>") for s in scans]
+    return reduce(DataFrame.unionByName, parts)
