@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..domain import LANGUAGES, VERSIONS
+from ..domain import COUNTED, LANGUAGES, VERSIONS
 from ..functions import metrics as M
+from ..functions.tables import register_table_functions
 from ..functions.text import config_and_style, mentions, path_part
 from ..operators import recovery as V
 from ..operators import sampling as S
@@ -56,6 +57,14 @@ def sql_functions(spark, sf):
     return _wide(spark, sf).selectExpr("run_key", "split", "grp", "eval_bias_score(accuracy, ft, fo, 1) AS bias", "eval_sign_decided(ft - fo, 0.01D) AS decided")
 
 
+@query(f"WITH {metrics_sql()} SELECT * FROM long")
+def summarize_table(spark, sf):
+    """The long metrics by SQL alone: counts where the rows lie, then one task a run for its few groups."""
+    register_table_functions(spark)
+    T.scored(spark, sf).select("run_key", "split", "category", *COUNTED).createOrReplaceTempView("scored_rows")
+    return spark.sql("SELECT CAST(run_key AS BIGINT) AS run_key, split, grp, name, value FROM eval_summarize(TABLE(SELECT * FROM eval_counts(TABLE(scored_rows))), tie_sign => 1)")
+
+
 _BAD_POLARITY = "CASE WHEN id % 40 = 0 THEN 'odd' ELSE polarity END"
 _BAD_LABEL = "CASE WHEN id % 60 = 0 THEN NULL ELSE label_role END"
 

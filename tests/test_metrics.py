@@ -3,10 +3,12 @@
 import math
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from evalspark.domain import COUNTED, GROUP_METRICS, INDICATORS, resolve_categories
 from evalspark.functions import metrics as M
+from evalspark.functions.tables import register_table_functions
 from evalspark.operators import aggregate as A
 from evalspark.operators import bootstrap as B
 from evalspark.operators.scoring import oracle_answers, score_completions, score_indicators, scoring_faults
@@ -138,6 +140,28 @@ def test_sql_functions(spark):
     assert r["b"] == pytest.approx(math.sqrt(0.17)) and r["t"] == pytest.approx(-0.4) and r["d"] and r["s"] == 1.5 and r["z"] == 0
 
 
+@pytest.mark.parametrize("source", ["TABLE(some_scores)", "TABLE(SELECT * FROM eval_counts(TABLE(some_scores)))"])
+@pytest.mark.parametrize("tie_sign", [-1, 0, 1])
+def test_table_functions(spark, source, tie_sign):
+    register_table_functions(spark)
+    one = scored(spark, [*TEN, ("r", "ambig", "other", "ft", 3), ("r", "disambig", "other", "fo", 3), ("q", "ambig", "only", "refusal", 2), ("r", "ambig", None, "correct", 1), ("r", None, "lost", "correct", 1)])
+    rows = one.withColumn("fo", F.when(F.col("category") != "only", F.col("fo"))).withColumn("grp", F.lit("clash")).withColumn("name", F.lit(1))
+    rows.createOrReplaceTempView("some_scores")
+    got = spark.sql(f"SELECT * FROM eval_summarize({source}, tie_sign => {tie_sign})")
+    exact = lambda df: sorted(repr(tuple(r)) for r in df.select("run_key", "split", "grp", "name", "value").collect())
+    assert exact(got) == exact(A.summarize(rows, tie_sign))
+    rows.limit(0).createOrReplaceTempView("some_scores")
+    assert spark.sql(f"SELECT * FROM eval_summarize({source})").count() == 0
+
+
+def test_table_functions_refuse(spark):
+    register_table_functions(spark)
+    scored(spark, TEN).createOrReplaceTempView("some_scores")
+    for call, word in (("TABLE(SELECT run_key FROM some_scores)", "lacks split"), ("1", "TABLE"), ("TABLE(some_scores), tie_sign => 2", "tie_sign")):
+        with pytest.raises(AnalysisException, match=word):
+            spark.sql(f"SELECT * FROM eval_summarize({call})")
+
+
 def test_domains():
     assert resolve_categories("genero, racismo,genero") == ("racismo", "genero")
     for bad in ("", "x", ["genero", "y"]):
