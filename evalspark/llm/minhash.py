@@ -42,6 +42,8 @@ BLOCK, BLOCK_BYTES = 1500, 8_000_000
 ROWS_A_CELL = 5000
 #: Ids that may be broadcast to pick candidate texts in the scan (16 MB); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bits of the filter that picks texts when ids are more: 2^27, so at most 2^21 broadcast rows of 16 bytes.
+FILTER_BITS = 1 << 27
 #: Bytes that are hashed at once, and the longest word that the rolling hash takes; longer ones are hashed one by one.
 WINDOW, LONG_WORD = 1 << 20, 64
 _BLANKS = b" \t\n\v\f\r"
@@ -222,9 +224,10 @@ def shingle_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(rep, shingles) of ``classes`` (rep, digest, doc_id), from any text that has the set.
 
     Texts are picked in the scan by id if the ids are few; a doc_id that others share brings texts that the digest sorts out.
+    If they are many, a bit filter of fixed size leaves out in the scan most texts that nobody asks for, and what it lets
+    through is shuffled once; of repeated rows each task hands on one set.
     """
     ids = cut(classes.select("doc_id").distinct())
-    few = ids.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -233,11 +236,24 @@ def shingle_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             raw = [s.tobytes() for s in shingle_sets_of(pdf["text"])]
             yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(r) for r in raw], "shingles": raw})
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    texts = texts.dropDuplicates(["doc_id", "text"]) if not few else texts
-    made = texts.select("text").mapInPandas(sets, "digest binary, shingles binary")
-    made = made.join(classes.select("digest", "rep"), "digest").select("rep", "shingles")
-    return cut(made.groupBy("rep").agg(F.first("shingles").alias("shingles")))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    if ids.count() <= BROADCAST_IDS:
+        made = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInPandas(sets, "digest binary, shingles binary")
+        made = made.join(classes.select("digest", "rep"), "digest").select("rep", "shingles")
+        return cut(made.groupBy("rep").agg(F.first("shingles").alias("shingles")))
+    texts = likely_among(texts, ids, "doc_id").join(ids, "doc_id", "left_semi")
+    made = texts.select("text").mapInPandas(sets, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    return cut(made.join(classes.select("digest", "rep"), "digest").select("rep", "shingles"))
+
+
+def likely_among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` and a few others: a filter of ``FILTER_BITS`` bits with one hash, broadcast as at
+    most ``FILTER_BITS / 64`` words whatever the ids. Of n ids it lets through about n / ``FILTER_BITS`` of all other rows."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    word, mask = F.shiftrightunsigned(bit, 6), F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")
+    words = ids.select(bit.alias("bit")).select(F.shiftrightunsigned("bit", 6).alias("filter_word"), mask.alias("mask")).groupBy("filter_word").agg(F.bit_or("mask").alias("filter_mask"))
+    hit = (word == F.col("filter_word")) & F.expr(f"getbit(filter_mask, CAST(pmod(xxhash64({key}), {FILTER_BITS}) % 64 AS INT)) = 1")
+    return rows.join(F.broadcast(words), hit, "left_semi")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evalspark.llm import components, hamming, itq, minhash
 
@@ -81,6 +82,25 @@ def test_candidates_beyond_the_broadcast_bound_are_joined(spark, docs, monkeypat
     assert sorted(map(tuple, minhash.near_duplicates(docs.where("doc_id is not null")).collect())) == want
 
 
+def test_repeated_rows_and_ids_beyond_the_broadcast_bound(spark, monkeypatch):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(base))] * 5 + [(1, "another text of the same id " * 4), (2, " ".join([*base, "more"])), (3, None), (None, " ".join(base)), (None, None), (4, ""), (5, " ".join(reversed(base)))]
+    df = spark.createDataFrame([(i, t, i, t) for i, t in rows], "doc_id long, text string, filter_word long, shingles string")
+    want = sorted(map(repr, minhash.near_duplicates(df).collect()))
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    assert sorted(map(repr, minhash.near_duplicates(df).collect())) == want
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 10, 1 << 27])
+def test_bit_filter_loses_no_row(spark, monkeypatch, bits):
+    monkeypatch.setattr(minhash, "FILTER_BITS", bits)
+    rows = spark.range(-3000, 3000).select(F.when(F.col("id") != 7, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    ids = spark.range(-3000, 3000, 100).select(F.col("id").alias("doc_id"))
+    got = [r["doc_id"] for r in minhash.likely_among(rows, ids, "doc_id").collect()]
+    assert set(range(-3000, 3000, 100)) <= set(got) and len(got) == len(set(got))
+    assert len(got) <= 60 + 5940 * min(1, 2 * 60 / bits) + 5 and minhash.likely_among(rows, ids.limit(0), "doc_id").count() == 0
+
+
 def test_rows_that_repeat_an_id_with_another_text(spark):
     """Every row is judged by its own text: the copy of another document goes, the unrelated text of the same id stays."""
     rng = random.Random(11)
