@@ -29,13 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts_for
 
 MOST_SEGMENT_BITS = 16
 #: Components count towards the centre within these limits.
 CENTRE_LIMIT = 1000.0
 #: Entries of the tables (distinct codes times segments) that may be broadcast, some 100 bytes each.
 BROADCAST_ENTRIES = 500_000
+PROBES_A_TASK = 1 << 20
 
 
 def segment_lengths(dim: int, bits: int) -> list[int]:
@@ -100,6 +101,8 @@ def _met(active: DataFrame, index: DataFrame, lengths: list[int], radius: int) -
     """(query_id, qcode, distance, vec_id) of codes that queries meet first at this radius."""
     m = len(lengths)
     masks = F.expr(f"array({', '.join(map(str, ring(lengths[0], radius)))})")
+    # few queries can have very many probes: they are dealt by these, not by their own bytes
+    active = active.repartition(parts_for(active.count() * m * math.comb(lengths[0], radius), PROBES_A_TASK))
     probes = active.select("query_id", "qcode", F.posexplode("qcode").alias("segment", "value")).withColumn("mask", F.explode(masks))
     long_ones = sum(n == lengths[0] for n in lengths)
     room = F.when(F.col("segment") < long_ones, 1 << lengths[0]).otherwise(1 << (lengths[0] - 1))
