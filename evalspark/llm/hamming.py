@@ -9,8 +9,11 @@ bits in every segment, so by ``segments * (r + 1)`` bits at least; a query whose
 its answer and goes on no more, the others go to the next radius. A code is counted where it is met first, which its
 segments' distances tell, so nothing is listed twice.
 
-Probes meet the tables in a join on (segment, value): the tables are broadcast if they are small, else both are
-shuffled. Rows with equal codes are one entry with their k + 1 smallest ids, as no answer needs more of them.
+Distinct codes and queries are dealt to blocks of bounded size; a tile is one block of codes with its tables against
+one block of queries, which probes them in arrays. A tile hands on at most k rows a query and leaves out what is farther
+than the query's k-th so far. No table, probe or pair is shuffled or broadcast and nothing but counts reaches the driver;
+per radius a code travels once a block of queries and a query once a block of codes. Rows with equal codes are one entry
+with their k + 1 smallest ids, as no answer needs more of them.
 
 Defined cases: neighbours exclude the query's own id; equal distances go by the smaller id; repeated equal rows count
 once; of an id that is repeated with other vectors each is a query and each may be found; vectors that are null, of
@@ -23,9 +26,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +39,15 @@ from .common import cut, parts_for
 MOST_SEGMENT_BITS = 16
 #: Components count towards the centre within these limits.
 CENTRE_LIMIT = 1000.0
-#: Entries of the tables (distinct codes times segments) that may be broadcast, some 100 bytes each.
-BROADCAST_ENTRIES = 500_000
-PROBES_A_TASK = 1 << 20
+#: Entries (distinct codes times segments) in the tables of one block, which go to each block of queries.
+BROADCAST_ENTRIES = 4_000_000
+#: Codes that make a block of their own while there are fewer blocks than cores, and while there are fewer than tiles to
+#: be made; queries of a block at most.
+LEAST_CODES, FAIR_CODES, MOST_QUERIES = 1 << 13, 1 << 18, 1 << 19
+#: Probes and codes met that make a tile of their own, while there are fewer than ``MOST_TILES``.
+PAIRS_A_TILE, MOST_TILES = 1 << 26, 1024
+#: Probes looked up, and codes met compared, at once in a tile.
+PROBES_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 20
 
 
 def segment_lengths(dim: int, bits: int) -> list[int]:
@@ -97,27 +108,135 @@ def smallest(rows: DataFrame, keys: list[str], order: list[str], k: int) -> Data
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= k).drop("_place")
 
 
-def _met(active: DataFrame, index: DataFrame, lengths: list[int], radius: int) -> DataFrame:
-    """(query_id, qcode, distance, vec_id) of codes that queries meet first at this radius."""
+class Index(NamedTuple):
+    """Distinct codes (code, ids: ascending), how many, and the neighbours that a query wants."""
+
+    classes: DataFrame
+    size: int
+    k: int
+
+
+class Codes(NamedTuple):
+    """Distinct codes of a tile, a segment a column, and their ids: those of row i from ``start[i]`` to ``start[i + 1]``."""
+
+    code: np.ndarray
+    start: np.ndarray
+    ids: np.ndarray
+
+
+def words(code: np.ndarray) -> np.ndarray:
+    """The segments of each row, four to a 64-bit word."""
+    out = np.zeros((code.shape[1] + 3 >> 2, len(code)), dtype=np.uint64)
+    for j in range(code.shape[1]):
+        out[j >> 2] |= code[:, j].astype(np.uint64) << np.uint64(MOST_SEGMENT_BITS * (j & 3))
+    return out
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], ..., start[0] + size[0] - 1, start[1], ..."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def first_of(query: np.ndarray, distance: np.ndarray, name: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` smallest (distance, name) of every query, in order."""
+    order = np.lexsort((name, distance, query))
+    q = query[order]
+    return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
+def search_tile(names: np.ndarray, asked: np.ndarray, bound: np.ndarray, codes: Codes, lengths: list[int], radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, distances and ids of the ``k`` nearest ids of every query among the codes that it meets first at
+    this radius, none farther than its ``bound``."""
+    own, other, bound = words(asked), words(codes.code), bound.copy()
+    masks = np.array(ring(lengths[0], radius), dtype=np.int32)
+    best = [np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64)]  # query, distance, first id, code
+
+    def met(q: np.ndarray, at: np.ndarray, j: int) -> None:
+        """Take in codes ``at`` that the queries ``q`` meet in segment ``j``."""
+        nonlocal best
+        d = np.zeros(len(q), dtype=np.int64)
+        for x, y in zip(own, table, strict=True):
+            d += np.bitwise_count(x[q] ^ y[at])
+        near = np.flatnonzero(d <= bound[q])
+        q, d, c = q[near], d[near], order[at[near]]
+        apart = np.bitwise_count(asked[q] ^ codes.code[c])
+        new = (apart[:, :j] > radius).all(axis=1) & (apart[:, j:] >= radius).all(axis=1)
+        q, d, c = q[new], d[new], c[new]
+        first = codes.ids[codes.start[c]]
+        mine = first == names[q]  # the next id stands for the code then, if there is one
+        spare = codes.start[c + 1] - codes.start[c] > 1
+        first = np.where(mine, codes.ids[np.minimum(codes.start[c] + 1, len(codes.ids) - 1)], first)
+        some = ~mine | spare
+        pool = [np.concatenate([a, b[some]]) for a, b in zip(best, (q, d, first, c), strict=True)]
+        kept = first_of(*pool[:3], k)
+        best = [a[kept] for a in pool]
+        if len(kept):
+            full = np.flatnonzero(np.bincount(best[0]) == k)
+            last = np.searchsorted(best[0], full, side="right") - 1
+            bound[full] = np.minimum(bound[full], best[1][last])
+
+    for j, bits in enumerate(lengths):
+        order = np.argsort(codes.code[:, j], kind="stable")
+        table = other[:, order]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(codes.code[:, j], minlength=1 << bits))])
+        ours = masks[masks < 1 << bits]
+        step = max(1, PROBES_AT_ONCE // max(1, len(ours)))
+        for lo in range(0, len(names), step):
+            value = asked[lo : lo + step, j, None] ^ ours
+            size = (begin[value + 1] - begin[value]).ravel()
+            some = np.flatnonzero(size)
+            size, q, at = size[some], some // max(1, len(ours)) + lo, begin[value.ravel()[some]]
+            ends = np.cumsum(size)
+            a = 0
+            while a < len(size):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS_AT_ONCE, side="right")))
+                met(np.repeat(q[a:b], size[a:b]), runs(at[a:b], size[a:b]), j)
+                a = b
+    q, d, _, c = best
+    size = codes.start[c + 1] - codes.start[c]
+    q, d, name = np.repeat(q, size), np.repeat(d, size), codes.ids[runs(codes.start[c], size)]
+    others = name != names[q]
+    q, d, name = q[others], d[others], name[others]
+    kept = first_of(q, d, name, k)
+    return q[kept], d[kept], name[kept]
+
+
+def _tile(lengths: list[int], radius: int, k: int):
     m = len(lengths)
-    masks = F.expr(f"array({', '.join(map(str, ring(lengths[0], radius)))})")
-    # few queries can have very many probes: they are dealt by these, not by their own bytes
-    active = active.repartition(parts_for(active.count() * m * math.comb(lengths[0], radius), PROBES_A_TASK))
-    probes = active.select("query_id", "qcode", F.posexplode("qcode").alias("segment", "value")).withColumn("mask", F.explode(masks))
-    long_ones = sum(n == lengths[0] for n in lengths)
-    room = F.when(F.col("segment") < long_ones, 1 << lengths[0]).otherwise(1 << (lengths[0] - 1))
-    probes = probes.where(F.col("mask") < room).select("query_id", "qcode", "segment", _entry(F.col("segment"), F.col("value").bitwiseXOR(F.col("mask"))).alias("entry"))
-    apart = [F.bit_count(F.get("qcode", F.lit(j)).bitwiseXOR(F.get("code", F.lit(j)))) for j in range(m)]
-    first = F.lit(True)
-    for j, d in enumerate(apart):
-        first = first & F.when(F.col("segment") > j, d > radius).otherwise(d >= radius)
-    found = probes.join(index, "entry").where(first)
-    found = found.select("query_id", "qcode", sum(apart[1:], apart[0]).cast("long").alias("distance"), F.explode("ids").alias("vec_id"))
-    return found.where("vec_id <> query_id")
-
-
-def _entry(segment: Column, value: Column) -> Column:
-    return segment.cast("long") * F.lit(1 << MOST_SEGMENT_BITS) + value
+
+    def run(tile: pa.Table) -> pa.Table:
+        code = tile["code"].combine_chunks().flatten().to_numpy().reshape(-1, m)
+        asks = tile["query_id"].is_valid().to_numpy()
+        asked, names = code[asks], tile["query_id"].drop_null().to_numpy()
+        bound = tile["bound"].drop_null().to_numpy()
+        ids = tile["ids"].combine_chunks().drop_null()
+        start = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+        codes = Codes(code[~asks], start, ids.flatten().to_numpy())
+        if len(names) and len(codes.code):
+            q, d, name = search_tile(names, asked, bound, codes, lengths, radius, k)
+        else:
+            q = d = name = np.empty(0, dtype=np.int64)
+        qcode = pa.ListArray.from_arrays(np.arange(0, len(q) * m + 1, m, dtype=np.int32), pa.array(asked[q].ravel(), pa.int32()))
+        return pa.table({"query_id": pa.array(names[q], pa.int64()), "qcode": qcode, "distance": pa.array(d, pa.int64()), "vec_id": pa.array(name, pa.int64())})
+
+    return run
+
+
+def _met(active: DataFrame, index: Index, lengths: list[int], radius: int) -> DataFrame:
+    """(query_id, qcode, distance, vec_id): for each query and block of codes the nearest of those met first at this radius."""
+    m, asking = len(lengths), active.count()
+    probes = asking * m * math.comb(lengths[0], radius)
+    tiles = min(MOST_TILES, parts_for(probes + probes * index.size // (1 << lengths[0]), PAIRS_A_TILE))
+    cores = active.sparkSession.sparkContext.defaultParallelism
+    across = max(parts_for(index.size * m, max(BROADCAST_ENTRIES, 64 * m)), min(parts_for(index.size, LEAST_CODES), cores), min(parts_for(index.size, FAIR_CODES), tiles))
+    down = max(parts_for(tiles, across), parts_for(asking, MOST_QUERIES))
+    block = lambda parts, *names: F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = active.select(block(down, "query_id", "qcode").alias("row"), each(across).alias("column"), "query_id", "bound", F.col("qcode").alias("code"), F.lit(None).cast("array<long>").alias("ids"))
+    right = index.classes.select(each(down).alias("row"), block(across, "code").alias("column"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("bound"), "code", "ids")
+    # tiles are alike in work, not in bytes: twice as many tasks, so that few get more than one
+    dealt = left.unionByName(right).repartition(2 * across * down if across * down > 1 else 1, "row", "column")
+    return dealt.groupBy("row", "column").applyInArrow(_tile(lengths, radius, index.k), "query_id long, qcode array<int>, distance long, vec_id long")
 
 
 def top_k(codes: DataFrame, dim: int, is_query: Column, k: int = 10) -> DataFrame:
@@ -127,19 +246,18 @@ def top_k(codes: DataFrame, dim: int, is_query: Column, k: int = 10) -> DataFram
     if sample is None:
         return codes.select(F.col("vec_id").alias("query_id"), F.lit(0).cast("long").alias("rank"), "vec_id", F.lit(0).cast("long").alias("distance"))
     lengths = split(dim, len(sample["code"]))
-    classes = cut(smallest(codes, ["code"], ["vec_id"], k + 1).groupBy("code").agg(F.collect_list("vec_id").alias("ids")))  # k + 1 at most
-    index = cut(classes.select("code", "ids", F.posexplode("code").alias("segment", "value")).select(_entry(F.col("segment"), F.col("value")).alias("entry"), "code", "ids"))
-    if index.count() <= BROADCAST_ENTRIES:
-        index = F.broadcast(index)
-    active = cut(codes.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("code").alias("qcode")))
+    classes = cut(smallest(codes, ["code"], ["vec_id"], k + 1).groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))  # k + 1 at most
+    index = Index(classes, classes.count(), k)
+    active = cut(codes.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("code").alias("qcode"), F.lit(dim).cast("long").alias("bound")))
     best, keys = None, ["query_id", "qcode"]
     for radius in range(lengths[-1] + 1):
         near = _met(active, index, lengths, radius)
         best = cut(smallest(near if best is None else near.unionByName(best), keys, ["distance", "vec_id"], k))
         # what is not met yet is at least this far away
         unseen = len(lengths) * (radius + 1)
-        sure = best.groupBy(*keys).agg(F.count("*").alias("n"), F.max("distance").alias("worst")).where((F.col("n") == k) & (F.col("worst") < unseen))
-        active = cut(active.join(sure, keys, "left_anti"))
+        full = best.groupBy(*keys).agg(F.count("*").alias("n"), F.max("distance").alias("worst")).where(F.col("n") == k)
+        active = active.join(full, keys, "left").where(F.col("worst").isNull() | (F.col("worst") >= unseen))
+        active = cut(active.select(*keys, F.coalesce("worst", "bound").alias("bound")))
         if active.isEmpty():
             break
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "vec_id"))

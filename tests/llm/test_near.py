@@ -391,3 +391,48 @@ def test_a_block_gives_each_link_once():
         got = [tuple(sorted(pq)) for p, q in itq.link_block(x, side, fine, 0.9) for pq in zip(p.tolist(), q.tolist(), strict=True)]
         want = {(i, j) for i, j in combinations(range(300), 2) if x[i] @ x[j] >= 0.9 and (fine[i] == fine[j]).any() and (side is None or side[i] != side[j])}
         assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("at_once", [3, 1 << 20])
+def test_a_tile_gives_what_a_query_meets_first(monkeypatch, at_once):
+    """Radius by radius, crowded entries, shared ids and bounds, however few probes and codes are compared at once."""
+    monkeypatch.setattr(hamming, "PROBES_AT_ONCE", at_once)
+    monkeypatch.setattr(hamming, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(4)
+    lengths, k = [4, 4, 3, 3, 3], 3
+    code = np.unique(np.stack([rng.integers(0, 1 << n, 300) for n in lengths], axis=1).astype(np.int32), axis=0)
+    code[:200, 0] = 5  # most rows in one entry
+    code = np.unique(code, axis=0)
+    size = rng.integers(1, k + 2, len(code))
+    start = np.concatenate([[0], np.cumsum(size)])
+    ids = np.concatenate([np.sort(rng.choice(400, s, replace=False)) for s in size])
+    names, asked = ids[start[:40]], code[:40]
+    apart = np.bitwise_count(asked[:, None] ^ code[None]).astype(int)
+    for radius in range(4):
+        for most in (17, 4):
+            got: dict[int, list] = {}
+            bound = np.full(len(names), most)
+            for q, d, name in zip(*(x.tolist() for x in hamming.search_tile(names, asked, bound, hamming.Codes(code, start, ids), lengths, radius, k)), strict=True):
+                got.setdefault(q, []).append((d, name))
+            want = {}
+            for q in range(len(names)):
+                x = sorted((int(apart[q, c].sum()), int(i)) for c in range(len(code)) if apart[q, c].min() == radius and apart[q, c].sum() <= most for i in ids[start[c] : start[c + 1]] if i != names[q])
+                if x:
+                    want[q] = x[:k]
+            assert got == want and (radius or got)
+
+
+def test_search_sends_no_table_through_the_driver(spark, monkeypatch):
+    """No plan of a search broadcasts a table or lists probes, and its tasks stay few where neighbours are far."""
+    monkeypatch.setattr(hamming, "PROBES_A_TASK", 1, raising=False)
+    monkeypatch.setattr(hamming, "PAIRS_A_TILE", 1, raising=False)
+    monkeypatch.setattr(hamming, "MOST_TILES", 4, raising=False)
+    plans, parts, cut, met = [], [], hamming.cut, hamming._met
+    monkeypatch.setattr(hamming, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    monkeypatch.setattr(hamming, "_met", lambda *a: (parts.append((near := met(*a)).rdd.getNumPartitions()), near)[1])
+    x = np.random.default_rng(9).standard_normal((200, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = answers(hamming.top_k(hamming.sign_codes(df, 24), 24, F.col("vec_id") % 20 == 0, 10).collect())
+    assert got == brute_top(dict(enumerate(x > 0)), 10)
+    assert len(plans) > 4 and not any("strategy=broadcast" in p or "mask" in p for p in plans)
+    assert max(parts) <= 16
