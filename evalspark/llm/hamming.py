@@ -43,11 +43,11 @@ CENTRE_LIMIT = 1000.0
 BROADCAST_ENTRIES = 4_000_000
 #: Codes that make a block of their own while there are fewer blocks than cores, and while there are fewer than tiles to
 #: be made; queries of a block at most.
-LEAST_CODES, FAIR_CODES, MOST_QUERIES = 1 << 13, 1 << 18, 1 << 19
+LEAST_CODES, FAIR_CODES, MOST_QUERIES = 1 << 13, 1 << 18, 1 << 16
 #: Probes and codes met that make a tile of their own, while there are fewer than ``MOST_TILES``.
 PAIRS_A_TILE, MOST_TILES = 1 << 26, 1024
 #: Probes looked up, and codes met compared, at once in a tile.
-PROBES_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 20
+PROBES_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 17
 
 
 def segment_lengths(dim: int, bits: int) -> list[int]:
@@ -148,17 +148,17 @@ def search_tile(names: np.ndarray, asked: np.ndarray, bound: np.ndarray, codes:
     """Places of queries, distances and ids of the ``k`` nearest ids of every query among the codes that it meets first at
     this radius, none farther than its ``bound``."""
     own, other, bound = words(asked), words(codes.code), bound.copy()
+    kind = np.uint8 if sum(lengths) < 256 else np.int32
     masks = np.array(ring(lengths[0], radius), dtype=np.int32)
-    best = [np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64)]  # query, distance, first id, code
-
-    def met(q: np.ndarray, at: np.ndarray, j: int) -> None:
-        """Take in codes ``at`` that the queries ``q`` meet in segment ``j``."""
-        nonlocal best
-        d = np.zeros(len(q), dtype=np.int64)
-        for x, y in zip(own, table, strict=True):
-            d += np.bitwise_count(x[q] ^ y[at])
-        near = np.flatnonzero(d <= bound[q])
-        q, d, c = q[near], d[near], order[at[near]]
+    best = [np.empty(0, dtype=np.int64) for _ in range(4)]  # query, distance, first id, code
+    fresh: list[list[np.ndarray]] = []
+
+    def met(q: np.ndarray, at: np.ndarray, size: np.ndarray, j: int) -> None:
+        """Take in the ``size`` codes from place ``at`` on that each query of ``q`` meets in segment ``j``."""
+        place = runs(at, size)
+        d = sum(np.bitwise_count(np.repeat(x[q], size) ^ y[place]).astype(kind, copy=False) for x, y in zip(own, table, strict=True))
+        near = np.flatnonzero(d <= np.repeat(bound[q].astype(kind), size))
+        q, d, c = q[np.searchsorted(np.cumsum(size), near, side="right")], d[near].astype(np.int64), order[place[near]]
         apart = np.bitwise_count(asked[q] ^ codes.code[c])
         new = (apart[:, :j] > radius).all(axis=1) & (apart[:, j:] >= radius).all(axis=1)
         q, d, c = q[new], d[new], c[new]
@@ -167,7 +167,15 @@ def search_tile(names: np.ndarray, asked: np.ndarray, bound: np.ndarray, codes:
         spare = codes.start[c + 1] - codes.start[c] > 1
         first = np.where(mine, codes.ids[np.minimum(codes.start[c] + 1, len(codes.ids) - 1)], first)
         some = ~mine | spare
-        pool = [np.concatenate([a, b[some]]) for a, b in zip(best, (q, d, first, c), strict=True)]
+        fresh.append([x[some] for x in (q, d, first, c)])
+        if sum(len(x[0]) for x in fresh) > max(PAIRS_AT_ONCE, len(best[0])):
+            merge()
+
+    def merge() -> None:
+        """Keep the nearest of what was taken in, and tighten bounds."""
+        nonlocal best
+        pool = [np.concatenate(x) for x in zip(best, *fresh, strict=True)]
+        fresh.clear()
         kept = first_of(*pool[:3], k)
         best = [a[kept] for a in pool]
         if len(kept):
@@ -176,22 +184,25 @@ def search_tile(names: np.ndarray, asked: np.ndarray, bound: np.ndarray, codes:
             bound[full] = np.minimum(bound[full], best[1][last])
 
     for j, bits in enumerate(lengths):
-        order = np.argsort(codes.code[:, j], kind="stable")
+        order = np.argsort(codes.code[:, j].astype(np.uint16), kind="stable")  # by radix
         table = other[:, order]
         begin = np.concatenate([[0], np.cumsum(np.bincount(codes.code[:, j], minlength=1 << bits))])
         ours = masks[masks < 1 << bits]
         step = max(1, PROBES_AT_ONCE // max(1, len(ours)))
-        for lo in range(0, len(names), step):
-            value = asked[lo : lo + step, j, None] ^ ours
+        # what is met first here differs by radius + 1 bits in the segments before, by radius bits in this and those after
+        going = np.flatnonzero(bound >= len(lengths) * radius + j)
+        for lo in range(0, len(going), step):
+            value = asked[going[lo : lo + step], j, None] ^ ours
             size = (begin[value + 1] - begin[value]).ravel()
             some = np.flatnonzero(size)
-            size, q, at = size[some], some // max(1, len(ours)) + lo, begin[value.ravel()[some]]
+            size, q, at = size[some], going[some // max(1, len(ours)) + lo], begin[value.ravel()[some]]
             ends = np.cumsum(size)
             a = 0
             while a < len(size):
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS_AT_ONCE, side="right")))
-                met(np.repeat(q[a:b], size[a:b]), runs(at[a:b], size[a:b]), j)
+                met(q[a:b], at[a:b], size[a:b], j)
                 a = b
+        merge()
     q, d, _, c = best
     size = codes.start[c + 1] - codes.start[c]
     q, d, name = np.repeat(q, size), np.repeat(d, size), codes.ids[runs(codes.start[c], size)]
